@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import sharding
+from docweave.llm import bbpe, sharding
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -18,5 +19,12 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
 
-QUERIES = {"op2_shard_tree": op2_shard_tree}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op2_shard_tree": op2_shard_tree,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
