@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bbpe, sharding
+from docweave.llm import bbpe, decontam, sharding
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -23,8 +23,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 QUERIES = {
     "op2_shard_tree": op2_shard_tree,
+    "op7_wu_manber": op7_wu_manber,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
