@@ -53,7 +53,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the frame's size; for a file scan, the files' size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
