@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bbpe, decontam, sharding
+from docweave.llm import bbpe, decontam, sharding, substring
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -23,6 +23,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -30,6 +34,7 @@ def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_shard_tree": op2_shard_tree,
+    "op3_rabin_karp": op3_rabin_karp,
     "op7_wu_manber": op7_wu_manber,
     "op10_byte_bpe": op10_byte_bpe,
 }
