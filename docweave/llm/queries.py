@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bbpe, decontam, sharding, substring
+from docweave.llm import bbpe, decontam, sharding, simhash, substring
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -33,6 +37,7 @@ def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_vp": op1_simhash_vp,
     "op2_shard_tree": op2_shard_tree,
     "op3_rabin_karp": op3_rabin_karp,
     "op7_wu_manber": op7_wu_manber,
