@@ -19,62 +19,61 @@ from pyspark.sql import functions as F
 from docweave.llm.arrowtext import sha256
 
 #: Pre-tokens up to so many characters are remembered, so many of them in a worker.
-SHORT, REMEMBERED = 48, 400_000
+SHORT, REMEMBERED = 48, 1_000_000
+
+
+BIT = [1 << i for i in range(4096)]
 
 
 class RankQueue:
-    """Positions by merge rank; the lowest rank is found through bitmaps of 64-bit words, level above level.
+    """Positions by merge rank, found through a hierarchy of bitmaps.
 
-    A bit is set in a level's word where the word below it has any bit; find-first-set, once a level,
-    gives the lowest rank that holds positions. A bucket gives its leftmost position first.
+    Bit r % 256 of ``low[r // 256]`` is set while rank r has positions, and bit k of ``top`` while
+    ``low[k]`` has any bit. Find-first-set on the top word, then on the word it points at, gives the
+    lowest rank; its bucket, a heap, gives the leftmost position.
     """
 
     def __init__(self, n_ranks: int):
-        self.levels: list[list[int]] = []
-        while True:
-            n_ranks = (n_ranks + 63) // 64
-            self.levels.append([0] * n_ranks)
-            if n_ranks <= 1:
-                break
+        self.low = [0] * (n_ranks // 256 + 1)
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
             heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word = level[at >> 6]
-            level[at >> 6] = word | 1 << (at & 63)
-            if word:
-                break
-            at >>= 6
-
-    def lowest(self) -> int:
-        """The lowest rank with positions; -1 if there is none."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def pop(self, rank: int) -> int:
+        else:
+            self.buckets[rank] = [position]
+            self.low[rank >> 8] |= BIT[rank & 255]
+            self.top |= BIT[rank >> 8]
+
+    def fill(self, ranks: list[int]) -> None:
+        """Pushes position i with rank ranks[i], for all that are not negative, into the empty queue."""
+        buckets, low, top = self.buckets, self.low, self.top
+        for i, rank in enumerate(ranks):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    k = rank >> 8
+                    low[k] |= BIT[rank & 255]
+                    top |= BIT[k]
+        self.top = top
+
+    def pop(self) -> tuple[int, int]:
+        """The lowest rank and its leftmost position, taken out; the queue isn't empty."""
+        k = (self.top & -self.top).bit_length() - 1
+        word = self.low[k]
+        rank = k << 8 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = level[at >> 6] & ~(1 << (at & 63))
-                level[at >> 6] = word
-                if word:
-                    break
-                at >>= 6
-        return position
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.low[k] = word = word & (word - 1)
+        if not word:
+            self.top &= self.top - 1
+        return rank, bucket[0]
 
 
 class Codec:
@@ -83,6 +82,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, ranks))
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.names = {i: str(i) for i in ranks.values()}
         self.pieces = {str(i): b for b, i in ranks.items()}
         self.known: dict[str, str] = {}
 
@@ -92,49 +93,45 @@ class Codec:
         Tokens are nodes of a linked list over byte positions. A queue entry is stale, and skipped, if
         the pair that now starts at its position has another rank.
         """
-        ranks, n, longest, queue = self.ranks, len(piece), self.longest, self.queue
-        whole = ranks.get(piece)
+        get, n, longest, queue = self.ranks.get, len(piece), self.longest, self.queue
+        whole = get(piece)
         if whole is not None:
             return [whole]
+        push, pop = queue.push, queue.pop
+        single = self.bytes
+        token = [single[x] for x in piece]
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [-1] * (n + 1)
-        get, push = ranks.get, queue.push
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
-        while (rank := queue.lowest()) >= 0:
-            i = queue.pop(rank)
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]
+        pair[-1] = -1
+        queue.fill(pair)
+        while queue.top:
+            rank, i = pop()
             if pair[i] != rank:
                 continue
             gone = after[i]
             end = after[gone]
-            after[i] = end
-            before[end] = i
-            pair[gone] = -1
-            pair[i] = -1
+            token[i], after[i], before[end], pair[gone] = rank, end, i, -1
             if end < n and after[end] - i <= longest:
-                r = get(piece[i : after[end]])
-                if r is not None:
-                    pair[i] = r
+                pair[i] = r = get(piece[i : after[end]], -1)
+                if r >= 0:
                     push(r, i)
+            else:
+                pair[i] = -1
             left = before[i]
             if left >= 0:
-                r = get(piece[left:end]) if end - left <= longest else None
-                if r is None:
-                    pair[left] = -1
-                elif pair[left] != r:
+                r = get(piece[left:end], -1) if end - left <= longest else -1
+                if pair[left] != r:
                     pair[left] = r
-                    push(r, left)
+                    if r >= 0:
+                        push(r, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(token[i])
             i = after[i]
         return out
 
     def _new(self, token: str) -> str:
-        ids = " ".join(map(str, self.merge(token.encode("utf-8"))))
+        ids = " ".join(map(self.names.__getitem__, self.merge(token.encode("utf-8"))))
         if len(token) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
