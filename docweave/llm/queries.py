@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import bbpe, decontam, sharding, simhash, substring
+from docweave.llm import bbpe, decontam, licenses, sharding, simhash, substring
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -31,6 +32,12 @@ def op3_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    lines = F.transform("matches", lambda m: F.concat_ws(":", m["line"].cast("string"), m["license"]))
+    return found.select("doc_id", "n_lines", "n_license_lines", "licenses", F.round("best_dice", 6).alias("best_dice"), F.array_join(lines, ",").alias("matched"))
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -40,6 +47,7 @@ QUERIES = {
     "op1_simhash_vp": op1_simhash_vp,
     "op2_shard_tree": op2_shard_tree,
     "op3_rabin_karp": op3_rabin_karp,
+    "op6_license_dice": op6_license_dice,
     "op7_wu_manber": op7_wu_manber,
     "op10_byte_bpe": op10_byte_bpe,
 }
