@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bbpe, decontam, licenses, sharding, simhash, substring
+from docweave.llm import bbpe, decontam, licenses, quality, sharding, simhash, substring
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -32,6 +32,11 @@ def op3_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.rules(docs, docs, _table(spark, sf_dir, "labels"))
+
+
 def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     lines = F.transform("matches", lambda m: F.concat_ws(":", m["line"].cast("string"), m["license"]))
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_simhash_vp": op1_simhash_vp,
     "op2_shard_tree": op2_shard_tree,
     "op3_rabin_karp": op3_rabin_karp,
+    "op4_line_crf": op4_line_crf,
     "op6_license_dice": op6_license_dice,
     "op7_wu_manber": op7_wu_manber,
     "op10_byte_bpe": op10_byte_bpe,
