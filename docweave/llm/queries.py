@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bbpe, decontam, licenses, quality, sharding, simhash, substring
+from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, simhash, substring
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -37,6 +37,10 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(docs, docs, _table(spark, sf_dir, "labels"))
 
 
+def op5_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     lines = F.transform("matches", lambda m: F.concat_ws(":", m["line"].cast("string"), m["license"]))
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_shard_tree": op2_shard_tree,
     "op3_rabin_karp": op3_rabin_karp,
     "op4_line_crf": op4_line_crf,
+    "op5_semi_markov": op5_semi_markov,
     "op6_license_dice": op6_license_dice,
     "op7_wu_manber": op7_wu_manber,
     "op10_byte_bpe": op10_byte_bpe,
