@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, simhash, substring
+from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, simhash, substring, tokencount
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -24,6 +24,10 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_semi_markov": op5_semi_markov,
     "op6_license_dice": op6_license_dice,
     "op7_wu_manber": op7_wu_manber,
+    "op9_viterbi_counts": op9_viterbi_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
