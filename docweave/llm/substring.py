@@ -32,8 +32,6 @@ WINDOW = 20
 FLUSH = 1 << 20
 #: Bytes of input a bucket and a group of documents are sized for.
 BUCKET_BYTES = 8 << 20
-#: Buckets or groups for each partition, so that chance does not crowd one.
-SPREAD = 4
 
 U = np.uint64
 #: Stands for a null id inside; sorts before all others.
@@ -130,7 +128,7 @@ def _batch(parts: list[int], kind: int, rows: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(rows, pa.binary())], ["part", "kind", "doc_id", "text", "packed"])
 
 
-def scan(docs: DataFrame, windows: Windows, buckets: int, groups: int) -> DataFrame:
+def scan(docs: DataFrame, windows: Windows, parts: int) -> DataFrame:
     """Kind 0: windows to count, by bucket; kind 1: repeats found within a flush, by group of documents."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +136,8 @@ def scan(docs: DataFrame, windows: Windows, buckets: int, groups: int) -> DataFr
         order = np.lexsort((starts, ids))
         ids, starts, keys, other = ids[order], starts[order], keys[order], other[order]
         first, later = _repeats(ids, starts, keys)
-        yield from packed_rows((other[first] % U(buckets)).astype(np.int32), 0, ids[first], starts[first], keys[first])
-        yield from packed_rows(group_of(ids[later], groups), 1, ids[later], starts[later])
+        yield from packed_rows((other[first] % U(parts)).astype(np.int32), 0, ids[first], starts[first], keys[first])
+        yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -162,10 +160,10 @@ def scan(docs: DataFrame, windows: Windows, buckets: int, groups: int) -> DataFr
     return docs.mapInArrow(run, PACKED)
 
 
-def count(packed: DataFrame, groups: int, partitions: int) -> DataFrame:
+def count(packed: DataFrame, parts: int) -> DataFrame:
     """Repeats over the whole table: kind 1, by group of documents; those found already pass through.
 
-    A bucket's rows are read in turn, so a task holds one bucket at a time.
+    Each task has one bucket.
     """
 
     def solve(held: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -173,27 +171,23 @@ def count(packed: DataFrame, groups: int, partitions: int) -> DataFrame:
         order = np.lexsort((starts, ids))
         ids, starts, keys = ids[order], starts[order], keys[order]
         _, later = _repeats(ids, starts, keys)
-        yield from packed_rows(group_of(ids[later], groups), 1, ids[later], starts[later])
+        yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held = []
         for batch in batches:
             through: list[tuple[int, bytes]] = []
             for part, kind, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 if kind == 1:
                     through.append((part, raw))
-                    continue
-                if part != now and held:
-                    yield from solve(held)
-                    held = []
-                now = part
-                held.append(raw)
+                else:
+                    held.append(raw)
             if through:
                 yield _batch([x for x, _ in through], 1, [x for _, x in through])
         if held:
             yield from solve(held)
 
-    dealt = packed.select("part", "kind", "packed").repartition(partitions, "part").sortWithinPartitions("part")
+    dealt = packed.select("part", "kind", "packed").repartitionById(parts, "part")
     return dealt.mapInArrow(run, PACKED)
 
 
@@ -211,22 +205,19 @@ def spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def apply(docs: DataFrame, repeats: DataFrame, size: int, groups: int, partitions: int, with_text: bool) -> DataFrame:
-    """The documents without the words of their repeats. Each group's repeats come first, then its texts in a stream."""
+def apply(docs: DataFrame, repeats: DataFrame, size: int, parts: int, with_text: bool) -> DataFrame:
+    """The documents without the words of their repeats. Each task has one group: its repeats first, then its texts in a stream."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", kept string" if with_text else "")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"] + ["kept"] * with_text
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ids, starts = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, ids, starts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            parts, doc, text, raw = batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4)
-            kind = batch.column(1).to_pylist()
+            kinds_, doc, text, raw = batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)
             rows: list[tuple] = []
-            for i, part in enumerate(parts):
-                if part != now:
-                    now, held, ids, starts = part, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if kind[i] == 1:
+            for i, kind in enumerate(kinds_):
+                if kind == 1:
                     held.append(raw[i].as_buffer().to_pybytes())
                     continue
                 if held:
@@ -251,15 +242,15 @@ def apply(docs: DataFrame, repeats: DataFrame, size: int, groups: int, partition
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[k], kinds[k]) for k in range(len(names))], names)
 
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(groups)).cast("int")
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(parts)).cast("int")
     texts = docs.select(part.alias("part"), F.lit(2).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("packed"))
-    return repeats.unionByName(texts).repartition(partitions, "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    return repeats.unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(run, schema)
 
 
-def plan_sizes(docs: DataFrame) -> tuple[int, int]:
-    """(partitions, buckets): by the session's setting and the input's size, whichever asks for more."""
-    partitions = max(shuffle_partitions(docs.sparkSession), -(-size_in_bytes(docs) // BUCKET_BYTES) if size_in_bytes(docs) < 1 << 50 else 0)
-    return partitions, SPREAD * partitions
+def n_parts(docs: DataFrame) -> int:
+    """Buckets, and groups of documents: by the session's setting or the input's size, whichever asks for more."""
+    size = size_in_bytes(docs)
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES) if size < 1 << 50 else 0)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, windows: Windows | None = None) -> DataFrame:
@@ -272,6 +263,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, window
     each version that reaches it. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    partitions, buckets = plan_sizes(docs)
-    packed = scan(docs, windows or every_window(window), buckets, buckets)
-    return apply(docs, count(packed, buckets, partitions), window, buckets, partitions, with_text)
+    parts = n_parts(docs)
+    return apply(docs, count(scan(docs, windows or every_window(window), parts), parts), window, parts, with_text)
