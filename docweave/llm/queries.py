@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, simhash, substring, tokencount
+from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, simhash, substring, suffix, tokencount
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -24,6 +24,12 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(_table(spark, sf_dir, "documents"))
+    shown = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(shown, ","))
+
+
 def op9_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op5_semi_markov": op5_semi_markov,
     "op6_license_dice": op6_license_dice,
     "op7_wu_manber": op7_wu_manber,
+    "op8_sparse_suffix": op8_sparse_suffix,
     "op9_viterbi_counts": op9_viterbi_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }

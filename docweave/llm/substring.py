@@ -80,7 +80,7 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), starts, np.frombuffer(raw, U, -1, at)
 
 
-def _repeats(docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats_of(docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the first window of each key, and of those that come later. Input sorted by (doc, start)."""
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
@@ -117,13 +117,13 @@ def packed_rows(part: np.ndarray, kind: int, docs: np.ndarray, starts: np.ndarra
         names.append(int(part[a]))
         rows.append(pack(docs[pick], starts[pick], None if extra is None else extra[pick]))
         if len(rows) == 512:
-            yield _batch(names, kind, rows)
+            yield batch_of(names, kind, rows)
             names, rows = [], []
     if rows:
-        yield _batch(names, kind, rows)
+        yield batch_of(names, kind, rows)
 
 
-def _batch(parts: list[int], kind: int, rows: list[bytes]) -> pa.RecordBatch:
+def batch_of(parts: list[int], kind: int, rows: list[bytes]) -> pa.RecordBatch:
     n = len(rows)
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(rows, pa.binary())], ["part", "kind", "doc_id", "text", "packed"])
 
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, windows: Windows, parts: int) -> DataFrame:
         ids, starts, keys, other = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((starts, ids))
         ids, starts, keys, other = ids[order], starts[order], keys[order], other[order]
-        first, later = _repeats(ids, starts, keys)
+        first, later = repeats_of(ids, starts, keys)
         yield from packed_rows((other[first] % U(parts)).astype(np.int32), 0, ids[first], starts[first], keys[first])
         yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
 
@@ -170,7 +170,7 @@ def count(packed: DataFrame, parts: int) -> DataFrame:
         ids, starts, keys = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
         order = np.lexsort((starts, ids))
         ids, starts, keys = ids[order], starts[order], keys[order]
-        _, later = _repeats(ids, starts, keys)
+        _, later = repeats_of(ids, starts, keys)
         yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def count(packed: DataFrame, parts: int) -> DataFrame:
                 else:
                     held.append(raw)
             if through:
-                yield _batch([x for x, _ in through], 1, [x for _, x in through])
+                yield batch_of([x for x, _ in through], 1, [x for _, x in through])
         if held:
             yield from solve(held)
 
