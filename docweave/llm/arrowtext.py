@@ -7,11 +7,12 @@ follows the longest text, never the batch or the partition.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text in a block of several rows.
 BLOCK = 2 << 20
@@ -164,5 +165,18 @@ def unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def keep_rows(docs: DataFrame, text: str, decide: Callable[[Block], np.ndarray]) -> DataFrame:
+    """The rows, all columns as they are, for whose texts ``decide`` says true; rows stay where they are."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [decide(block) for block in blocks(batch.column(at))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sha256(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()

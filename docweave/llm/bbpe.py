@@ -11,6 +11,7 @@ import heapq
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -186,7 +187,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                     a.append(sha256(got.encode("ascii")))
                     b.append(sha256(back))
                     if with_ids:
-                        ids.append([int(x) for x in got.split()])
+                        ids.append(np.fromstring(got, np.int32, sep=" ") if got else np.zeros(0, np.int32))
                         raw.append(back)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.arrowtext import ALNUM, LOWER, WINDOW_BASE, Block, Words, blocks, mix, powers, sha256, split, word_hashes
+from docweave.llm.arrowtext import ALNUM, LOWER, WINDOW_BASE, Block, Words, blocks, keep_rows, mix, powers, sha256, split, word_hashes
 
 #: Words of a window.
 WINDOW = 10
@@ -206,3 +206,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, with all their columns."""
+    for part in _parts(benchmark, most_bytes):
+        docs = _clean(docs, part, window)
+    return docs
+
+
+def _clean(docs: DataFrame, part: list[tuple[int, str | None]], window: int) -> DataFrame:
+    made: list[Patterns] = []
+
+    def decide(block: Block) -> np.ndarray:
+        if not made and part:
+            made.extend(tables(part, window))
+        return np.array([not x for x in _search(made, block)[2]], bool)
+
+    return keep_rows(docs, "text", decide)

@@ -398,3 +398,26 @@ def redact(text: str, spans: list[Span]) -> str:
             out += [text[at:a], f"<{kind}>"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def replace(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """The rows with all their columns, personal data in ``text`` replaced by its kind; ``n_chars`` follows, if there is one."""
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts: list[str | None] = []
+                for value in part.column(at):
+                    raw = value.as_buffer()
+                    text = None if raw is None else raw.to_pybytes().decode("utf-8", "replace")
+                    texts.append(text and redact(text, spans_of(text, weights)[1]))
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, columns[at].type)
+                if chars >= 0:
+                    columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.arrowtext import NOT_SPACE, Block, Words, blocks, mix, split, table, window_hashes, windows_within, word_hashes
+from docweave.llm.arrowtext import NOT_SPACE, Block, Words, blocks, keep_rows, mix, split, table, window_hashes, windows_within, word_hashes
 
 #: Base rules: fewest words, and the most of 100 words that may stand in repeated windows of REPEAT words.
 LEAST_WORDS, MOST_REPEATED, REPEAT = 10, 20, 5
@@ -250,6 +250,18 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def verdict(block: Block, field: Field, share: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(base counts, base_failed, kept, what was labelled) of a block's rows."""
+    n = block.hi - block.lo
+    lines = describe(block)
+    good = field.decode(lines.bits, lines.row, n) == 0
+    content = np.bincount(lines.row[good], lines.words[good], minlength=n).astype(np.int64)
+    words, again = lines.base["n_words"], lines.base["n_repeat_words"]
+    failed = (words < LEAST_WORDS) | (100 * again > MOST_REPEATED * words)
+    counts = {"n_lines": np.bincount(lines.row, minlength=n), "n_content_lines": np.bincount(lines.row[good], minlength=n), "content_words": content}
+    return lines.base, failed, ~failed & (content >= share * words), counts
+
+
 def judge(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept, and the lines and words labelled content.
 
@@ -261,17 +273,10 @@ def judge(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                n = block.hi - block.lo
-                lines = describe(block)
-                label = field.decode(lines.bits, lines.row, n)
-                good = label == 0
-                content = np.bincount(lines.row[good], lines.words[good], minlength=n).astype(np.int64)
-                words, again = lines.base["n_words"], lines.base["n_repeat_words"]
-                failed = (words < LEAST_WORDS) | (100 * again > MOST_REPEATED * words)
-                kept = ~failed & (content >= share * words)
-                columns = [batch.column(0).slice(block.lo, n), *(pa.array(lines.base[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept)]
-                columns += [pa.array(np.bincount(lines.row, minlength=n).astype(np.int64)), pa.array(np.bincount(lines.row[good], minlength=n).astype(np.int64)), pa.array(content)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, "base_failed", "kept", "n_lines", "n_content_lines", "content_words"])
+                base, failed, kept, counts = verdict(block, field, share)
+                columns = [batch.column(0).slice(block.lo, block.hi - block.lo), *(pa.array(base[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept)]
+                columns += [pa.array(x.astype(np.int64)) for x in counts.values()]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, "base_failed", "kept", *counts])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {SCHEMA}")
 
@@ -279,3 +284,9 @@ def judge(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFr
 def rules(docs: DataFrame, labelled: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, most: int = SAMPLE_DOCS) -> DataFrame:
     """judge() with the field fitted on ``most`` documents of ``labelled`` that ``labels`` (doc_id, quality) covers."""
     return judge(docs, fit(sample(labelled, labels, most)), share)
+
+
+def retain(docs: DataFrame, labelled: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, most: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of ``docs`` that rules() keeps, with all their columns."""
+    field = fit(sample(labelled, labels, most))
+    return keep_rows(docs, "text", lambda block: verdict(block, field, share)[2])

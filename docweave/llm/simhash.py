@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.arrowtext import blocks
+from docweave.llm.arrowtext import LOWER, Block, blocks, split, window_hashes, word_hashes
 from docweave.llm.components import components
+from docweave.llm.suffix import marks
 from docweave.plans.session import checkpoint, shuffle_partitions
 
 #: Words of a shingle, bits that may differ.
@@ -283,6 +284,83 @@ def _solved(held: tuple[list[bytes], list[bytes]], reach: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(fps[joined]), pa.array(fps[labels[joined]])], ["a", "b"])
 
 
+# --- groups of near copies, for a corpus pipeline ---
+
+#: Five-word shingles, and a similarity of 0.8: at most 12 of 64 bits differ.
+COPY_SHINGLE, COPY_DISTANCE = 5, 12
+#: Words of a run that near copies share, and of the stretch in which it is chosen.
+RUN, STRETCH = 12, 32
+
+
+def _runs(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each row's chosen runs of words: the least hash in every stretch of words marks one.
+
+    A text shorter than a stretch has one, its least; shorter than a run, all its words.
+    """
+    block = Block(block.lo, block.hi, LOWER[block.data], block.offsets)
+    words = split(block)
+    if not len(words.starts):
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    hashes = word_hashes(block.data, words)
+    _, marked, grams = marks(words, hashes, STRETCH, RUN)
+    at = np.unique(marked)
+    rows, keys = [np.searchsorted(words.first, at, "right") - 1], [grams[at]]
+    n = np.diff(words.first)
+    for i in np.flatnonzero((n > 0) & (n < STRETCH)).tolist():
+        some = grams[words.first[i] : words.first[i + 1] - RUN + 1] if n[i] >= RUN else window_hashes(hashes[words.first[i] : words.first[i + 1]], int(n[i]))
+        rows.append(np.array([i]))
+        keys.append(some.min(keepdims=True))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _described(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp and the keys of chosen runs of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                n = block.hi - block.lo
+                fps = np.array([fingerprint(block.text(i), size) for i in range(n)], U)
+                row, keys = _runs(block)
+                order = np.argsort(row, kind="stable")
+                offsets = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), pa.array(fps.view(np.int64)), lists], ["doc_id", "fp", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, keys array<long>")
+
+
+def near_copies(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of groups of near copies.
+
+    Fingerprints link at DISTANCE or fewer bits, found by the vantage-point trees, as well as at
+    ``reach`` or fewer bits if their texts share a chosen run of RUN words. No tree can prune at the
+    wider distance, where unrelated texts' fingerprints meet too; the shared run makes up for both.
+    A run's fingerprints are held against the least of them: near copies share many runs, so that a
+    run that many unrelated texts share hides none, and no pairs are made. Nulls are as in
+    near_duplicates().
+    """
+    rows = checkpoint(_described(docs, size))
+    points = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    runs = rows.select("fp", F.explode("keys").alias("key")).distinct()
+    least = runs.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    near = runs.join(least, "key").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= reach))
+    edges = links(points).union(near.select("fp", "b"))
+    return _named(rows.select("doc_id", "fp"), points, edges).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
+    """The rows with all their columns, of each group of near copies the document of the least id, once.
+
+    Documents without an id stand for one document, the first of all.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    ided = docs.withColumn("__id", key)
+    groups = near_copies(ided.select(F.col("__id").alias("doc_id"), "text"), reach, size)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return ided.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+
+
 def near_duplicates(docs: DataFrame, reach: int = DISTANCE, size: int = SHINGLE, shard_size: int = SHARD_SIZE) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the least id it is linked to.
 
@@ -293,8 +371,13 @@ def near_duplicates(docs: DataFrame, reach: int = DISTANCE, size: int = SHINGLE,
     """
     rows = checkpoint(fingerprints(docs, size))  # slim: two numbers a row
     points = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(points, reach, shard_size))
+    return _named(rows, points, links(points, reach, shard_size)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with component_id, the least id of all rows whose fingerprints the edges join."""
+    roots = components(edges)
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_point = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_point, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_point, "fp")
