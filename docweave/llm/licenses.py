@@ -9,6 +9,7 @@ allowed share of the template's bigrams contain; lines without any such word can
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass
@@ -73,8 +74,8 @@ class Template:
 
 
 def normal(text: str) -> tuple[str, ...]:
-    """Words of ASCII letters, digits and all beyond ASCII, A-Z lower-cased."""
-    return tuple(re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    """Lower-cased words of ASCII letters, digits and all beyond ASCII."""
+    return tuple(re.findall(WORD, text.lower()))
 
 
 def templates(named: dict[str, tuple[str, ...]]) -> list[Template]:
@@ -90,25 +91,31 @@ def sizes(b: int, threshold: float) -> range:
     return range(max(1, math.ceil(b * threshold / (2 - threshold) - 1e-9)), math.floor(b * (2 - threshold) / threshold + 1e-9) + 1)
 
 
-def anchors(t: Template, threshold: float) -> list[str]:
-    """Words so chosen that a line without any of them shares too few of the template's bigrams.
+def anchors(all_: list[Template], threshold: float) -> list[str]:
+    """Words so chosen that a line without any of them shares too few bigrams with every template.
 
-    A line that reaches the threshold shares at least threshold / (2 - threshold) of them; once the
-    bigrams that hold a chosen word are so many that fewer remain, any such line holds a chosen word.
+    A line that reaches the threshold shares at least threshold / (2 - threshold) of a template's
+    bigrams; once those that hold a chosen word are so many that fewer remain, any such line holds a
+    chosen word. Rarer words in running text, and words that serve several templates, are taken first.
     """
-    left = t.bigrams
-    need = math.ceil(len(left) * threshold / (2 - threshold) - 1e-9)
     common = set("a all and any are as be by for in is it of on or that the this to under with you".split())
-    out: list[str] = []
-    while len(left) >= need:
-        counts: dict[str, int] = {}
-        for gram in left:
-            for w in dict.fromkeys(gram.split()):
-                counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (w not in common, counts[w], len(w), w))
-        out.append(best)
-        left = [g for g in left if best not in g.split()]
-    return out
+    serves: dict[str, int] = {}
+    for t in all_:
+        for w in set(t.words):
+            serves[w] = serves.get(w, 0) + 1
+    out: dict[str, None] = {}
+    for t in all_:
+        need = math.ceil(len(t.bigrams) * threshold / (2 - threshold) - 1e-9)
+        left = [g for g in t.bigrams if not any(w in out for w in g.split())]
+        while len(left) >= need:
+            counts: dict[str, int] = {}
+            for gram in left:
+                for w in dict.fromkeys(gram.split()):
+                    counts[w] = counts.get(w, 0) + 1
+            best = max(counts, key=lambda w: (len(w) > 6, w not in common and not w.isdigit(), counts[w], serves[w], len(w), w))
+            out[best] = None
+            left = [g for g in left if best not in g.split()]
+    return sorted(out)
 
 
 def _bag(grams: Column) -> Column:
@@ -137,15 +144,17 @@ def scan(docs: DataFrame, named: dict[str, tuple[str, ...]] | None = None, thres
         for n in sizes(len(t.bigrams), threshold):
             by_size.setdefault(n, []).append(i)
     longest = max(by_size)
-    words = sorted({w for t in all_ for w in anchors(t, threshold)}, key=lambda w: (-len(w), w))
-    holds = "(" + "|".join(map(re.escape, words)) + ")"
+    words = anchors(all_, threshold)
+
+    def holds(x: Column) -> Column:
+        return functools.reduce(Column.__or__, (x.contains(w) for w in words))
+
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    # only ASCII letters are folded: lower() is applied to a text's ASCII letters through translate
-    folded = F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.split(folded, "\n")
-    some = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("body"))), lambda x: x["body"].rlike(holds))
-    found = F.when(folded.rlike(holds), some).otherwise(F.array().cast("array<struct<line:int,body:string>>"))
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), found.alias("found"))
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(body).alias("body"))
+    none = F.array().cast("array<struct<line:int,body:string>>")
+    some = F.filter(F.transform(F.split("body", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("body"))), lambda x: holds(x["body"]))
+    n_lines = (F.octet_length("body") - F.octet_length(F.replace("body", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    slim = slim.select("doc_id", n_lines.alias("n_lines"), F.when(holds(F.col("body")), some).otherwise(none).alias("found"))
     grams = F.transform(
         F.col("found"),
         lambda x: F.struct(x["line"].alias("line"), F.regexp_extract_all(x["body"], F.lit(WORD), F.lit(0)).alias("words")),
