@@ -1,0 +1,377 @@
+"""Operators on single texts: quality, personal data, licences, decontamination, token counts, BPE, shards."""
+
+import hashlib
+import random
+import re
+from collections import Counter as Bag
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, tokencount
+from docweave.llm.arrowtext import blocks, split
+from tokenizers import Tokenizer, models
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def rows_of(df, *names):
+    return sorted(((r.doc_id is not None, r.doc_id or 0, *(getattr(r, n) for n in names)) for r in df.collect()), key=repr)
+
+
+def test_blocks_cut_rows_not_words():
+    texts = ["a b", None, "", "ü 日本", "x" * 50, " c "]
+    for limit in (1, 7, 1000):
+        got = []
+        for block in blocks(pa.array(texts), limit):
+            words = split(block)
+            got += [[block.data[a:b].tobytes().decode() for a, b in zip(words.starts[x:y], words.ends[x:y], strict=True)] for x, y in zip(words.first[:-1], words.first[1:], strict=True)]
+        assert got == [(t or "").split() for t in texts]
+    sliced = pa.array(texts).slice(3, 2)
+    assert [b.text(0).decode() for b in blocks(sliced, 1)] == texts[3:5]
+
+
+# --- quality ---
+
+
+def brute_quality(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    count, marks = Bag(grams), [0] * len(w)
+    for k, g in enumerate(grams):
+        if count[g] > 1:
+            marks[k : k + 5] = [1] * 5
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, sum(marks), len(w) < 10 or 100 * sum(marks) > 20 * len(w)
+
+
+def test_quality_counts(odd, odd_rows):
+    got = rows_of(quality.judge(odd, quality.DEFAULT), *quality.COUNTS, "base_failed")
+    want = sorted(((d is not None, d or 0, *brute_quality(t)) for d, t, *_ in odd_rows), key=repr)
+    assert got == want
+
+
+def test_viterbi_is_the_best_labelling():
+    rng = np.random.default_rng(2)
+    field = quality.Field(tuple(rng.normal(size=quality.N)), ((0.7, -0.4), (-0.9, 0.6)))
+    bits = rng.integers(0, 1 << quality.N, 8 * 3)
+    row = np.repeat(np.arange(3), 8)
+    label = field.decode(bits, row, 3)
+    emit = quality._features(bits) @ np.array(field.emit)
+    for r in range(3):
+        e = emit[8 * r : 8 * r + 8]
+
+        def score(path, e=e):
+            return sum(e[i] for i, s in enumerate(path) if s) + sum(field.move[a][b] for a, b in zip(path, path[1:], strict=False))
+
+        best = max(score([m >> i & 1 for i in range(8)]) for m in range(256))
+        assert score(label[8 * r : 8 * r + 8].tolist()) == pytest.approx(best)
+
+
+def good_and_poor(rng, n):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    out = []
+    for i in range(n):
+        if i % 3:
+            lines = [" ".join(word() for _ in range(rng.randint(8, 25))).capitalize() + "." for _ in range(rng.randint(2, 8))]
+        elif i % 2:
+            lines = [" | ".join(word() for _ in range(rng.randint(3, 12))) for _ in range(rng.randint(4, 9))]
+        else:
+            lines = [" ".join(word() + rng.choice(["%%%", "&&&", "$$$"]) for _ in range(rng.randint(8, 25))) for _ in range(rng.randint(2, 8))]
+        out.append((i, "\n".join(lines), int(i % 3 > 0)))
+    return out
+
+
+def test_field_learns_lines(spark):
+    rng = random.Random(6)
+    data = good_and_poor(rng, 400)
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in data[:200]], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.rules(docs, docs, labels).collect()}
+    held_out = data[200:]
+    assert all(kept[i] for i, _, q in held_out if q)
+    assert np.mean([not kept[i] for i, _, q in held_out if not q]) > 0.95
+    assert sorted(r.doc_id for r in quality.retain(docs, docs, labels).collect()) == sorted(i for i in kept if kept[i])
+
+
+def test_field_without_labels(spark, odd, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.rules(empty, empty, labels).count() == 0
+    assert quality.retain(odd, odd, labels).columns == odd.columns
+    assert quality.fit([]) == quality.DEFAULT
+
+
+# --- personal data ---
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    parts = ["a", "1", "4", "12", "255", "256", ".", ".", "@", "@", "+", "-", " ", "(", ")", "é", "b.c", "0", "4111111111111111", "\n"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_base_spans_of_long_runs_in_linear_time():
+    for text in ("1" * 300_000, "a" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "1 " * 150_000):
+        pii.base_spans(text)
+
+
+def test_field_on_held_out_texts():
+    found = gold = right = 0
+    for text, spans in pii.made_up(1234, 300):
+        got = set(pii.decode(text, pii.WEIGHTS))
+        found, gold, right = found + len(got), gold + len(spans), right + len(got & set(spans))
+    assert right / gold > 0.95
+    assert right / found > 0.95
+
+
+def test_training_gives_the_weights():
+    assert np.allclose(pii.train(), pii.WEIGHTS)
+
+
+def test_decoding_is_the_best_segmentation():
+    text = 'key = "a1b2c3d4e5f6a7b8c9d0" call +1 (389) 555-5010 x'
+    tokens = next(iter(pii.regions(text)))
+
+    def best(j):  # plain recursion over all segmentations
+        if j == 0:
+            return 0.0
+        out = best(j - 1)
+        for i in range(max(0, j - pii.LONGEST), j):
+            a, b = tokens[i][0], tokens[j - 1][1]
+            if any(pii.HOT.match(text, t[0]) for t in tokens[i:j]) and pii._may(text, a, b) and b - a <= pii.MOST_CHARS and all(text[t[0]] in pii.PLAIN or text[t[0]].isalnum() for t in tokens[i:j]):
+                s = pii.score(pii.WEIGHTS, *pii.features(text, a, b, pii._cue(text, tokens, i)))
+                out = max(out, memo(i) + float(s.max()))
+        return out
+
+    known = {}
+
+    def memo(j):
+        if j not in known:
+            known[j] = best(j)
+        return known[j]
+
+    for j in range(len(tokens) + 1):
+        memo(j)
+    got = 0.0
+    for kind, a, b in pii.decode(text, pii.WEIGHTS):
+        i = next(k for k, t in enumerate(tokens) if t[0] == a)
+        got += float(pii.score(pii.WEIGHTS, *pii.features(text, a, b, pii._cue(text, tokens, i)))[pii.KINDS.index(kind)])
+    assert got == pytest.approx(memo(len(tokens)))
+    assert {k for k, _, _ in pii.decode(text, pii.WEIGHTS)} == {"secret", "phone"}
+
+
+def test_find_and_replace(odd, odd_rows, empty):
+    got = rows_of(pii.find(odd), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    want = []
+    for d, t, *_ in odd_rows:
+        spans = brute_spans(t or "")
+        kinds = [k for k, _, _ in spans]
+        want.append((d is not None, d or 0, *(kinds.count(k) for k in PATTERNS), hashlib.sha256(pii.show(spans).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    clean = pii.replace(odd)
+    assert clean.columns == odd.columns
+    texts = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
+    assert texts[13] == ("mail me: <email> or <phone> now", 31)
+    assert texts[0] == (None, None)
+    assert pii.find(empty).count() == 0
+    # a base span stays; what the field adds never meets one
+    base, all_ = pii.spans_of('write jo@x.org, token = "a1b2c3d4e5f6a7b8c9d0e1"')
+    assert base == [("email", 6, 14)]
+    assert all_ == [("email", 6, 14), ("secret", 24, 48)]
+
+
+# --- licences ---
+
+
+def brute_license(text, threshold=licenses.THRESHOLD):
+    out = []
+    for i, line in enumerate((text or "").lower().split("\n")):
+        w = ALNUM.findall(line)
+        grams, best = Bag(zip(w, w[1:], strict=False)), (0.0, 0, "")
+        for k, t in enumerate(licenses.templates(licenses.TEMPLATES)):
+            other = Bag(zip(t.words, t.words[1:], strict=False))
+            best = max(best, (2 * sum((grams & other).values()) / max(1, sum(grams.values()) + sum(other.values())), -k, t.licence))
+        if best[0] >= threshold - 1e-12:
+            out.append((i, best[2], round(best[0], 9)))
+    return out
+
+
+def test_licenses(spark, odd, odd_rows, empty):
+    rng = random.Random(1)
+    rows = [(i, t) for i, t in enumerate(t for d, t, *_ in odd_rows)]
+    for template in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        for drop in range(6):
+            w = template.split()
+            for _ in range(drop):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["other"], [w[k], "more"]])
+                w = w or ["x"]
+            rows.append((len(rows), "first line\n" + " ".join(w).upper()))
+    found = {r.doc_id: [(m.line, m.license, round(m.dice, 9)) for m in r.matches] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: brute_license(t) for i, t in rows}
+    assert any(len(x) for x in found.values())
+    assert licenses.scan(empty).count() == 0
+    assert licenses.scan(odd).count() == len(odd_rows)
+
+
+# --- decontamination ---
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute_hits(docs, items, window):
+    patterns = {}
+    for item, text in items:
+        w = ALNUM.findall(low(text))
+        m = min(window, len(w))
+        for k in range(len(w) - m + 1 if w and item is not None else 0):
+            patterns.setdefault(tuple(w[k : k + m]), set()).add(item)
+    out = []
+    for doc, text, *_ in docs:
+        w = ALNUM.findall(low(text))
+        hit, found = [0] * len(w), set()
+        for m in {len(p) for p in patterns}:
+            for k in range(len(w) - m + 1):
+                if got := patterns.get(tuple(w[k : k + m])):
+                    found |= got
+                    hit[k : k + m] = [1] * m
+        out.append((doc is not None, doc or 0, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), sum(hit) > 0))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most_bytes", [decontam.MOST_BYTES, 40])
+def test_wu_manber(spark, odd, odd_rows, empty, most_bytes):
+    rng = random.Random(9)
+    vocabulary = ["a", "b", "Cc", "d1", "é", "the"]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 1500)))) for i in range(60)] + [(100 + i, t) for i, (_, t, *_) in enumerate(odd_rows)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 14)))) for i in range(40)] + [(None, "the the"), (77, None), (5, "a b"), (200, odd_rows[6][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window in (10, 3):
+        got = rows_of(decontam.contamination(df, bench, window, most_bytes), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert got == brute_hits(docs, items, window)
+    kept = decontam.clean(odd, bench, 10, most_bytes)
+    assert kept.columns == odd.columns
+    assert rows_of(kept) == sorted((r[:2] for r in brute_hits(odd_rows, items, 10) if not r[-1]), key=repr)
+    assert decontam.contamination(empty, bench).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert not any(r.contaminated for r in decontam.contamination(odd, none).collect())
+
+
+# --- tokens ---
+
+
+def test_counts_as_the_unigram_library(odd, odd_rows, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = tokencount.load_pieces(path)
+    library = Tokenizer(models.Unigram([("unk", 0.0), *pieces], 0, False))
+
+    def brute(text):
+        text = tokencount.MARK + text.replace(" ", tokencount.MARK) if text else ""
+        encoded = library.encode(text)
+        return sum(len(text[a:b].encode()) if i == 0 else 1 for i, (a, b) in zip(encoded.ids, encoded.offsets, strict=True))
+
+    got = rows_of(tokencount.counts(odd, path), "n_tokens")
+    assert got == sorted(((d is not None, d or 0, brute(t or "")) for d, t, *_ in odd_rows), key=repr)
+    assert tokencount.counts(empty, path).count() == 0
+
+
+def test_ties_and_unknowns():
+    c = tokencount.Counter([("a", -1.0), ("aa", -2.0), ("ab", -2.5), ("b", -1.0), ("▁", -1.0)])
+    assert c.solve("aab") == (-3.0, 2)  # aa|b ties with a|a|b: the last piece that begins first wins at each place
+    assert c.solve("é") == (-12.5, 2)
+    assert c.count("") == (0.0, 0)
+    whole = tokencount.Counter([("x▁y", -1.0), ("x", -1.0), ("y", -1.0), ("▁", -1.0)])
+    assert whole.count("x y")[1] == 2  # pieces across marks: nothing is cut
+
+
+def test_bpe_as_the_library(odd, odd_rows, empty):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bbpe.load_ranks(path), special_tokens={})
+    rows = bbpe.encode(odd, path, pattern, with_ids=True).collect()
+    want = sorted(((d, t or "") for d, t, *_ in odd_rows), key=repr)
+    got = sorted(((r.doc_id, r.decoded.decode()) for r in rows), key=repr)
+    assert got == want
+    for r in rows:
+        ids = library.encode_ordinary(r.decoded.decode())
+        assert r.ids == ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded).hexdigest()
+    assert bbpe.encode(empty, path, pattern).count() == 0
+
+
+def test_bpe_of_long_pre_tokens():
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bbpe.load_ranks(path), special_tokens={})
+    codec = bbpe.codec(path, pattern)
+    rng = random.Random(5)
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(20000)), "a" * 4001, "é" * 3000, "=" * 999, "the" * 1000):
+        assert [int(x) for x in codec.encode(text).split()] == library.encode_ordinary(text)
+
+
+def test_rank_queue():
+    rng = random.Random(2)
+    queue, plain = bbpe.RankQueue(5000), []
+    for _ in range(5000):
+        if plain and rng.random() < 0.45:
+            assert queue.pop() == min(plain)
+            plain.remove(min(plain))
+        else:
+            item = (rng.randrange(5000), rng.randrange(50))
+            queue.push(*item)
+            plain.append(item)
+
+
+# --- shards ---
+
+
+def test_shards(odd, odd_rows, empty):
+    tree = sharding.Tree.even(5, 2, 4)
+    rows = sharding.shard(odd, tree).collect()
+    assert len(rows) == len(odd_rows)
+    sizes = sorted((d is not None, d or 0, len((t or "").encode()) + 16) for d, t, *_ in odd_rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size) for r in rows) == sizes
+    for s in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard(empty, tree).count() == 0
+
+
+def test_only_the_new_shard_gains(spark):
+    tree = sharding.Tree(((((0, 1.0), (1, 3.0)), ((2, 2.0),)), (((3, 1.0), (4, 1.0)),)))
+    ids = spark.range(20000).toDF("doc_id")
+    placed = sharding.place(sharding.place(ids, tree, "doc_id", ""), tree.grown(2.0), "doc_id", "new_")
+    moved = {(r.shard, r.new_shard): r["count"] for r in placed.groupBy("shard", "new_shard").count().collect()}
+    assert {b for a, b in moved if a != b} == {5}
+    shares = Bag()
+    for (_, b), n in moved.items():
+        shares[b] += n / 20000
+    assert [round(shares[i] * 10, 0) for i in range(6)] == [1, 3, 2, 1, 1, 2]
