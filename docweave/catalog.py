@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from docweave import catalog_search
+
+QUERIES = {**catalog_search.QUERIES}
+ORACLES = {**catalog_search.ORACLES}
