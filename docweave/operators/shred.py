@@ -239,7 +239,7 @@ def _one(relmap: RelMap, text: str | None) -> Iterator[tuple]:
     kind = id_ = None
     try:
         document = loads(text or "null")
-        kind = document.get("resourceType") if isinstance(document, dict) else None
+        kind, id_ = (document.get("resourceType"), document.get("id")) if isinstance(document, dict) else (None, None)
         if not isinstance(kind, str) or kind not in relmap.resources:
             raise DocumentError("resourceType", "missing, or no type of this map")
         resource = relmap.resources[kind]
@@ -248,7 +248,8 @@ def _one(relmap: RelMap, text: str | None) -> Iterator[tuple]:
             raise DocumentError("id", "missing")
     except (DocumentError, ValueError) as problem:
         said = str(problem) if isinstance(problem, DocumentError) else "not JSON"
-        yield kind, id_ if isinstance(id_, str) else None, None, None, None, said
+        named = (x if isinstance(x, str) and not isinstance(x, Number) else None for x in (kind, id_))
+        yield *named, None, None, None, said
         return
     for (table, ords), row in rows.rows.items():
         fill_folded(resource.tables[table], row)
