@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave import catalog_search
+from docweave import catalog_documents, catalog_search
 
-QUERIES = {**catalog_search.QUERIES}
-ORACLES = {**catalog_search.ORACLES}
+QUERIES = {**catalog_search.QUERIES, **catalog_documents.QUERIES}
+ORACLES = {**catalog_search.ORACLES, **catalog_documents.ORACLES}

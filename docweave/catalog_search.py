@@ -56,7 +56,7 @@ _search("string_contains_wildcards", "Document", "text:contains=%25%25%25", DOC
 # --- numbers and quantities ---
 
 for op, sign in {"eq": "=", "ne": "<>", "lt": "<", "gt": ">", "ge": ">=", "le": "<="}.items():
-    _search(f"number_{op}", "Part", f"price={op}1500", PART + f"p_retailprice {sign} 1500")
+    _search(f"number_{op}", "Part", f"price={op}950", PART + f"p_retailprice {sign} 950")
 _search("quantity_value_unit", "Part", "size=gt20||SMALL", PART + "p_size > 20 AND p_type = 'SMALL'")
 _search("quantity_system_unit", "Part", "size=le30|Brand%2311", PART + "p_size <= 30 AND p_brand = 'Brand#11'")
 
@@ -65,7 +65,7 @@ _search("quantity_system_unit", "Part", "size=le30|Brand%2311", PART + "p_size <
 _search("date_year", "Order", "date=1997", ORDER + "o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
 _search("date_month", "Order", "date=1996-12", ORDER + "o_orderdate >= TIMESTAMP '1996-12-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
 _search("date_day", "Order", "date=1996-02-29", ORDER + "o_orderdate >= TIMESTAMP '1996-02-29' AND o_orderdate < TIMESTAMP '1996-03-01'")
-_search("date_instant", "Event", "date=2024-01-05T10:30:00Z", EVENT + "ts >= TIMESTAMP '2024-01-05 10:30:00' AND ts < TIMESTAMP '2024-01-05 10:30:01'")
+_search("date_instant", "Event", "date=2024-01-01T00:03:52Z,2024-01-01T00:00:07Z", EVENT + "ts BETWEEN TIMESTAMP '2024-01-01 00:03:52' AND TIMESTAMP '2024-01-01 00:03:52.999999' OR ts BETWEEN TIMESTAMP '2024-01-01 00:00:07' AND TIMESTAMP '2024-01-01 00:00:07.999999'")
 _search("date_ne", "Order", "date=ne1997", ORDER + "NOT (o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01')")
 _search("date_lt_eb", "Order", "date=lt1996,eb1995-06", ORDER + "o_orderdate < TIMESTAMP '1996-01-01' OR o_orderdate < TIMESTAMP '1995-06-01'")
 _search("date_gt_sa", "Order", "date=gt1998-06&date=sa1998", ORDER + "o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate >= TIMESTAMP '1999-01-01'")
@@ -87,8 +87,8 @@ _search("ref_typed", "Order", "customer=Customer/7", ORDER + "o_custkey = 7")
 _search("ref_bare", "Order", "customer=11", ORDER + "o_custkey = 11")
 _search("ref_type_modifier", "Order", "customer:Customer=12,13", ORDER + "o_custkey IN (12, 13)")
 _search("ref_other_type", "Order", "customer=Supplier/7", ORDER + "false")
-_search("ref_url", "Page", "address=https://site1.example/p/1", "SELECT cast(page_id AS varchar) AS id FROM pages WHERE url = 'https://site1.example/p/1'")
-_search("uri_exact", "Page", "url=https://site1.example/p/1", "SELECT cast(page_id AS varchar) AS id FROM pages WHERE url = 'https://site1.example/p/1'")
+_search("ref_url", "Page", "address=http://ththre.example.com/fr/825%3Fpage%3D2%26ref%3Dx", "SELECT cast(page_id AS varchar) AS id FROM pages WHERE url = 'http://ththre.example.com/fr/825?page=2&ref=x'")
+_search("uri_exact", "Page", "url=http://ththre.example.com/fr/825%3Fpage%3D2%26ref%3Dx", "SELECT cast(page_id AS varchar) AS id FROM pages WHERE url = 'http://ththre.example.com/fr/825?page=2&ref=x'")
 
 # --- joins ---
 
@@ -97,7 +97,7 @@ _search("child_ne_semantics", "Order", "item-date=ne1997", ORDER + ITEM.format("
 _search("or_exists_targets", "Order", "any-flag=P,R", ORDER + "o_orderstatus IN ('P', 'R') OR " + ITEM.format("l_returnflag IN ('P', 'R')"))
 _search("and_params", "Order", "status=F&item-quantity=ge48&item-flag=O|R,F|A&date=lt1999", ORDER + "o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1999-01-01' AND " + ITEM.format("l_quantity >= 48") + " AND " + ITEM.format("((l_linestatus = 'O' AND l_returnflag = 'R') OR (l_linestatus = 'F' AND l_returnflag = 'A'))"))
 _search("chain_base", "Order", "customer:Customer.segment=BUILDING", ORDER + "EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
-_search("chain_child", "Order", "part:Part.price=gt1900", ORDER + ITEM.format("EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_retailprice > 1900)"))
+_search("chain_child", "Order", "part:Part.price=gt990", ORDER + ITEM.format("EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_retailprice > 990)"))
 _search("chain_string", "Customer", "nation:Nation.name=nation_1", CUSTOMER + "EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND starts_with(lower(n_name), 'nation_1'))")
 
 
