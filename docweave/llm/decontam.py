@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import ALNUM, LOWER, WINDOW_BASE, Block, Words, blocks, keep_rows, mix, powers, sha256, split, word_hashes
+from docweave.plans.session import checkpoint
 
 #: Words of a window.
 WINDOW = 10
@@ -155,63 +156,77 @@ def _search(sets: list[Patterns], block: Block) -> tuple[Words, np.ndarray, list
     return words, np.cumsum(marks)[:n] > 0, items
 
 
-def _parts(benchmark: DataFrame, most: int) -> list[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of bounded size, read one after the other through the driver."""
-    parts, size = [[]], 0
+def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark in blocks of bounded size, one after the other through the driver; one block at least."""
+    part, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         n = len((row[1] or "").encode("utf-8", "replace"))
-        if parts[-1] and size + n > most:
-            parts.append([])
-            size = 0
-        parts[-1].append((row[0], row[1]))
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append((row[0], row[1]))
         size += n
-    return parts
+    yield part
+
+
+SEARCHED = "doc_id long, text string, hits binary, items array<long>"
+
+
+def _pass(docs: DataFrame, part: list[tuple[int, str | None]], window: int) -> DataFrame:
+    """Adds one part's hit words (a bit each) and items to what passes before it found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = tables(part, window)
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                n = block.hi - block.lo
+                words, hit, items = _search(sets, block)
+                before = batch.slice(block.lo, n)
+                masks = []
+                for i, raw in enumerate(before.column(2).to_pylist()):
+                    mine = np.packbits(hit[words.first[i] : words.first[i + 1]])
+                    masks.append((mine if raw is None else mine | np.frombuffer(raw, np.uint8)).tobytes())
+                found = [sorted({*old, *new}) for old, new in zip((x or () for x in before.column(3).to_pylist()), items, strict=True)]
+                yield pa.RecordBatch.from_arrays([before.column(0), before.column(1), pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "hits", "items"])
+
+    return docs.mapInArrow(run, SEARCHED)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (array of long).
 
     A document word is hit if any occurrence of a window covers it. The tables of the patterns go to
-    the workers only up to ``most_bytes`` of benchmark text; a larger benchmark is cut into parts, the
-    documents are searched for each, and the parts' hits are merged per document. So that parts can be
-    merged, they return the hit words as spans, keyed by the row's own position in its batch.
+    the workers only up to ``most_bytes`` of benchmark text; a larger benchmark is cut into parts, each
+    a pass of its own over the documents, written in the shared folder before the next.
 
     Null and empty texts have no words and no hits. Null ids pass through; repeated rows each get
     their own row. An empty benchmark hits nothing. Other columns are ignored.
     """
-    parts = _parts(benchmark, most_bytes)
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<long>").alias("items"))
+    for k, part in enumerate(_parts(benchmark, most_bytes)):
+        state = _pass(checkpoint(state) if k else state, part, window)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [tables(p, window) for p in parts] if len(parts) == 1 else None
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for block in blocks(batch.column(1)):
-                hit, found = None, None
-                for part in parts:  # one part's tables at a time
-                    words, covered, items = _search(made[0] if made else tables(part, window), block)
-                    hit = covered if hit is None else hit | covered
-                    if found is None:
-                        found = items
-                    else:
-                        for a, b in zip(found, items, strict=True):
-                            a.update(b)
-                sums = np.concatenate(([0], np.cumsum(hit)))
-                n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
-                names = [sorted(x) for x in found]
+                mine = batch.slice(block.lo, block.hi - block.lo)
+                n_hit = pa.array([int(np.bitwise_count(np.frombuffer(m, np.uint8)).sum()) for m in mine.column(2).to_pylist()], pa.int64())
+                names = mine.column(3).to_pylist()
                 digests = [sha256(",".join(sorted(map(str, x))).encode()) for x in names]
+                n_words = np.diff(split(Block(0, 0, LOWER[block.data], block.offsets), ALNUM).first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(block.lo, block.hi - block.lo), pa.array(np.diff(words.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digests), pa.array(n_hit > 0), pa.array(names, pa.list_(pa.int64()))],
+                    [mine.column(0), pa.array(n_words, pa.int64()), n_hit, pa.array([len(x) for x in names], pa.int64()), pa.array(digests, pa.string()), pa.array([x.as_py() > 0 for x in n_hit], pa.bool_()), mine.column(3)],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return state.mapInArrow(digest, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with all their columns."""
-    for part in _parts(benchmark, most_bytes):
-        docs = _clean(docs, part, window)
+    for k, part in enumerate(_parts(benchmark, most_bytes)):
+        docs = _clean(checkpoint(docs) if k else docs, part, window)
     return docs
 
 
