@@ -67,8 +67,8 @@ def order_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _shredded(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
-    made, _ = shred.shred(order_documents(spark, path), order_map())
-    return [made[n] for n in names]
+    rows = shred.tagged(order_documents(spark, path), order_map())
+    return [shred.table_of(rows, t) for n in names for t in order_map().resources["Order"].tables if t.name == n]
 
 
 @_query("shred_base", "SELECT cast(o_orderkey AS varchar) AS id, o_orderstatus AS status, cast(o_totalprice AS decimal(18,2))::double AS total, o_orderdate AS date, 'Customer' AS customer_ref_type, cast(o_custkey AS varchar) AS customer_ref_id, cast(NULL AS varchar) AS customer_ref_url FROM orders")

@@ -19,6 +19,7 @@ from docweave.functions.refs import parse
 from docweave.functions.temporal import date_sort, datetime_sort
 from docweave.functions.text import fold, folded
 from docweave.plans.model import Element, RelMap, Resource, Table
+from docweave.plans.session import checkpoint, spread
 
 TAGGED = "rtype string, rid string, tbl string, ords array<smallint>, cols map<string,string>, error string"
 #: Ordinals fit a smallint.
@@ -232,7 +233,7 @@ def tagged(docs: DataFrame, relmap: RelMap, body: str = "body") -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col(body).cast("string")).mapInArrow(run, TAGGED)
+    return spread(docs.select(F.col(body).cast("string"))).mapInArrow(run, TAGGED)
 
 
 def _one(relmap: RelMap, text: str | None) -> Iterator[tuple]:
@@ -287,8 +288,8 @@ def table_of(rows: DataFrame, table: Table) -> DataFrame:
 
 
 def shred(docs: DataFrame, relmap: RelMap, kinds: list[str] | None = None, body: str = "body") -> tuple[dict[str, DataFrame], DataFrame]:
-    """({table name: rows}, errors). The tagged rows are written once by whoever reads more than one table."""
-    rows = tagged(docs, relmap, body)
+    """({table name: rows}, errors). The tagged rows are written once, in the shared folder, so that many tables can be read of them."""
+    rows = checkpoint(tagged(docs, relmap, body))
     out = {t.name: table_of(rows.where(F.col("rtype") == k), t) for k in kinds or relmap.resources for t in relmap.resources[k].tables if t.kind != "history"}
     return out, errors(rows)
 

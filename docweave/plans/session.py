@@ -58,3 +58,13 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of documents that one task of Python work should have at most before it pays to deal them out.
+TASK_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs dealt over all cores before Python work; larger ones stay as their files are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size_in_bytes(df) < cores * TASK_BYTES else df
