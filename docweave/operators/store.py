@@ -13,6 +13,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -60,10 +61,10 @@ class Audit:
     reason: str = ""
 
 
-@F.udf(StringType())
-def canonical(body: str | None) -> str | None:
+@F.pandas_udf(StringType())
+def canonical(body: pd.Series) -> pd.Series:
     """Sorted keys, no white space, numbers as written."""
-    return None if body is None else dumps(loads(body), sort_keys=True)
+    return body.map(lambda b: None if b is None else dumps(loads(b), sort_keys=True))
 
 
 class Store:
