@@ -378,6 +378,8 @@ def _named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
     """rows with component_id, the least id of all rows whose fingerprints the edges join."""
     roots = components(edges)
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a component with very many fingerprints can be split over tasks in the join
+    named = checkpoint(named)
+    least = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
     by_point = named.join(least, "root").select("fp", "component_id")
     return rows.join(by_point, "fp")
