@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, simhash, substring, suffix, tokencount
+from docweave.llm import bbpe, decontam, licenses, oracles, pii, quality, sharding, simhash, substring, suffix, tokencount
 
 #: 5 regions of 2 racks of 4 shards.
 SHARDS = sharding.Tree.even(5, 2, 4)
@@ -74,4 +74,4 @@ QUERIES = {
     "op9_viterbi_counts": op9_viterbi_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -147,3 +147,29 @@ def test_group_is_sparks(spark):
     ids = [0, 1, -5, 1 << 40, -(1 << 63)]
     rows = spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("cast(pmod(xxhash64(i), 97) as int) g").collect()
     assert substring.group_of(np.array(ids), 97).tolist() == [r.g for r in rows]
+
+
+def test_near_copies_of_eighty_percent(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts, group = [], []
+    passage = [word() for _ in range(60)]  # stands in many unrelated texts
+    for g in range(120):
+        w = [word() for _ in range(int(rng.integers(80, 400)))]
+        if g % 3 == 0:
+            w[20:20] = passage
+        texts.append(w)
+        group.append(g)
+        for _ in range(g % 4):  # each edit breaks five shingles
+            near = list(w)
+            for k in rng.choice(len(w), max(1, len(w) // 50), replace=False):
+                near[k] = word()
+            texts.append(near)
+            group.append(g)
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if group[i] == group[j] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    assert len(pairs) > 80
+    assert np.mean([found[i] == found[j] for i, j in pairs]) > 0.9
+    assert all(group[i] == group[c] for i, c in found.items())  # unrelated texts stay apart, shared passage or not
