@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import LOWER, Block, blocks, mix, split, window_hashes, word_hashes
 from docweave.llm.components import components
-from docweave.llm.suffix import marks
 from docweave.plans.session import checkpoint, shuffle_partitions
 
 #: Words of a shingle, bits that may differ.
@@ -295,75 +294,147 @@ def _solved(held: tuple[list[bytes], list[bytes]], reach: int) -> pa.RecordBatch
 
 # --- groups of near copies, for a corpus pipeline ---
 
-#: Five-word shingles, and a similarity of 0.8. Near copies are told by 256 bits, of which texts at that
-#: Jaccard coefficient differ in 38 on average with a deviation of 6, texts at 0.6 in 59: the bound is 50.
-COPY_SHINGLE, COPY_WORDS, COPY_DISTANCE = 5, 4, 50
-#: Bits of the first 64 beyond which a candidate isn't looked at further.
-COPY_FIRST = 22
-#: Words of a run that near copies share, and of the stretch in which it is chosen.
-RUN, STRETCH = 12, 32
+#: Near copies are texts whose sets of five-word shingles have a Jaccard coefficient of 4/5 or more.
+COPY_SHINGLE = 5
+#: Candidates share one of the bands of least hashes: a pair at 0.8 misses all with a chance of
+#: (1 - 0.8 ** 4) ** 32 = 5e-8, whatever else the table holds.
+BANDS, BAND = 32, 4
+#: They also differ in so many of 256 bits at most. At 0.8 it is 38 on average with a deviation of 6.
+COPY_WORDS, COPY_DISTANCE = 4, 50
+_RNG = np.random.default_rng(23)
+_XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * BAND, dtype=U) for _ in range(2))
+_ODD |= U(1)
 
 
-def _runs(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each row's chosen runs of words: the least hash in every stretch of words marks one.
-
-    A text shorter than a stretch has all its runs; shorter than a run, all its words.
-    """
+def _shingles(block: Block, size: int) -> list[np.ndarray]:
+    """Each row's set of shingles as sorted hashes; fewer words make one shingle, no words none."""
     block = Block(block.lo, block.hi, LOWER[block.data], block.offsets)
     words = split(block)
-    if not len(words.starts):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    hashes = word_hashes(block.data, words)
-    _, marked, grams = marks(words, hashes, STRETCH, RUN)
-    at = np.unique(marked)
-    rows, keys = [np.searchsorted(words.first, at, "right") - 1], [grams[at]]
-    n = np.diff(words.first)
-    for i in np.flatnonzero((n > 0) & (n < STRETCH)).tolist():
-        some = grams[words.first[i] : words.first[i + 1] - RUN + 1] if n[i] >= RUN else window_hashes(hashes[words.first[i] : words.first[i + 1]], int(n[i]))
-        rows.append(np.full(len(some), i))
-        keys.append(some)
-    return np.concatenate(rows), np.concatenate(keys)
+    hashes = word_hashes(block.data, words) if len(words.starts) else np.zeros(0, U)
+    grams = window_hashes(hashes, size)
+    out = []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        out.append(np.unique(grams[a : b - size + 1]) if b - a >= size else window_hashes(hashes[a:b], b - a) if b > a else hashes[a:b])
+    return out
+
+
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in COPY_WORDS numbers, then the keys of its bands; none of an empty set."""
+    if not len(grams):
+        return np.zeros(COPY_WORDS, U)
+    out = []
+    for k in range(COPY_WORDS):
+        h = mix(grams + U(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        votes = np.zeros(64, np.int64)
+        for lo in range(0, len(h), 8192):
+            votes += np.unpackbits(h[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * votes > len(h), bitorder="little").view(U))
+    least = np.full(BANDS * BAND, ~U(0), U)
+    for lo in range(0, len(grams), 4096):
+        least = np.minimum(least, ((grams[lo : lo + 4096, None] ^ _XOR) * _ODD).min(axis=0))
+    keys = mix((mix(least).reshape(BANDS, BAND) * _ODD[:BAND]).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U))
+    return np.concatenate((*out, keys))
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp, all bits and the keys of chosen runs of every row."""
+    """Of every row the id, a hash of the text, fp (a hash of the set of shingles) and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 n = block.hi - block.lo
-                signs = np.array([signature(block.text(i), size, COPY_WORDS) for i in range(n)], U).view(np.int64)
-                row, keys = _runs(block)
-                order = np.argsort(row, kind="stable")
-                offsets = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(signs.ravel()), COPY_WORDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), pa.array(signs[:, 0]), bits, lists], ["doc_id", "fp", "bits", "keys"])
+                sets = _shingles(block, size)
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], U).view(np.int64)
+                sketches = [_sketch(x).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), batch.column(1).slice(block.lo, n), pa.array(fps), pa.array(sketches, pa.binary())], ["doc_id", "h", "fp", "sketch"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, fp long, sketch binary")
+
+
+def _reached(bits: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs within ``reach``; only points not yet reached are looked at."""
+    a, b = [], []
+    rest = np.arange(len(bits))
+    while len(rest) > 1:
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            p = stack.pop()
+            near = apart(bits[rest], bits[p]).sum(axis=1) <= reach
+            hit = rest[near].tolist()
+            a += [p] * len(hit)
+            b += hit
+            stack += hit
+            rest = rest[~near]
+    return a, b
+
+
+def _candidates(points: DataFrame, reach: int) -> DataFrame:
+    """(a, b): in every band's groups of one key, a spanning forest of the pairs within ``reach``."""
+    parts = 4 * shuffle_partitions(points.sparkSession)
+    wide = 2 + COPY_WORDS
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, raw = batch.column(0).to_numpy().view(U), batch.column(1).to_pylist()
+            some = np.array([i for i, x in enumerate(raw) if len(x) > 8 * COPY_WORDS], np.int64)
+            if not len(some):
+                continue
+            all_ = np.frombuffer(b"".join(raw[i] for i in some.tolist()), U).reshape(len(some), COPY_WORDS + BANDS)
+            rows = np.empty((len(some), BANDS, wide), U)
+            rows[:, :, 0], rows[:, :, 1], rows[:, :, 2:] = all_[:, COPY_WORDS:], fps[some][:, None], all_[:, None, :COPY_WORDS]
+            rows = rows.reshape(-1, wide)
+            part = (rows[:, 0] >> U(20)) % U(parts)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            ends = np.append(cut[1:], len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())], ["part", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, bits array<long>, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for batch in batches for x in batch.column(1).to_pylist()]
+        if not held:
+            return
+        rows = np.frombuffer(b"".join(held), U).reshape(-1, wide)
+        del held
+        order = np.argsort(rows[:, 0], kind="stable")
+        keys = rows[order, 0]
+        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(cut, len(keys)))
+        two = cut[sizes == 2]
+        x, y = order[two], order[two + 1]
+        near = apart(rows[x, 2:], rows[y, 2:]).sum(axis=1) <= reach
+        pairs = [(x[near], y[near])]
+        for at, n in zip(cut[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            group = order[at : at + n]
+            a, b = _reached(rows[group, 2:], reach)
+            pairs.append((group[a], group[b]))
+        a, b = (rows[np.concatenate(z).astype(np.int64), 1] for z in zip(*pairs, strict=True))
+        found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
+
+    return points.select("fp", "sketch").mapInArrow(send, "part int, packed binary").repartitionById(parts, "part").mapInArrow(run, "a long, b long")
+
+
+def _copies(docs: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, their distinct sets of shingles with the least row of each, and edges between near copies."""
+    rows = checkpoint(_described(docs, size))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    points = checkpoint(rows.groupBy("fp").agg(F.min(row).alias("least"), F.min("sketch").alias("sketch")))
+    wide = components(_candidates(points, reach))
+    wide = checkpoint(wide.union(wide.select(F.col("root").alias("node"), "root")).distinct())
+    return rows.drop("sketch"), points.drop("sketch"), wide.toDF("a", "b")
 
 
 def near_copies(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) of groups of near copies.
-
-    Fingerprints link at DISTANCE or fewer bits, found by the vantage-point trees, as well as where
-    ``reach`` or fewer of all 256 bits differ and the texts share a chosen run of RUN words. No tree can
-    prune at the wider distance, whose balls overlap every boundary; the shared run makes up for that.
-    A run's fingerprints are held against three of them, the least, the greatest and the one of the
-    least hash: near copies share many runs, so that a run that many unrelated texts share hides none,
-    and no pairs are made. Nulls are as in near_duplicates().
+    """(doc_id, component_id) of groups of near copies, chains included.
+
+    Texts link if they share a band of least hashes and differ in ``reach`` or fewer of 256 SimHash bits; no vantage-point tree prunes at that distance, whose balls
+    overlap every boundary. Texts without words are copies of each other. Nulls are as in
+    near_duplicates().
     """
-    rows = checkpoint(_described(docs, size))
-    points = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")))
-    runs = rows.select("fp", F.explode("keys").alias("key")).distinct()
-    centres = runs.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y"), F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("z"), F.count("*").alias("n")).where("n > 1")
-    near = runs.join(centres, "key").select("fp", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b"))
-    near = near.where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= COPY_FIRST)).distinct()
-    ends = points.select(F.col("fp").alias("b"), F.col("bits").alias("other"))
-    apart_ = F.aggregate(F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = near.join(points.select("fp", "bits"), "fp").join(ends, "b").where(apart_ <= reach)
-    edges = links(points).union(near.select("fp", "b"))
-    return _named(rows.select("doc_id", "fp"), points, edges).select("doc_id", "component_id")
+    rows, points, edges = _copies(docs, reach, size)
+    return _named(rows, points, edges).select("doc_id", F.when(~F.col("component_id.none"), F.col("component_id.id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
@@ -391,12 +462,16 @@ def near_duplicates(docs: DataFrame, reach: int = DISTANCE, size: int = SHINGLE,
     return _named(rows, points, links(points, reach, shard_size)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with component_id, the least id of all rows whose fingerprints the edges join."""
+def _least(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp and component_id, the least of all points that the edges join."""
     roots = components(edges)
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that a component with very many fingerprints can be split over tasks in the join
     named = checkpoint(named)
     least = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_point = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_point, "fp")
+    return named.join(least, "root").select("fp", "component_id")
+
+
+def _named(rows: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with component_id, the least id of all rows whose fingerprints the edges join."""
+    return rows.join(_least(points, edges), "fp")

@@ -173,3 +173,33 @@ def test_near_copies_of_eighty_percent(spark):
     assert len(pairs) > 80
     assert np.mean([found[i] == found[j] for i, j in pairs]) > 0.9
     assert all(group[i] == group[c] for i, c in found.items())  # unrelated texts stay apart, shared passage or not
+
+
+def edited(rng, words, n, new):
+    """The words with n of them replaced, two shingles or more apart."""
+    out = list(words)
+    for k in rng.choice(len(words) // 10, n, replace=False):
+        out[10 * int(k) + 5] = new()
+    return out
+
+
+def likeness(a, b, size=5):
+    a, b = ({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("n", [200, 1500])
+def test_near_copies_of_shared_passages(spark, n):
+    """Texts of three passages out of twenty: the share of near copies found doesn't fall as the table grows."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passages = [[word() for _ in range(40)] for _ in range(20)]
+    texts = [sum((passages[k] for k in rng.choice(20, 3, replace=False)), []) for _ in range(n)]
+    pairs = []
+    for i in range(0, 60):
+        texts.append(edited(rng, texts[i], 2, word))
+        pairs.append((i, len(texts) - 1))
+    assert all(likeness(texts[i], texts[j]) >= 0.8 for i, j in pairs)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert all(found[i] == found[j] for i, j in pairs)
