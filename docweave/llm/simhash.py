@@ -295,12 +295,15 @@ def _solved(held: tuple[list[bytes], list[bytes]], reach: int) -> pa.RecordBatch
 # --- groups of near copies, for a corpus pipeline ---
 
 #: Near copies are texts whose sets of five-word shingles have a Jaccard coefficient of 4/5 or more.
-COPY_SHINGLE = 5
+COPY_SHINGLE, COPY_LIKE = 5, (4, 5)
 #: Candidates share one of the bands of least hashes: a pair at 0.8 misses all with a chance of
 #: (1 - 0.8 ** 4) ** 32 = 5e-8, whatever else the table holds.
 BANDS, BAND = 32, 4
 #: They also differ in so many of 256 bits at most. At 0.8 it is 38 on average with a deviation of 6.
-COPY_WORDS, COPY_DISTANCE = 4, 50
+COPY_WORDS, COPY_DISTANCE = 4, 75
+#: Texts that one task compares with each other, or with as many more.
+TEXTS = 1024
+
 _RNG = np.random.default_rng(23)
 _XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * BAND, dtype=U) for _ in range(2))
 _ODD |= U(1)
@@ -416,6 +419,105 @@ def _candidates(points: DataFrame, reach: int) -> DataFrame:
     return points.select("fp", "sketch").mapInArrow(send, "part int, packed binary").repartitionById(parts, "part").mapInArrow(run, "a long, b long")
 
 
+def _alike(sets: list[np.ndarray], bits: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of near copies, each told by its exact coefficient."""
+    up, down = COPY_LIKE
+    n = np.array([len(x) for x in sets], np.int64)
+    label = np.arange(len(sets))
+    a, b = [], []
+    for i in range(len(sets) - 1):
+        later = np.arange(i + 1, len(sets))
+        later = later[label[later] != label[i]]
+        later = later[(down * np.minimum(n[later], n[i]) >= up * np.maximum(n[later], n[i])) & (n[later] > 0)]
+        later = later[apart(bits[later], bits[i]).sum(axis=1) <= reach]
+        for lo in range(0, len(later), 64):
+            some = later[lo : lo + 64]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            grams = np.concatenate([sets[j] for j in some.tolist()])
+            place = np.minimum(np.searchsorted(sets[i], grams), n[i] - 1)
+            both = np.add.reduceat((sets[i][place] == grams).astype(np.int64), np.cumsum(n[some]) - n[some])
+            for j in some[down * both >= up * (n[some] + n[i] - both)].tolist():
+                if label[j] != label[i]:
+                    a.append(i)
+                    b.append(j)
+                    label[label == label[j]] = label[i]
+    return a, b
+
+
+def _verified(docs: DataFrame, points: DataFrame, wide: DataFrame, reach: int, size: int, texts: int = TEXTS) -> DataFrame:
+    """(a, b) edges whose components are those of all near copies within the components ``wide`` (node, root).
+
+    Up to ``texts`` of a component are compared in one task. In a larger component all are first held
+    against one of them; those not joined to it are then compared, block by block, with all others.
+    """
+    total = wide.groupBy("root").agg(F.count("*").alias("total"))
+    members = wide.join(total, "root").join(points, F.col("node") == points.fp).select("fp", "root", "total", "least.*")
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # written: texts of groups alone, read up to three times
+    members = checkpoint(rows.join(members, ["none", "id", "h"]).select("fp", "root", "total", "text"))
+
+    def solve(fps: list[int], bodies: pa.Array) -> pa.RecordBatch:
+        sets = [x for block in blocks(bodies) for x in _shingles(block, size)]
+        _, once = np.unique(np.array(fps, np.int64), return_index=True)
+        sets, fps = [sets[i] for i in once], [fps[i] for i in once]
+        bits = np.array([_sketch(x)[:COPY_WORDS] for x in sets], U)
+        a, b = _alike(sets, bits, reach)
+        return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a], pa.int64()), pa.array([fps[i] for i in b], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, bodies = None, [], []
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            ids, column = batch.column(3).to_pylist(), batch.column(4)
+            lo = 0
+            for i in range(1, len(names) + 1):
+                if i < len(names) and names[i] == names[lo]:
+                    continue
+                if names[lo] != now:
+                    if len(fps) > 1:
+                        yield solve(fps, pa.concat_arrays(bodies))
+                    now, fps, bodies = names[lo], [], []
+                fps += ids[lo:i]
+                bodies.append(column.slice(lo, i - lo))
+                lo = i
+        if len(fps) > 1:
+            yield solve(fps, pa.concat_arrays(bodies))
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("root", "i", "j", "fp", "text").repartition(4 * shuffle_partitions(docs.sparkSession), "root", "i", "j")
+        return dealt.sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+
+    zero = F.lit(0).cast("long")
+    found = checkpoint(compared(members.where(F.col("total") <= texts).select("*", zero.alias("i"), zero.alias("j"))))
+    large = members.where(F.col("total") > texts)
+    if large.isEmpty():
+        return found
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = COPY_LIKE
+        for batch in batches:
+            mine, other = ([x for block in blocks(batch.column(k)) for x in _shingles(block, size)] for k in (2, 3))
+            near = []
+            for x, y in zip(mine, other, strict=True):
+                both = len(np.intersect1d(x, y, True))
+                near.append(down * both >= up * (len(x) + len(y) - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    # one text for each 1024 or more
+    centres = large.where("fp = root").select(F.col("root"), F.col("text").alias("centre")).dropDuplicates(["root"])
+    held = checkpoint(large.join(F.broadcast(centres), "root").select("fp", "root", "text", "centre").mapInArrow(star, "a long, b long, near boolean").distinct())
+    kinds = held.groupBy(F.col("b").alias("root")).agg(F.count_if(~F.col("near")).alias("out"), F.count_if("near").alias("in")).where(F.col("out") > 0)
+    blocks_ = kinds.select("root", F.ceil(F.col("out") / texts).alias("n_out"), F.ceil(F.col("in") / texts).alias("n_in"))
+    rest = large.join(held.select(F.col("a").alias("fp"), "near"), "fp").join(F.broadcast(blocks_), "root")
+    mine = F.when(F.col("near"), F.col("n_out") + F.pmod(F.xxhash64("fp"), "n_in")).otherwise(F.pmod(F.xxhash64("fp"), "n_out"))
+    met = F.sequence(zero, F.when(F.col("near"), F.col("n_out")).otherwise(F.col("n_out") + F.col("n_in")) - 1)
+    rest = rest.withColumn("mine", mine).withColumn("met", F.explode(met)).select("*", F.least("mine", "met").alias("i"), F.greatest("mine", "met").alias("j"))
+    return found.union(held.where("near and a <> b").select("a", "b")).union(compared(rest))
+
+
 def _copies(docs: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The described rows, their distinct sets of shingles with the least row of each, and edges between near copies."""
     rows = checkpoint(_described(docs, size))
@@ -423,13 +525,15 @@ def _copies(docs: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFram
     points = checkpoint(rows.groupBy("fp").agg(F.min(row).alias("least"), F.min("sketch").alias("sketch")))
     wide = components(_candidates(points, reach))
     wide = checkpoint(wide.union(wide.select(F.col("root").alias("node"), "root")).distinct())
-    return rows.drop("sketch"), points.drop("sketch"), wide.toDF("a", "b")
+    return rows.drop("sketch"), points.drop("sketch"), _verified(docs, points.drop("sketch"), wide, reach, size)
 
 
 def near_copies(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
     """(doc_id, component_id) of groups of near copies, chains included.
 
-    Texts link if they share a band of least hashes and differ in ``reach`` or fewer of 256 SimHash bits; no vantage-point tree prunes at that distance, whose balls
+    Texts link if the Jaccard coefficient of their sets of shingles is 0.8 or more, each link told by
+    the exact coefficient. Candidates are texts that share a band of least hashes and differ in
+    ``reach`` or fewer of 256 SimHash bits; no vantage-point tree prunes at that distance, whose balls
     overlap every boundary. Texts without words are copies of each other. Nulls are as in
     near_duplicates().
     """

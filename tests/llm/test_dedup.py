@@ -203,3 +203,39 @@ def test_near_copies_of_shared_passages(spark, n):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert all(found[i] == found[j] for i, j in pairs)
+
+
+def test_near_copies_are_verified(spark):
+    """Texts at 0.66 to 0.79 that share a passage stay apart, those at 0.8 and more do not."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts, want = [], []
+    for g in range(40):
+        base = [word() for _ in range(200)]
+        other = base[: 165 + g % 30] + [word() for _ in range(35 - g % 30)]
+        texts += [base, other]
+        want.append(likeness(base, other) >= 0.8)
+    assert 10 < sum(want) < 30
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [found[2 * g] == found[2 * g + 1] for g in range(40)] == want
+
+
+def test_near_copies_in_blocks(spark):
+    """Components above a task's texts give the links of all pairs."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [word() for _ in range(120)]
+    texts = [base]
+    for _ in range(60):
+        texts.append(edited(rng, texts[int(rng.integers(0, len(texts)))], int(rng.integers(1, 4)), word))
+    docs = checkpoint(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    rows, points, _ = simhash._copies(docs, 75, 5)
+    fps = {r.least.id: r.fp for r in points.collect()}
+    wide = checkpoint(spark.createDataFrame([(x, min(fps.values())) for x in fps.values()], "node long, root long"))
+    edges = checkpoint(simhash._verified(docs, points, wide, 256, 5, texts=7))
+    found = {r.doc_id: r.component_id.id for r in simhash._named(rows, points, edges).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if likeness(texts[i], texts[j]) >= 0.8]
+    roots = brute_components(pairs, len(texts))
+    assert len(set(roots)) > 1
+    assert [found[i] for i in range(len(texts))] == roots
