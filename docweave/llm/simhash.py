@@ -542,15 +542,16 @@ def near_copies(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SH
 
 
 def one_of_each(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
-    """The rows with all their columns, of each group of near copies the document of the least id, once.
+    """The rows with all their columns, of each group of near copies one: the least id's, if any has an id.
 
-    Documents without an id stand for one document, the first of all.
+    Rows are told apart by id and text, so that texts that share an id, or have none, stand for
+    themselves. Of rows that share both, one stays.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    ided = docs.withColumn("__id", key)
-    groups = near_copies(ided.select(F.col("__id").alias("doc_id"), "text"), reach, size)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return ided.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    _, points, edges = _copies(docs, reach, size)
+    kept = _least(points, edges).select("component_id.*").distinct().toDF("__none", "__id", "__h")
+    id_ = F.col("doc_id").cast("long")
+    keys = {"__none": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))}
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
 
 
 def near_duplicates(docs: DataFrame, reach: int = DISTANCE, size: int = SHINGLE, shard_size: int = SHARD_SIZE) -> DataFrame:

@@ -239,3 +239,14 @@ def test_near_copies_in_blocks(spark):
     roots = brute_components(pairs, len(texts))
     assert len(set(roots)) > 1
     assert [found[i] for i in range(len(texts))] == roots
+
+
+def test_one_of_each_without_ids(spark):
+    """Texts without an id, or of one id, are as many as they are; copies of them go."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    a, b, c, d, e = (" ".join(word() for _ in range(100)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, b), (2, c), (2, d), (3, d), (None, c), (None, e), (None, e), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(None, a), (1, b), (2, c), (2, d), (None, e), (4, None)], key=str)
