@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import OTHER_BASE, WINDOW_BASE, Block, Words, blocks, planes, sha256, split, unplanes, window_hashes, windows_within, word_hashes
@@ -34,11 +34,11 @@ FLUSH = 1 << 20
 BUCKET_BYTES = 8 << 20
 
 U = np.uint64
-#: Stands for a null id inside; sorts before all others.
+#: Stands for a null id inside, along with a hash of the text; sorts before all others.
 NO_ID = -(1 << 63)
 #: The primes of XXH64.
 PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-PACKED = "part int, kind int, doc_id long, text string, packed binary"
+PACKED = "part int, kind int, doc_id long, text string, h long, packed binary"
 
 #: (block, words, word hashes) to (first words of the windows, their hashes, their second hashes)
 Windows = Callable[[Block, Words, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -52,24 +52,53 @@ def every_window(size: int) -> Windows:
     return of
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h: zero, but for a row without an id a negative hash of its text, which tells such rows apart."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(NO_ID))).otherwise(F.lit(0)).cast("long"))
+
+
+def row_ids(batch: pa.RecordBatch) -> np.ndarray:
+    """(id, h) of every row of identified(), ordered as numbers are: rows without an id first."""
+    return np.stack((batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)), axis=1)
+
+
+def in_order(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.lexsort((starts, docs[:, 1], docs[:, 0]))
+
+
+def span_of(docs: np.ndarray, doc: int | None, h: int) -> tuple[int, int]:
+    """Where in sorted rows of (id, h) those of one row stand."""
+    mine = NO_ID if doc is None else doc
+    a, b = np.searchsorted(docs[:, 0], mine, "left"), np.searchsorted(docs[:, 0], mine, "right")
+    return a + np.searchsorted(docs[a:b, 1], h, "left"), a + np.searchsorted(docs[a:b, 1], h, "right")
+
+
+def part_of_row(parts: int) -> Column:
+    """The group of a row of identified(), as group_of() has it."""
+    return F.pmod(F.xxhash64(F.when(F.col("h") != 0, F.col("h")).otherwise(F.col("doc_id"))), F.lit(parts)).cast("int")
+
+
 def pack(docs: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    """Sorted (doc, start) pairs, and a 64-bit number for each: documents once, differences in byte planes."""
-    cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
-    ids, counts = docs[cut], np.diff(np.append(cut, len(docs))).astype(np.uint32)
+    """Sorted (doc, start) pairs, and a 64-bit number for each: documents, ids or rows of (id, h), once, differences in byte planes."""
+    wide = docs.reshape(len(docs), -1)
+    cut = np.flatnonzero(np.concatenate(([True], (wide[1:] != wide[:-1]).any(axis=1))))
+    ids, counts = wide[cut], np.diff(np.append(cut, len(docs))).astype(np.uint32)
     steps = starts.astype(np.int64)
     steps[1:] -= starts[:-1]
     steps[cut] = starts[cut]
     jumps = ids.copy()
     jumps[1:] -= ids[:-1]
-    head = np.array([len(ids), len(docs)], np.int64).tobytes()
-    return head + planes(jumps) + planes(counts) + planes(steps.astype(np.uint32)) + (b"" if extra is None else extra.tobytes())
+    head = np.array([len(ids), len(docs), docs.ndim], np.int64).tobytes()
+    return head + b"".join(planes(np.ascontiguousarray(x)) for x in jumps.T) + planes(counts) + planes(steps.astype(np.uint32)) + (b"" if extra is None else extra.tobytes())
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n_ids, n = np.frombuffer(raw, np.int64, 2).tolist()
-    at = 16
-    ids = np.cumsum(unplanes(raw[at : at + 8 * n_ids], np.int64))
-    at += 8 * n_ids
+    n_ids, n, width = np.frombuffer(raw, np.int64, 3).tolist()
+    at = 24
+    ids = np.stack([np.cumsum(unplanes(raw[at + k * 8 * n_ids : at + (k + 1) * 8 * n_ids], np.int64)) for k in range(width)], axis=1)
+    ids = ids if width > 1 else ids[:, 0]
+    at += 8 * n_ids * width
     counts = unplanes(raw[at : at + 4 * n_ids], np.uint32).astype(np.int64)
     at += 4 * n_ids
     steps = unplanes(raw[at : at + 4 * n], np.uint32).astype(np.int64)
@@ -77,7 +106,7 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = np.cumsum(counts) - counts
     total = np.cumsum(steps)
     starts = total - np.repeat(total[cut] - steps[cut], counts) if n else total
-    return np.repeat(ids, counts), starts, np.frombuffer(raw, U, -1, at)
+    return np.repeat(ids, counts, axis=0), starts, np.frombuffer(raw, U, -1, at)
 
 
 def repeats_of(docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +116,14 @@ def repeats_of(docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[
     head = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])) if len(order) else np.zeros(0, bool)
     firsts = order[head]
     owner = firsts[np.cumsum(head) - 1]
-    same = (docs[order] == docs[owner]) & (starts[order] == starts[owner])  # rows of one id, at one place
+    same = (docs[order] == docs[owner]).all(axis=1) & (starts[order] == starts[owner])  # rows of one id, at one place
     return np.sort(order[head | same]), np.sort(order[~(head | same)])
 
 
 def group_of(docs: np.ndarray, groups: int) -> np.ndarray:
-    """The group of documents that an id belongs to: pmod(xxhash64(id), groups), as Spark has it."""
+    """The group of documents that an id belongs to: pmod(xxhash64(id), groups), as Spark has it; h stands for the id where it isn't zero."""
+    if docs.ndim > 1:
+        docs = np.where(docs[:, 1] != 0, docs[:, 1], docs[:, 0])
     turn = lambda x, k: (x << U(k)) | (x >> U(64 - k))
     p1, p2, p3, p4, p5 = (U(x) for x in PRIMES)
     h = (U(42) + p5 + U(8)) ^ (turn(docs.view(U) * p2, 31) * p1)
@@ -125,7 +156,7 @@ def packed_rows(part: np.ndarray, kind: int, docs: np.ndarray, starts: np.ndarra
 
 def batch_of(parts: list[int], kind: int, rows: list[bytes]) -> pa.RecordBatch:
     n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(rows, pa.binary())], ["part", "kind", "doc_id", "text", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(rows, pa.binary())], ["part", "kind", "doc_id", "text", "h", "packed"])
 
 
 def scan(docs: DataFrame, windows: Windows, parts: int) -> DataFrame:
@@ -133,7 +164,7 @@ def scan(docs: DataFrame, windows: Windows, parts: int) -> DataFrame:
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         ids, starts, keys, other = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((starts, ids))
+        order = in_order(ids, starts)
         ids, starts, keys, other = ids[order], starts[order], keys[order], other[order]
         first, later = repeats_of(ids, starts, keys)
         yield from packed_rows((other[first] % U(parts)).astype(np.int32), 0, ids[first], starts[first], keys[first])
@@ -142,7 +173,7 @@ def scan(docs: DataFrame, windows: Windows, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = row_ids(batch)
             for block in blocks(batch.column(1)):
                 words = split(block)
                 if not len(words.starts):
@@ -168,7 +199,7 @@ def count(packed: DataFrame, parts: int) -> DataFrame:
 
     def solve(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, starts, keys = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
-        order = np.lexsort((starts, ids))
+        order = in_order(ids, starts)
         ids, starts, keys = ids[order], starts[order], keys[order]
         _, later = repeats_of(ids, starts, keys)
         yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
@@ -212,9 +243,9 @@ def apply(docs: DataFrame, repeats: DataFrame, size: int, parts: int, with_text:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, starts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, ids, starts = [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            kinds_, doc, text, raw = batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)
+            kinds_, doc, text, hs, raw = batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5)
             rows: list[tuple] = []
             for i, kind in enumerate(kinds_):
                 if kind == 1:
@@ -223,13 +254,12 @@ def apply(docs: DataFrame, repeats: DataFrame, size: int, parts: int, with_text:
                 if held:
                     got = [unpack(x)[:2] for x in held]
                     ids, starts = (np.concatenate(x) for x in zip(*got, strict=True))
-                    order = np.argsort(ids, kind="stable")
+                    order = in_order(ids, starts)
                     ids, starts, held = ids[order], starts[order], []
                 key = doc[i].as_py()
                 body = text[i].as_buffer()
                 words = body.to_pybytes().split() if body is not None else []
-                mine = NO_ID if key is None else key
-                a, b = np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")
+                a, b = span_of(ids, key, hs[i])
                 gone: list[tuple[int, int]] = []
                 kept = words
                 if b > a:
@@ -242,8 +272,7 @@ def apply(docs: DataFrame, repeats: DataFrame, size: int, parts: int, with_text:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[k], kinds[k]) for k in range(len(names))], names)
 
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(parts)).cast("int")
-    texts = docs.select(part.alias("part"), F.lit(2).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("packed"))
+    texts = docs.select(part_of_row(parts).alias("part"), F.lit(2).alias("kind"), "doc_id", "text", "h", F.lit(None).cast("binary").alias("packed"))
     return repeats.unionByName(texts).repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(run, schema)
 
 
@@ -258,10 +287,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, window
 
     A word goes if a window over it has a word sequence that also starts earlier: in a document of a
     smaller id, or earlier in its own. Windows are judged on the input. Null and empty texts have no
-    words. A null id sorts before all others. Rows that share an id are one document's versions: at
+    words. Rows without an id sort before all others, by a hash of the text, and each loses its own
+    repeats alone; exact copies without an id are as rows that share one. Rows that share an id are one document's versions: at
     one place neither is earlier, so exact repeats of a row stay both; what a start loses it loses in
     each version that reaches it. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = identified(docs)
     parts = n_parts(docs)
     return apply(docs, count(scan(docs, windows or every_window(window), parts), parts), window, parts, with_text)

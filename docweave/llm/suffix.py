@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import BLOCK, OTHER_BASE, Block, Words, blocks, split, window_hashes, windows_within, word_hashes
-from docweave.llm.substring import FLUSH, NO_ID, PACKED, U, apply, batch_of, count, group_of, n_parts, packed_rows, repeats_of, unpack
+from docweave.llm.substring import FLUSH, NO_ID, PACKED, U, apply, batch_of, count, group_of, identified, in_order, n_parts, packed_rows, part_of_row, repeats_of, row_ids, span_of, unpack
 
 #: Words of a passage at least, and of the first words by which suffixes are sorted.
 LEAST, GRAM = 50, 8
@@ -50,7 +50,7 @@ def retain(docs: DataFrame, least: int, gram: int, parts: int) -> DataFrame:
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         ids, at, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, ids))
+        order = in_order(ids, at)
         ids, at, keys = ids[order], at[order], keys[order]
         first, later = repeats_of(ids, at, keys)
         yield from packed_rows((keys[first] >> U(32)).astype(np.int64) % parts, 0, ids[first], at[first], keys[first])
@@ -60,7 +60,7 @@ def retain(docs: DataFrame, least: int, gram: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = row_ids(batch)
             for block in blocks(batch.column(1)):
                 words = split(block)
                 if not len(words.starts):
@@ -99,7 +99,7 @@ def neighbours(retained: DataFrame, parts: int) -> DataFrame:
             same = keys[order][1:] == keys[order][:-1]
             shared = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
             ids, at = ids[shared], at[shared]
-            order = np.lexsort((at, ids))
+            order = in_order(ids, at)
             ids, at = ids[order], at[order]
             yield from packed_rows(group_of(ids, parts), 1, ids, at)
 
@@ -111,13 +111,13 @@ def extend(docs: DataFrame, shared: DataFrame, least: int, gram: int, parts: int
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         ids, starts, keys, other = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((starts, ids))
+        order = in_order(ids, starts)
         ids, starts, keys, other = ids[order], starts[order], keys[order], other[order]
         first, later = repeats_of(ids, starts, keys)
         yield from packed_rows((other[first] % U(parts)).astype(np.int32), 0, ids[first], starts[first], keys[first])
         yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
 
-    def reach(texts: list[bytes], keys: list[int], at: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    def reach(texts: list[bytes], keys: list[tuple[int, int]], at: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         block = Block(0, len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets)
         words = split(block)
@@ -134,26 +134,25 @@ def extend(docs: DataFrame, shared: DataFrame, least: int, gram: int, parts: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed: list[bytes] = []
-        ids, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, places = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         held, n = [], 0
         texts, keys, at, size = [], [], [], 0
         for batch in batches:
-            kinds, doc, text, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
+            kinds, doc, text, hs, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5)
             for i, kind in enumerate(kinds):
                 if kind == 1:
                     packed.append(raw[i].as_buffer().to_pybytes())
                     continue
                 if packed:
                     ids, places = (np.concatenate(x) for x in zip(*(unpack(x)[:2] for x in packed), strict=True))
-                    order = np.argsort(ids, kind="stable")
+                    order = in_order(ids, places)
                     ids, places, packed = ids[order], places[order], []
-                mine = NO_ID if doc[i] is None else doc[i]
-                a, b = np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")
+                a, b = span_of(ids, doc[i], hs[i])
                 body = text[i].as_buffer()
                 if b == a or body is None:
                     continue
                 texts.append(body.to_pybytes())
-                keys.append(mine)
+                keys.append((NO_ID if doc[i] is None else doc[i], hs[i]))
                 at.append(places[a:b])
                 size += body.size
                 if size >= BLOCK:
@@ -168,8 +167,7 @@ def extend(docs: DataFrame, shared: DataFrame, least: int, gram: int, parts: int
         if held:
             yield from flush(held)
 
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(parts)).cast("int")
-    rows = docs.select(part.alias("part"), F.lit(2).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("packed"))
+    rows = docs.select(part_of_row(parts).alias("part"), F.lit(2).alias("kind"), "doc_id", "text", "h", F.lit(None).cast("binary").alias("packed"))
     return shared.unionByName(rows).repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(run, PACKED)
 
 
@@ -177,13 +175,13 @@ def dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM, with_text: bool
     """Per row: doc_id, n_words, n_removed, kept_sha256 and the removed spans (and ``kept`` with_text).
 
     A word goes if it stands in a passage of ``least`` words or more that also starts earlier: in a
-    document of a smaller id, or earlier in its own. Null, empty and shorter texts lose nothing. A null
-    id sorts before all others; rows that share an id are one document's versions, as in substring. An
+    document of a smaller id, or earlier in its own. Null, empty and shorter texts lose nothing. Rows
+    without an id sort before all others, and rows that share one are a document's versions, as in substring. An
     empty table gives no rows; other columns are ignored.
     """
     if not 0 < gram < least:
         raise ValueError("the first words must be fewer than those of a passage")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = identified(docs)
     parts = n_parts(docs)
     shared = neighbours(retain(docs, least, gram, parts), parts)
     return apply(docs, count(extend(docs, shared, least, gram, parts), parts), least, parts, with_text)

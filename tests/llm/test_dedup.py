@@ -250,3 +250,20 @@ def test_one_of_each_without_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=str)
     assert kept == sorted([(None, a), (1, b), (2, c), (2, d), (None, e), (4, None)], key=str)
+
+
+@pytest.mark.parametrize(("run", "size"), [(substring.dedup, 20), (suffix.dedup, 50)])
+def test_repeats_without_ids(spark, run, size):
+    """A text without an id loses its own repeats, and none that another text without an id has."""
+    word = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    texts = {
+        "twice": f"{word('a', 80)} {word('a', 80)}", "whole": word("b", 200),
+        "first": f"{word('p', 60)} {word('c', 40)}", "second": f"{word('p', 60)} {word('d', 40)}",
+    }
+    rows = [(None, t) for t in texts.values()] + [(3, f"{word('e', 30)} {word('b', 60)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.kept.split()[-1]: r for r in run(docs, with_text=True).collect()}
+    assert found["a79"].n_removed == 80
+    assert found["b199"].n_removed == 0
+    assert sorted((found["c39"].n_removed, found["d39"].n_removed)) == [0, 60]
+    assert found["e29"].n_removed == 60
