@@ -224,7 +224,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with all their columns."""
+    """The rows of ``docs`` without any benchmark window, of items with or without an id, with all their columns."""
+    # an item without an id has passages all the same; only whether any item is found counts here
+    benchmark = benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.lit(0)))
     for k, part in enumerate(_parts(benchmark, most_bytes)):
         docs = _clean(checkpoint(docs) if k else docs, part, window)
     return docs

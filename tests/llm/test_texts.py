@@ -375,3 +375,12 @@ def test_only_the_new_shard_gains(spark):
     for (_, b), n in moved.items():
         shares[b] += n / 20000
     assert [round(shares[i] * 10, 0) for i in range(6)] == [1, 3, 2, 1, 1, 2]
+
+
+def test_clean_of_items_without_ids(spark):
+    """A document that holds a passage of an item without an id isn't clean."""
+    words = lambda p: " ".join(f"{p}{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"so {words('a')} on"), (2, f"{words('a')} {words('b')}"), (3, words("c"))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words("a")), (7, words("b"))], "item_id long, text string")
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
+    assert [r.doc_id for r in decontam.clean(docs, items, most_bytes=10).collect()] == [3]
