@@ -3,12 +3,12 @@
 1. Retain. Of every ``gram`` consecutive words a hash is taken; in each window of ``least`` words the
    least hash marks a position. Equal windows mark equal places, so only suffixes that begin at marked
    positions are kept, about one of twenty.
-2. Sort and compare neighbours. Suffixes are dealt by their first words, sorted, and a suffix that
-   shares no first words with a neighbour is dropped. Within a worker's batch only the first of equal
+2. Sort and compare neighbours. Suffixes are dealt and sorted by a 64-bit hash of their first ``gram``
+   words, and a suffix whose hash no neighbour has is dropped; contents aren't sorted. Within a worker's batch only the first of equal
    ones goes on, so a passage that a third of all documents share makes no hot bucket.
 3. Extend. Around each suffix that is left, the windows of ``least`` words that reach left and right
-   over it, and whose mark it is, are compared word by word through rolling hashes: windows that stand
-   elsewhere merge into maximal passages.
+   over it, and whose mark it is, are counted by rolling hashes over the whole table, as in substring;
+   neighbours' common prefixes aren't measured. Windows that stand elsewhere merge into maximal passages.
 4. Remove all occurrences but the first, in (document, start) order.
 
 Every repeat of ``least`` words or more has a mark within, so none is lost, and what is left out in
