@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text in a block of several rows.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 U = np.uint64
 
@@ -94,22 +94,22 @@ def split(block: Block, kept: np.ndarray = NOT_SPACE) -> Words:
     return Words(starts, np.flatnonzero(end) + 1, np.searchsorted(starts, block.offsets))
 
 
+#: Words whose hashes are rolled at once.
+STRIDE = 1 << 16
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; base is odd."""
+def powers(base: int, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n at least, n being ``most`` or less; base is odd."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK + 1)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, U)
+            x = np.full(max(n, most), b, U)
             x[0] = 1
             out.append(np.multiply.accumulate(x))
-        have = (out[0], out[1])
-        if size <= 4 * BLOCK:  # what one very long text needs is not kept
-            _POWERS[base] = have
+        have = _POWERS[base] = (out[0], out[1])
     return have
 
 
@@ -123,12 +123,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 WORD_BASE, WINDOW_BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
+def _rolled(values: np.ndarray, base: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums of value i times base**i, base**-i)."""
+    up, down = powers(base, len(values) + 1, most + 1)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return sums, down
+
+
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes, all words of the block at once."""
-    up, down = powers(WORD_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[words.ends] - sums[words.starts]) * down[words.starts] + (words.ends - words.starts).astype(U))
+    """A 64-bit polynomial hash of each word's bytes, in runs of words of at most BLOCK bytes.
+
+    What is held besides the result follows BLOCK, however long the text or a word is.
+    """
+    starts, ends = words.starts, words.ends
+    out = np.empty(len(starts), U)
+    lo = 0
+    while lo < len(starts):
+        begin = int(starts[lo])
+        hi = int(np.searchsorted(ends, begin + BLOCK, "right"))
+        if hi > lo:
+            sums, down = _rolled(data[begin : ends[hi - 1]].astype(U) + U(1), WORD_BASE, BLOCK)
+            a, b = starts[lo:hi] - begin, ends[lo:hi] - begin
+            out[lo:hi] = (sums[b] - sums[a]) * down[a]
+            lo = hi
+        else:  # one word longer than a block, piece by piece
+            total, end = 0, int(ends[lo])
+            for at in range(begin, end, BLOCK):
+                sums, _ = _rolled(data[at : min(end, at + BLOCK)].astype(U) + U(1), WORD_BASE, BLOCK)
+                total += int(sums[-1]) * pow(WORD_BASE, at - begin, 1 << 64)
+            out[lo] = total % (1 << 64)
+            lo += 1
+    return mix(out + (ends - starts).astype(U))
 
 
 def window_hashes(hashes: np.ndarray, size: int, base: int = WINDOW_BASE) -> np.ndarray:
@@ -139,10 +165,13 @@ def window_hashes(hashes: np.ndarray, size: int, base: int = WINDOW_BASE) -> np.
     n = len(hashes)
     if n < size:
         return np.zeros(0, U)
-    up, down = powers(base, n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(hashes * up[:n], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    out = np.empty(n - size + 1, U)
+    for lo in range(0, len(out), STRIDE):
+        part = hashes[lo : lo + STRIDE + size - 1]
+        sums, down = _rolled(part, base, STRIDE + size)
+        k = len(part) - size + 1
+        out[lo : lo + k] = mix((sums[size:] - sums[:-size]) * down[:k])
+    return out
 
 
 def windows_within(words: Words, size: int) -> np.ndarray:

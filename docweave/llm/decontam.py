@@ -82,7 +82,7 @@ class Patterns:
         # suffix buckets: patterns by their last block, each with a hash of all its words
         self.last = np.array(sorted(last), U)
         self.buckets = [last[k] for k in self.last.tolist()]
-        up, _ = powers(WINDOW_BASE, length)
+        up, _ = powers(WINDOW_BASE, length, length)
         self.whole = (grid * up[:length]).sum(axis=1, dtype=U)
         self.up = up[:length]
 

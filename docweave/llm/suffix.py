@@ -22,10 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import BLOCK, OTHER_BASE, Block, Words, blocks, split, window_hashes, windows_within, word_hashes
-from docweave.llm.substring import FLUSH, NO_ID, PACKED, U, apply, batch_of, count, group_of, identified, in_order, n_parts, packed_rows, part_of_row, repeats_of, row_ids, span_of, unpack
+from docweave.llm.substring import FLUSH, NO_ID, PACKED, Layout, U, Windowed, apply, count, counted, dealt, group_of, identified, joined, layout, packed_rows, repeats_of, row_ids, solved, span_of, texts_of, unpack_windows
 
 #: Words of a passage at least, and of the first words by which suffixes are sorted.
 LEAST, GRAM = 50, 8
@@ -45,17 +44,15 @@ def marks(words: Words, hashes: np.ndarray, least: int, gram: int) -> tuple[np.n
     return at, marked, grams
 
 
-def retain(docs: DataFrame, least: int, gram: int, parts: int) -> DataFrame:
+def retain(docs: DataFrame, least: int, gram: int, at: Layout) -> DataFrame:
     """Kind 0: suffixes by bucket of their first words; kind 1: suffixes known to be shared, by group of documents."""
 
-    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, at, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = in_order(ids, at)
-        ids, at, keys = ids[order], at[order], keys[order]
-        first, later = repeats_of(ids, at, keys)
-        yield from packed_rows((keys[first] >> U(32)).astype(np.int64) % parts, 0, ids[first], at[first], keys[first])
+    def flush(held: list[Windowed]) -> Iterator[pa.RecordBatch]:
+        ids, places, keys, _ = joined(held)
+        first, later = repeats_of(ids, places, keys)
+        yield from packed_rows(((keys[first] >> U(32)) % U(at.parts)).astype(np.int32), 0, ids[first], places[first], keys[first])
         shared = np.flatnonzero(np.isin(keys, keys[later]))
-        yield from packed_rows(group_of(ids[shared], parts), 1, ids[shared], at[shared])
+        yield from packed_rows(group_of(ids[shared], at.groups) % at.parts, 1, ids[shared], places[shared])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -66,10 +63,10 @@ def retain(docs: DataFrame, least: int, gram: int, parts: int) -> DataFrame:
                 if not len(words.starts):
                     continue
                 _, marked, grams = marks(words, word_hashes(block.data, words), least, gram)
-                at = np.unique(marked)
-                row = np.searchsorted(words.first, at, "right") - 1
-                held.append((ids[block.lo + row], at - words.first[row], grams[at]))
-                n += len(at)
+                places = np.unique(marked)
+                row = np.searchsorted(words.first, places, "right") - 1
+                held.append((ids[block.lo + row], places - words.first[row], grams[places], None))
+                n += len(places)
                 if n >= FLUSH // 2:
                     yield from flush(held)
                     held, n = [], 0
@@ -79,52 +76,30 @@ def retain(docs: DataFrame, least: int, gram: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def neighbours(retained: DataFrame, parts: int) -> DataFrame:
-    """Kind 1: suffixes whose first words a neighbour in sorted order shares. One bucket a task."""
+def neighbours(retained: DataFrame, at: Layout) -> DataFrame:
+    """Kind 1: suffixes whose first words a neighbour in sorted order shares."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            through: list[tuple[int, bytes]] = []
-            for part, kind, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                if kind == 1:
-                    through.append((part, raw))
-                else:
-                    held.append(raw)
-            if through:
-                yield batch_of([x for x, _ in through], 1, [x for _, x in through])
-        if held:
-            ids, at, keys = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
-            order = np.argsort(keys, kind="stable")
-            same = keys[order][1:] == keys[order][:-1]
-            shared = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
-            ids, at = ids[shared], at[shared]
-            order = in_order(ids, at)
-            ids, at = ids[order], at[order]
-            yield from packed_rows(group_of(ids, parts), 1, ids, at)
+    def solve(held: list[Windowed]) -> Iterator[pa.RecordBatch]:
+        ids, places, keys, _ = joined(held)
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        shared = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
+        yield from packed_rows(group_of(ids[shared], at.groups) % at.parts, 1, ids[shared], places[shared])
 
-    return retained.select("part", "kind", "packed").repartitionById(parts, "part").mapInArrow(run, PACKED)
+    return solved(retained, at, solve)
 
 
-def extend(docs: DataFrame, shared: DataFrame, least: int, gram: int, parts: int) -> DataFrame:
+def extend(docs: DataFrame, shared: DataFrame, least: int, gram: int, at: Layout) -> DataFrame:
     """The windows over shared suffixes, as substring.scan() gives them: kind 0 to compare, kind 1 repeats already."""
 
-    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, starts, keys, other = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = in_order(ids, starts)
-        ids, starts, keys, other = ids[order], starts[order], keys[order], other[order]
-        first, later = repeats_of(ids, starts, keys)
-        yield from packed_rows((other[first] % U(parts)).astype(np.int32), 0, ids[first], starts[first], keys[first])
-        yield from packed_rows(group_of(ids[later], parts), 1, ids[later], starts[later])
-
-    def reach(texts: list[bytes], keys: list[tuple[int, int]], at: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    def reach(texts: list[bytes], keys: list[tuple[int, int]], places: list[np.ndarray]) -> Windowed:
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         block = Block(0, len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets)
         words = split(block)
         hashes = word_hashes(block.data, words)
         start, marked, _ = marks(words, hashes, least, gram)
         wanted = np.zeros(len(hashes) + 1, bool)
-        for i, a in enumerate(at):
+        for i, a in enumerate(places):
             place = a + words.first[i]
             wanted[place[place < words.first[i + 1]]] = True
         start = start[wanted[marked]]
@@ -133,45 +108,42 @@ def extend(docs: DataFrame, shared: DataFrame, least: int, gram: int, parts: int
         return np.array(keys, np.int64)[row], start - words.first[row], whole[start], other[start]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed: list[bytes] = []
+        packed: list[Windowed] = []
         ids, places = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         held, n = [], 0
-        texts, keys, at, size = [], [], [], 0
+        texts, keys, found, size = [], [], [], 0
         for batch in batches:
-            kinds, doc, text, hs, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5)
+            kinds, doc, text, hs, raw = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), batch.column(6)
             for i, kind in enumerate(kinds):
                 if kind == 1:
-                    packed.append(raw[i].as_buffer().to_pybytes())
+                    packed.append(unpack_windows(raw[i].as_buffer().to_pybytes()))
                     continue
                 if packed:
-                    ids, places = (np.concatenate(x) for x in zip(*(unpack(x)[:2] for x in packed), strict=True))
-                    order = in_order(ids, places)
-                    ids, places, packed = ids[order], places[order], []
+                    ids, places, _, _ = joined(packed)
                 a, b = span_of(ids, doc[i], hs[i])
                 body = text[i].as_buffer()
                 if b == a or body is None:
                     continue
                 texts.append(body.to_pybytes())
                 keys.append((NO_ID if doc[i] is None else doc[i], hs[i]))
-                at.append(places[a:b])
+                found.append(places[a:b])
                 size += body.size
                 if size >= BLOCK:
-                    held.append(reach(texts, keys, at))
+                    held.append(reach(texts, keys, found))
                     n += len(held[-1][0])
-                    texts, keys, at, size = [], [], [], 0
+                    texts, keys, found, size = [], [], [], 0
                     if n >= FLUSH:
-                        yield from flush(held)
+                        yield from counted(held, at)
                         held, n = [], 0
         if texts:
-            held.append(reach(texts, keys, at))
+            held.append(reach(texts, keys, found))
         if held:
-            yield from flush(held)
+            yield from counted(held, at)
 
-    rows = docs.select(part_of_row(parts).alias("part"), F.lit(2).alias("kind"), "doc_id", "text", "h", F.lit(None).cast("binary").alias("packed"))
-    return shared.unionByName(rows).repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(run, PACKED)
+    return dealt(shared.unionByName(texts_of(docs, at)), at, 1, ["part", "sub", "kind"]).mapInArrow(run, PACKED)
 
 
-def dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM, with_text: bool = False, at: Layout | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and the removed spans (and ``kept`` with_text).
 
     A word goes if it stands in a passage of ``least`` words or more that also starts earlier: in a
@@ -182,6 +154,6 @@ def dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM, with_text: bool
     if not 0 < gram < least:
         raise ValueError("the first words must be fewer than those of a passage")
     docs = identified(docs)
-    parts = n_parts(docs)
-    shared = neighbours(retain(docs, least, gram, parts), parts)
-    return apply(docs, count(extend(docs, shared, least, gram, parts), parts), least, parts, with_text)
+    at = at or layout(docs)
+    shared = neighbours(retain(docs, least, gram, at), at)
+    return apply(docs, count(extend(docs, shared, least, gram, at), at), least, at, with_text)
