@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from docweave.functions.lexical import dumps, loads
 from docweave.operators import integrity, shred
 from docweave.operators.bundles import batch, transaction
 from docweave.operators.store import Audit, Store
@@ -19,6 +20,10 @@ from docweave.plans.session import prepare
 from docweave.sources import documents
 
 
+#: Refused documents that load shows.
+MOST_SHOWN = 20
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docweave", description=__doc__)
     p.add_argument("--store", help="the store's folder")
@@ -51,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
     add("purge", "type", "id", help="erase a document and its history")
     add("support", help="which search parameters are compiled")
     add("capability")
+    add("upgrade", "destructive*", help="bring the store to the map; say destructive to drop what the map lacks")
+    add("merge", help="write the tables anew with what was changed since")
+    add("vacuum", help="delete folders that the present snapshot doesn't need")
     add("drop", help="delete the store")
     return p
 
@@ -81,23 +89,23 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         show({"created": store.init()})
     elif a.command == "load":
         rows = documents.read(spark, a.path)
-        n, bad = store.load(rows.where("error is null").select("body"), audit)
-        failed = [r.asDict() for r in rows.where("error is not null").select("context", "error").collect()] + [r.asDict() for r in bad.collect()]
-        show({"loaded": n, "failed": len(failed), "errors": failed[:20]})
-        return int(bool(failed))
+        n, bad = store.load(rows, audit)
+        failed = bad.count()
+        show({"loaded": n, "failed": failed, "errors": [r.asDict() for r in bad.orderBy("context").limit(MOST_SHOWN).collect()]})
+        return int(failed > 0)
     elif a.command == "get":
-        found = store.get([(a.type, a.id)])[0]
-        show(found)
+        found = store.get_text([(a.type, a.id)])[0]
+        print(found or "null")
         return int(found is None)
     elif a.command == "delete":
         return int(not store.delete(a.type, a.id, audit=audit))
     elif a.command == "export":
-        documents.export(store.table("current"), a.out, a.types or None)
+        store.export(a.out, a.types or None)
     elif a.command == "search":
-        show(store.search(a.type, a.query))
+        print(dumps(store.search(a.type, a.query)))
     elif a.command == "bundle":
-        bundle = json.loads(Path(a.path).read_text())
-        show((transaction if bundle.get("type") == "transaction" else batch)(store, bundle, audit))
+        bundle = loads(Path(a.path).read_text(encoding="utf-8"))
+        print(dumps((transaction if bundle.get("type") == "transaction" else batch)(store, bundle, audit)))
     elif a.command == "history":
         for r in store.history(a.type, a.id).select("version_id", "last_updated", "op", "actor", "reason").collect():
             show(r.asDict())
@@ -111,6 +119,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         show({"signed": store.resign(a.actor, a.reason)})
     elif a.command == "purge":
         return int(not store.purge(a.type, a.id, a.actor, a.reason))
+    elif a.command == "upgrade":
+        done = store.upgrade(relmap, "destructive" in a.destructive)
+        show({"added": done.added, "removed": done.removed, "filled": done.backfill})
+    elif a.command == "merge":
+        show({"merged": store.merge()})
+    elif a.command == "vacuum":
+        show({"deleted": store.vacuum()})
     elif a.command == "drop":
         store.drop()
     return 0

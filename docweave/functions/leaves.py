@@ -38,22 +38,22 @@ def flatten(value: Any, at: str = "", skip: str | None = None) -> list[Leaf]:
         path, item = todo.pop()
         if isinstance(item, dict):
             if not item:
-                raise DocumentError(at, "empty object")
+                raise DocumentError(at, "holds an object of nothing")
             for key in item:
                 if not key or key.isascii() and key.isdigit():
-                    raise DocumentError(at, f"all-digit object key {key!r}")
+                    raise DocumentError(at, f"has a key {key!r} that looks like a position")
                 if "." in key:
-                    raise DocumentError(at, f"dotted object key {key!r}")
+                    raise DocumentError(at, f"has a key {key!r} with a dot")
             pairs = [(f"{path}.{k}" if path else k, v) for k, v in item.items() if path or k != skip]
             todo.extend(reversed(pairs))
         elif isinstance(item, list):
             if not item:
-                raise DocumentError(at, "empty array")
+                raise DocumentError(at, "holds a list of nothing")
             todo.extend(reversed([(f"{path}.{i}" if path else str(i), v) for i, v in enumerate(item)]))
         else:
             out.append((path, *kind_of(item)))
     if not out:
-        raise DocumentError(at, "empty value")
+        raise DocumentError(at, "holds nothing")
     return out
 
 
@@ -64,13 +64,13 @@ def scalar(kind: str, text: str | None) -> Any:
 def unflatten(leaves: list[Leaf]) -> Any:
     """The value that flatten() gave these leaves, in any order; a path that is both object and array is an error."""
     if not leaves:
-        raise DocumentError("", "no leaves to unflatten")
+        raise DocumentError("", "nothing to build from")
     if len(leaves) == 1 and not leaves[0][0]:
         return scalar(*leaves[0][1:])
     tree: dict[str, Any] = {}
     for path, kind, text in leaves:
         if not path:
-            raise DocumentError("", "mixed root and nested leaves")
+            raise DocumentError("", "a leaf without a path among others")
         *heads, last = path.split(".")
         node = tree
         for head in heads:

@@ -54,5 +54,6 @@ def date_sort(column: Column) -> Column:
 def datetime_sort(column: Column) -> Column:
     """The instant at which a partial date, a datetime or an instant begins; without an offset it is UTC."""
     day = date_sort(column)
+    column = F.regexp_replace(column, r":60(?=\D|$)", ":59")  # a leap second
     zoned = F.when(column.rlike(r"(Z|[+-]\d{2}:\d{2})$"), column).otherwise(F.concat(column, F.lit("Z")))
     return F.when(F.contains(column, F.lit("T")), zoned.try_cast("timestamp")).otherwise(day.cast("timestamp"))

@@ -33,7 +33,7 @@ def string(schema: StructType, c: dict, value: str, modifier: str | None) -> Col
     if modifier == "exact":
         return col == value
     if modifier not in (None, "text", "contains"):
-        raise UnsupportedSearch(f"unsupported modifier :{modifier}")
+        raise UnsupportedSearch(f"no modifier :{modifier} for this parameter")
     if norm is None:
         low = F.lower(col)
         return low.contains(value.lower()) if modifier == "contains" else low.startswith(value.lower())
@@ -66,7 +66,7 @@ def number(schema: StructType, c: dict, value: str, modifier: str | None) -> Col
     try:
         amount = F.lit(Decimal(text))
     except InvalidOperation:
-        raise UnsupportedSearch(f"invalid number value {text!r}") from None
+        raise UnsupportedSearch(f"{text!r} is no number") from None
     col = F.col(c["col"])
     if schema[c["col"]].dataType.typeName() in ("double", "float"):
         amount = F.lit(float(text))
@@ -93,9 +93,9 @@ def date(schema: StructType, c: dict, value: str, modifier: str | None) -> Colum
     op, text = _prefix(value, PREFIXES)
     found = bounds(text)
     if found is None:
-        raise UnsupportedSearch(f"invalid date value {text!r}")
+        raise UnsupportedSearch(f"{text!r} is no date")
     if op == "ap":
-        raise UnsupportedSearch("unsupported date prefix 'ap'")
+        raise UnsupportedSearch("the prefix ap has no fixed meaning here")
     lo, end = F.col(c["lo"]), F.col(c["hi"]) if c.get("hi") else None
     first, last = (literal(x, schema[c["lo"]].dataType.simpleString()) for x in found)
     if end is None:
@@ -132,5 +132,5 @@ def predicate(schema: StructType, target: Target, value: str, modifier: str | No
     """The condition on the target's own table. A modifier that the target's kind doesn't know is an error."""
     allowed = target.kind == "string" or (target.kind == "reference" and modifier is not None and modifier[:1].isupper())
     if modifier is not None and not allowed:
-        raise UnsupportedSearch(f"unsupported modifier :{modifier}")
+        raise UnsupportedSearch(f"no modifier :{modifier} for this parameter")
     return KINDS[target.kind](schema, target.columns, value, modifier)

@@ -39,7 +39,7 @@ class Builder:
             else:
                 key = (number[name], ords)
                 if key in self.rows:
-                    raise DocumentError("", "duplicate ords in one table")
+                    raise DocumentError("", "two rows of a table have one place")
                 self.rows[key] = cols
                 if ords:
                     self.kids.setdefault((key[0], ords[:-1]), []).append(ords[-1])
@@ -51,16 +51,16 @@ class Builder:
 
     def document(self, id_: str | None) -> dict:
         if (0, ()) not in self.rows:
-            raise DocumentError("", "missing base row")
+            raise DocumentError("", "has rows, but none in the base table")
         out: dict[str, Any] = {"resourceType": self.resource.name}
         if id_ is not None:
             out["id"] = id_
         self.fill(out, 0, 0, (), self.take(0, ()), "")
         if self.left:
-            raise DocumentError("", f"{len(self.left)} of {len(self.rows)} stored rows unconsumed")
+            raise DocumentError("", f"{len(self.left)} rows of {len(self.rows)} belong nowhere")
         for rest, what in ((self.ext, "extension"), (self.deep, "spill"), (self.contained, "contained")):
             if rest:
-                raise DocumentError("", f"unconsumed {what} rows")
+                raise DocumentError("", f"{what} rows belong nowhere")
         return out
 
     def fill(self, out: dict, node: int, table: int, ords: Ords, row: dict[str, str], path: str) -> None:
@@ -95,7 +95,7 @@ class Builder:
             if e.many:
                 lane = sorted(abs(o) for o in self.kids.get((e.table, ords), []) if o * e.lane > 0)
                 if lane != list(range(1, len(lane) + 1)):
-                    raise DocumentError(here, "ordinal gap")
+                    raise DocumentError(here, "positions are not 1, 2, 3 and so on")
                 if lane:
                     out[e.name] = [self.group(e, e.table, (*ords, e.lane * i), here) for i in lane]
             elif e.table >= 0:
@@ -116,7 +116,7 @@ class Builder:
         elif self.contained:
             found = sorted(self.contained)
             if found != list(range(1, len(found) + 1)):
-                raise DocumentError(here, "ordinal gap")
+                raise DocumentError(here, "positions are not 1, 2, 3 and so on")
             out[e.name] = [loads(self.contained.pop(i)) for i in found]
 
     def group(self, e: Element, table: int, ords: Ords, path: str) -> dict:
@@ -128,7 +128,7 @@ class Builder:
         if e.kind == "ref":
             kind, id_, url = (row.get(c) for c in e.columns)
             if url is not None and (kind is not None or id_ is not None):
-                raise DocumentError(e.name, "a reference with both forms")
+                raise DocumentError(e.name, "refers both to a document and to a url")
             return url if kind is None else f"{kind}/{id_}"
         text = row.get(e.columns[0])
         if text is None:
@@ -162,10 +162,10 @@ class Builder:
             groups.setdefault(key, (x["url"], []))[1].append((x["leaf"], x["v_kind"], x.get("v_text")))
         for (name, i), (url, leaves) in sorted(groups.items()):
             if name == "modifierExtension" and not elements:
-                raise DocumentError(path, "modifier extension attached to a primitive")
+                raise DocumentError(path, "a primitive can not have a modifier")
             have = out.setdefault(name, [])
             if len(have) + 1 != i:
-                raise DocumentError(path, "extension ordinal gap")
+                raise DocumentError(path, "extensions are not 1, 2, 3 and so on")
             have.append({"url": url} | unflatten(leaves))
 
 

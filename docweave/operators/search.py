@@ -52,7 +52,7 @@ class Request:
             elif name in ("_format", "_pretty"):
                 continue
             elif name.startswith("_") and name.split(":")[0] not in ("_id", "_lastUpdated"):
-                raise UnsupportedSearch(f"unsupported parameter {name!r}")
+                raise UnsupportedSearch(f"no parameter {name!r}")
             else:
                 out.criteria.append((name, value))
         if out.cursor is not None and out.sort:
@@ -69,7 +69,7 @@ def _natural(name: str, value: str) -> int:
 def _find(resource: Resource, code: str) -> Param:
     param = resource.param(code)
     if param is None:
-        raise UnsupportedSearch(f"unsupported search parameter {code!r}")
+        raise UnsupportedSearch(f"no search parameter {code!r}")
     return param
 
 
@@ -79,7 +79,7 @@ class Searcher:
 
     def resource(self, kind: str) -> Resource:
         if kind not in self.map.resources:
-            raise UnsupportedSearch(f"unknown type {kind!r}")
+            raise UnsupportedSearch(f"the map has no type {kind!r}")
         return self.map.resources[kind]
 
     def matches(self, kind: str, criteria: list[tuple[str, str]], depth: int = 0) -> DataFrame:
@@ -115,7 +115,7 @@ class Searcher:
         code, _, modifier = name.partition(":")
         param = _find(resource, code)
         if not param.targets:
-            raise UnsupportedSearch(f"search parameter {code!r} is not supported: {param.note or 'no targets'}")
+            raise UnsupportedSearch(f"{code!r} looks nowhere: {param.note or 'no targets'}")
         by_table: dict[int, list[Column]] = {}
         for target in param.targets:
             table = base if target.table == 0 else self.tables(resource.tables[target.table].name)
@@ -128,17 +128,17 @@ class Searcher:
     def _chain(self, resource: Resource, base: DataFrame, name: str, value: str, depth: int) -> DataFrame:
         """ref:Type.rest: ids whose reference leads to a match of the rest. One hop only."""
         if depth >= 1:
-            raise UnsupportedSearch("reference chains deeper than one hop are not supported")
+            raise UnsupportedSearch("a chain has one hop at most")
         head, _, rest = name.partition(".")
         code, _, kind = head.partition(":")
         if not kind:
-            raise UnsupportedSearch(f"chained parameter {head!r} needs an explicit type: {code}:Type.{rest}")
+            raise UnsupportedSearch(f"say which type {head!r} leads to, as {code}:Type.{rest}")
         param = _find(resource, code)
         if kind not in self.map.resources:
-            raise UnsupportedSearch(f"unknown chain target type {kind!r}")
+            raise UnsupportedSearch(f"the chain leads to {kind!r}, which the map lacks")
         targets = [t for t in param.targets if t.kind == "reference"]
         if not targets:
-            raise UnsupportedSearch(f"{code!r} is not a reference parameter")
+            raise UnsupportedSearch(f"{code!r} refers to no document")
         found = self.matches(kind, [(rest, value)], depth + 1).select(F.col("id").alias("__target"))
         ids = []
         for t in targets:
@@ -156,7 +156,7 @@ class Searcher:
         for t in _find(resource, code).targets:
             if t.table == 0:
                 return t.columns[{"string": "col", "token": "code", "date": "lo", "number": "col", "quantity": "col", "reference": "id", "uri": "col"}[t.kind]]
-        raise UnsupportedSearch(f"cannot sort by {code!r}: it is in a child table")
+        raise UnsupportedSearch(f"{code!r} has several values for a document and so no order")
 
     def page(self, kind: str, request: Request) -> DataFrame:
         """The page's base rows in order: sort keys with nulls last either way, then id. A top-k, not a full sort."""
@@ -189,7 +189,7 @@ class Searcher:
         out = []
         for t in _find(resource, code).targets:
             if t.kind != "reference":
-                raise UnsupportedSearch(f"{code!r} is not a reference parameter")
+                raise UnsupportedSearch(f"{code!r} refers to no document")
             if t.table == 0:
                 rows = matches
             else:
@@ -205,7 +205,7 @@ class Searcher:
         out = []
         for t in _find(resource, code).targets:
             if t.kind != "reference":
-                raise UnsupportedSearch(f"{code!r} is not a reference parameter")
+                raise UnsupportedSearch(f"{code!r} refers to no document")
             table = self.tables(resource.tables[t.table].name)
             rows = table.where(F.col(t.columns["type"]) == kind)
             rows = rows.join(wanted, rows[t.columns["id"]] == wanted["__target"], "left_semi")

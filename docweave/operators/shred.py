@@ -6,26 +6,38 @@ the rows come out tagged by table, and each table is a filter and a projection o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docweave.functions.leaves import DocumentError, flatten, kind_of
 from docweave.functions.lexical import Number, dumps, loads
 from docweave.functions.refs import parse
-from docweave.functions.temporal import date_sort, datetime_sort
+from docweave.functions.temporal import bounds, date_sort, datetime_sort
 from docweave.functions.text import fold, folded
 from docweave.plans.model import Element, RelMap, Resource, Table
 from docweave.plans.session import checkpoint, spread
 
 TAGGED = "rtype string, rid string, tbl string, ords array<smallint>, cols map<string,string>, error string"
+#: ``tbl`` of a row that holds a document's canonical text as ``body``, and of one that holds an error.
+BODY, ERROR = "*body", "*error"
 #: Ordinals fit a smallint.
 MOST_ITEMS = 32767
 
 
+@F.pandas_udf(StringType())
+def canonical(body: pd.Series) -> pd.Series:
+    """Sorted keys, no white space, numbers as written."""
+    return body.map(lambda b: None if b is None else dumps(loads(b), sort_keys=True))
+
+
 class Rows:
     """One document's rows, by (table, ords)."""
 
@@ -45,12 +57,12 @@ def _child(path: str, name: str) -> str:
 def shred_one(resource: Resource, document: Any) -> tuple[str | None, Rows]:
     """(id, rows); DocumentError if the document doesn't fit the map."""
     if not isinstance(document, dict):
-        raise DocumentError("", "a document must be an object")
+        raise DocumentError("", "is not a JSON object")
     if document.get("resourceType") != resource.name:
-        raise DocumentError("resourceType", f"expected {resource.name!r}")
+        raise DocumentError("resourceType", f"names another type than {resource.name}")
     rows = Rows(resource)
     if not isinstance(document.get("id", ""), str):
-        raise DocumentError("id", "must be a string")
+        raise DocumentError("id", "is not text")
     _walk(rows, 0, document, 0, (), "", {"resourceType", "id"})
     return document.get("id"), rows
 
@@ -69,7 +81,7 @@ def _walk(rows: Rows, node: int, value: dict, table: int, ords: tuple[int, ...],
         if element.kind == "choice":
             found = [v for v in element.variants if v.name in value or f"_{v.name}" in value]
             if len(found) > 1:
-                raise DocumentError(_child(path, found[1].name), f"choice also present as {found[0].name!r}")
+                raise DocumentError(_child(path, found[1].name), f"excludes {found[0].name}, of the same choice")
             for variant in found:
                 if element.table >= 0:
                     rows.at(element.table, (*ords, 1))
@@ -80,7 +92,7 @@ def _walk(rows: Rows, node: int, value: dict, table: int, ords: tuple[int, ...],
             _element(rows, element, value, table, ords, path, used)
     for key in value:
         if key not in used:
-            raise DocumentError(_child(path, key), "unknown element")
+            raise DocumentError(_child(path, key), "is not in the schema")
 
 
 def _element(rows: Rows, e: Element, value: dict, table: int, ords: tuple[int, ...], path: str, used: set[str]) -> None:
@@ -100,7 +112,7 @@ def _element(rows: Rows, e: Element, value: dict, table: int, ords: tuple[int, .
             _primitive_extension(rows, value[shadow], here, ords)
         return
     if shadow in value:
-        raise DocumentError(_child(path, shadow), "unknown element")
+        raise DocumentError(_child(path, shadow), "is not in the schema")
     if e.kind == "group":
         if e.many:
             for i, one in _items(item, here):
@@ -114,41 +126,41 @@ def _element(rows: Rows, e: Element, value: dict, table: int, ords: tuple[int, .
             rows.extra.append(("deep", ords, {"path": here, "leaf": leaf} | _leaf(kind, text)))
     elif e.kind == "resource":
         if not isinstance(item, dict):
-            raise DocumentError(here, "must be an object")
+            raise DocumentError(here, "is not an object")
         rows.at(table, ords)[e.columns[0]] = dumps(item)
     else:  # contained
         for i, one in _items(item, here):
             if not isinstance(one, dict):
-                raise DocumentError(here, "must be an object")
+                raise DocumentError(here, "is not an object")
             rows.extra.append(("contained", (i,), {"resource": dumps(one)}))
 
 
 def _group(rows: Rows, e: Element, item: Any, table: int, ords: tuple[int, ...], path: str) -> None:
     if not isinstance(item, dict):
-        raise DocumentError(path, "must be an object")
+        raise DocumentError(path, "is not an object")
     _walk(rows, e.node, item, table, ords, path, set())
 
 
 def _items(value: Any, path: str) -> Iterator[tuple[int, Any]]:
     if not isinstance(value, list):
-        raise DocumentError(path, "expected an array")
+        raise DocumentError(path, "should be a list")
     if not value:
-        raise DocumentError(path, "empty array")
+        raise DocumentError(path, "is a list of nothing")
     if len(value) > MOST_ITEMS:
-        raise DocumentError(path, "array too long")
+        raise DocumentError(path, f"lists more than {MOST_ITEMS} items")
     return enumerate(value, 1)
 
 
 def _primitives(rows: Rows, e: Element, values: Any, shadows: Any, ords: tuple[int, ...], path: str) -> None:
     lists = [[] if x is None else x for x in (values, shadows)]
     if not all(isinstance(x, list) for x in lists):
-        raise DocumentError(path, "expected an array")
+        raise DocumentError(path, "should be a list")
     n = max(map(len, lists))
     values, shadows = (x + [None] * (n - len(x)) for x in lists)
     for i, one in _items(values, path):
         shadow = shadows[i - 1]
         if one is None and shadow is None:
-            raise DocumentError(path, f"array entry {i - 1} is null with no extension")
+            raise DocumentError(path, f"item {i} has neither value nor extension")
         if one is not None:
             rows.at(e.table, (*ords, i)).update(_columns(e, one, path))
         if shadow is not None:
@@ -158,26 +170,50 @@ def _primitives(rows: Rows, e: Element, values: Any, shadows: Any, ords: tuple[i
 def _columns(e: Element, value: Any, path: str) -> dict[str, str]:
     if e.kind == "ref":
         if not isinstance(value, str):
-            raise DocumentError(path, "must be a string")
+            raise DocumentError(path, "is not text")
         return {c: v for c, v in zip(e.columns, parse(value), strict=True) if v is not None}
     return {e.columns[0]: image(e.prim, value, path)}
 
 
+#: The texts of numbers that a type allows, whatever their range.
+WHOLE = re.compile(r"-?(?:0|[1-9][0-9]*)", re.ASCII)
+WHOLE64 = re.compile(r"[+-]?[0-9]+", re.ASCII)
+
+
+def _within(text: str, pattern: re.Pattern, bits: int) -> bool:
+    """A whole number of the two's-complement range."""
+    return len(text) < 40 and pattern.fullmatch(text) is not None and -(1 << bits) <= int(text) < 1 << bits
+
+
+INSTANT = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2})(?::([0-9]{2})(?:\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?", re.ASCII)
+
+
+def _stated(text: str, whole_days: bool) -> bool:
+    """A year, a month, a day or, unless only whole days will do, an instant that there is; a leap second is one."""
+    if len(text) <= 10:
+        return text.isascii() and bounds(text) is not None
+    m = None if whole_days else INSTANT.fullmatch(text)
+    try:
+        return m is not None and int(m[2] or 0) <= 60 and datetime.fromisoformat(m[1] + (m[3] or "")) is not None
+    except ValueError:
+        return False
+
+
+#: For each primitive: which JSON values it takes, and which texts.
+FITS = {
+    "bool": (bool, None), "int": (Number, lambda t: _within(t, WHOLE, 31)), "int64": (str, lambda t: _within(t, WHOLE64, 63)), "decimal": (Number, None),
+    "date": (str, lambda t: _stated(t, True)), "datetime": (str, lambda t: _stated(t, False)), "instant": (str, lambda t: _stated(t, False)),
+}
+
+
 def image(prim: str, value: Any, path: str) -> str:
-    """The stored text of a primitive; an error if it is none of its type."""
-    number, text = isinstance(value, Number), isinstance(value, str) and not isinstance(value, Number)
-    ok = {"bool": isinstance(value, bool), "int": number, "decimal": number}.get(prim, text)
-    if ok and prim in ("int", "int64"):
-        try:
-            bits = 31 if prim == "int" else 63
-            ok = -(1 << bits) <= int(str.__str__(value)) < 1 << bits
-        except ValueError:
-            ok = False
-    if ok and prim == "date":
-        ok = len(value) in (4, 7, 10) and all((c == "-") if i in (4, 7) else c.isdigit() for i, c in enumerate(value))
-    if not ok:
+    """The stored text of a primitive; an error if it is none of its type, or a date that there isn't."""
+    kind, fits = FITS.get(prim, (str, None))
+    ok = isinstance(value, kind) and (kind is Number) == isinstance(value, Number)
+    text = {True: "true", False: "false"}[value] if isinstance(value, bool) else str.__str__(value) if ok else ""
+    if not ok or fits and not fits(text):
         raise DocumentError(path, f"is no {prim}")
-    return "true" if value is True else "false" if value is False else str.__str__(value)
+    return text
 
 
 def _leaf(kind: str, text: str | None) -> dict[str, str]:
@@ -186,16 +222,16 @@ def _leaf(kind: str, text: str | None) -> dict[str, str]:
 
 def _element_id(rows: Rows, value: Any, path: str, ords: tuple[int, ...]) -> None:
     if not isinstance(value, str):
-        raise DocumentError(_child(path, "id"), "element id must be a string")
+        raise DocumentError(_child(path, "id"), "is not text")
     rows.extra.append(("ext", ords, {"path": path, "modifier": "false", "ext_ord": "0", "leaf": "id"} | _leaf("s", value)))
 
 
 def _primitive_extension(rows: Rows, value: Any, path: str, ords: tuple[int, ...]) -> None:
     if not isinstance(value, dict):
-        raise DocumentError(path, "primitive extension must be an object")
+        raise DocumentError(path, "has an underscored twin that is not an object")
     for key in value:
         if key not in ("id", "extension"):
-            raise DocumentError(path, f"unexpected key {key!r} in primitive extension")
+            raise DocumentError(path, f"has an underscored twin with {key!r}")
     if "id" in value:
         _element_id(rows, value["id"], path, ords)
     if "extension" in value:
@@ -206,7 +242,7 @@ def _extensions(rows: Rows, value: Any, path: str, ords: tuple[int, ...], modifi
     for i, one in _items(value, path):
         url = one.get("url") if isinstance(one, dict) else None
         if not isinstance(url, str) or isinstance(url, Number):
-            raise DocumentError(path, "extension without a url")
+            raise DocumentError(path, "lists an extension that no url names")
         for leaf, kind, text in flatten(one, path, "url"):
             rows.extra.append(("ext", ords, {"path": path, "modifier": str(modifier).lower(), "ext_ord": str(i), "url": url, "leaf": leaf} | _leaf(kind, text)))
 
@@ -217,26 +253,31 @@ def fill_folded(table: Table, row: dict[str, str]) -> None:
             row[c.name] = fold(row[c.derived])
 
 
-def tagged(docs: DataFrame, relmap: RelMap, body: str = "body") -> DataFrame:
+def tagged(docs: DataFrame, relmap: RelMap, body: str = "body", key: str | None = None) -> DataFrame:
     """Rows of all documents, tagged by type and table; a document that doesn't fit is one row with an error.
 
-    Documents of a type that the map lacks are errors too. Null bodies are errors.
+    Documents of a type that the map lacks are errors too. Null bodies are errors. With ``key``, a
+    column of whole numbers, every row has its document's as ``key``, errors have the table ERROR, and
+    each document that fits also gives its canonical text as a row of the table BODY.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rtype", "rid", "tbl", "ords", "cols", "error"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int16()), pa.map_(pa.string(), pa.string()), pa.string()]
+        names = ["rtype", "rid", "tbl", "ords", "cols", "error", "key"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int16()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64()]
+        n = len(names) if key else len(names) - 1
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(0).to_pylist():
-                out.extend(_one(relmap, text))
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for lo in range(0, batch.num_rows, 512):
+                out: list[tuple] = []
+                for text, k in zip(batch.column(0).slice(lo, 512).to_pylist(), batch.column(1).slice(lo, 512).to_pylist(), strict=True):
+                    out.extend((*row, k) for row in _one(relmap, text, key is not None))
+                columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:n], kinds[:n], strict=True)], names[:n])
 
-    return spread(docs.select(F.col(body).cast("string"))).mapInArrow(run, TAGGED)
+    rows = docs.select(F.col(body).cast("string").alias("body"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
+    return spread(rows).mapInArrow(run, TAGGED + (", key long" if key else ""))
 
 
-def _one(relmap: RelMap, text: str | None) -> Iterator[tuple]:
+def _one(relmap: RelMap, text: str | None, whole: bool = False) -> Iterator[tuple]:
     kind = id_ = None
     try:
         document = loads(text or "null")
@@ -247,11 +288,13 @@ def _one(relmap: RelMap, text: str | None) -> Iterator[tuple]:
         id_, rows = shred_one(resource, document)
         if id_ is None:
             raise DocumentError("id", "missing")
-    except (DocumentError, ValueError) as problem:
-        said = str(problem) if isinstance(problem, DocumentError) else "not JSON"
+    except (DocumentError, ValueError, RecursionError) as problem:
+        said = str(problem) if isinstance(problem, DocumentError) else "nested too deep" if isinstance(problem, RecursionError) else "not JSON"
         named = (x if isinstance(x, str) and not isinstance(x, Number) else None for x in (kind, id_))
-        yield *named, None, None, None, said
+        yield *named, ERROR if whole else None, None, None, said
         return
+    if whole:
+        yield kind, id_, BODY, None, [("body", dumps(document, sort_keys=True))], None
     for (table, ords), row in rows.rows.items():
         fill_folded(resource.tables[table], row)
         yield kind, id_, resource.tables[table].name, list(ords), list(row.items()), None
@@ -263,11 +306,11 @@ def errors(rows: DataFrame) -> DataFrame:
     return rows.where("error is not null").select("rtype", "rid", "error")
 
 
-def table_of(rows: DataFrame, table: Table) -> DataFrame:
-    """One table's typed rows: id for the base table, else rid and ords; derived columns computed."""
+def table_of(rows: DataFrame, table: Table, more: list[Column] | None = None) -> DataFrame:
+    """One table's typed rows: id and ``more`` for the base table, else rid and ords; derived columns computed."""
     mine = rows.where((F.col("tbl") == table.name) & F.col("error").isNull())
     value = lambda name: F.col("cols")[name]
-    key = [F.col("rid").alias("id")] if table.kind == "base" else [F.col("rid"), F.col("ords")]
+    key = [F.col("rid").alias("id"), *(more or [])] if table.kind == "base" else [F.col("rid"), F.col("ords")]
     if table.kind == "contained":
         return mine.select("rid", F.col("ords")[0].alias("ord"), value("resource").alias("resource"))
     if table.kind in ("ext", "deep"):
@@ -280,7 +323,7 @@ def table_of(rows: DataFrame, table: Table) -> DataFrame:
     for c in table.columns:
         source = value(c.derived or c.name)
         typed = {
-            "bool": lambda s=source: s.cast("boolean"), "int": lambda s=source: s.cast("int"), "int64": lambda s=source: s.cast("bigint"),
+            "bool": lambda s=source: s.try_cast("boolean"), "int": lambda s=source: s.try_cast("int"), "int64": lambda s=source: s.try_cast("bigint"),
             "num": lambda s=source: s.try_cast("decimal(38,18)"), "day": lambda s=source: date_sort(s), "instant": lambda s=source: datetime_sort(s),
         }.get(c.kind)
         columns.append((typed() if typed else value(c.name)).alias(c.name, metadata={"path": c.path}))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docweave.functions.temporal import date_sort, datetime_sort
 from docweave.functions.text import folded
-from docweave.plans.model import SPARK, RelMap, Table
+from docweave.plans.model import SPARK, RelMap, Resource, Table
 
 SYSTEM = {
     "base": [("id", "string"), ("version_id", "bigint"), ("last_updated", "timestamp")], "elem": [("rid", "string"), ("ords", "array<smallint>")],
@@ -37,6 +38,22 @@ def ddl(relmap: RelMap, kinds: list[str] | None = None) -> list[str]:
     return out
 
 
+#: Kinds of search targets that look for exact values, and which of their columns they look in.
+EXACT = {"token": ("code",), "reference": ("id", "url"), "uri": ("col",), "quantity": ("code",)}
+
+
+def layout(resource: Resource, table: Table) -> tuple[list[str], dict[str, str]]:
+    """What stands for indexes: (columns that a table's files are sorted by, options for writing it).
+
+    Files sorted by the document's id let reads of few documents, and joins by id, skip row groups by
+    their least and greatest ids; columns that searches compare with exact values get Bloom filters.
+    """
+    order = {"base": ["id"], "contained": ["rid", "ord"], "ext": ["rid", "path", "ords"], "deep": ["rid", "path", "ords"]}.get(table.kind, ["rid", "ords"])
+    have = {c.name for c in table.columns}
+    found = {t.columns.get(c) for p in resource.params for t in p.targets if resource.tables[t.table].name == table.name for c in EXACT.get(t.kind, ())}
+    return order, {f"parquet.bloom.filter.enabled#{c}": "true" for c in sorted(found & have)}
+
+
 def install(spark: SparkSession, relmap: RelMap, kinds: list[str] | None = None) -> int:
     """Creates the tables that aren't there; the number of statements."""
     statements = ddl(relmap, kinds)
@@ -92,13 +109,17 @@ def backfill(df: DataFrame, source: str, target: str) -> DataFrame:
     return joined.withColumn(target, F.coalesce(F.col(target), F.col("__folded"))).select(*df.columns)
 
 
+#: How columns derived from a text are computed.
+DERIVED = {"num": lambda c: c.try_cast("decimal(38,18)"), "day": date_sort, "instant": datetime_sort}
+
+
 def upgraded(df: DataFrame, table: Table, old: Table) -> DataFrame:
-    """A table's rows under the new map: new columns null, folded ones filled."""
+    """A table's rows under the new map: new columns null, those derived from others filled."""
     for name, kind in columns(table):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
     have = {c.name for c in old.columns}
     for c in table.columns:
-        if c.derived and c.name.endswith("_norm") and c.name not in have and c.derived in df.columns:
-            df = backfill(df, c.derived, c.name)
+        if c.derived and c.name not in have and c.derived in df.columns:
+            df = backfill(df, c.derived, c.name) if c.name.endswith("_norm") else df.withColumn(c.name, DERIVED[c.kind](F.col(c.derived)))
     return df.select(*(n for n, _ in columns(table)))

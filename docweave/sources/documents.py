@@ -18,16 +18,20 @@ def _documents(name: str, raw: bytes) -> Iterator[tuple[str | None, str, str | N
     """(body, context, error): the content tells whether it is one document, a bundle or lines."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
-    text = raw.decode("utf-8", "replace")
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        yield None, name, "is not UTF-8"
+        return
     try:
         value = loads(text)
     except ValueError:
-        for i, line in enumerate(text.splitlines(), 1):
-            if line.strip():
+        for i, line in enumerate(text.split("\n"), 1):  # line feeds alone end a line: others may stand in JSON
+            if line.strip(" \t\r"):
                 yield line, f"{name}:{i}", None
         return
     if not isinstance(value, dict) or "resourceType" not in value:
-        yield None, name, "no document: resourceType is missing"
+        yield None, name, "has no resourceType"
     elif value["resourceType"] == "Bundle":
         for i, entry in enumerate(value.get("entry", [])):
             if isinstance(entry, dict) and "resource" in entry:

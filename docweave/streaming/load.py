@@ -15,12 +15,13 @@ from docweave.operators.store import ACCESS, Audit, Store
 def stream_load(spark: SparkSession, store: Store, path: str, checkpoint: str, once: bool = True, audit: Audit = Audit()) -> StreamingQuery:
     """Every new file's documents are loaded as one batch each trigger; documents that don't fit are left out.
 
-    A batch that fails after its commit may be tried again: its documents get one more version each.
+    The snapshot that a batch publishes has its number, under the name of ``checkpoint``, so that a
+    batch which is tried again after its commit changes nothing.
     """
 
     def batch(df: DataFrame, n: int) -> None:
         if df.limit(1).count():
-            store.load(df, audit)
+            store.load(df, audit, mark=(checkpoint, n))
 
     lines = spark.readStream.text(path).where(F.trim("value") != "").select(F.col("value").alias("body"))
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
