@@ -22,18 +22,18 @@ def test_commands(spark, tmp_path, capsys):
     assert run("gen", f"{tmp_path}/definitions.json", f"{tmp_path}/parameters.json", "r5", f"{tmp_path}/map.gz")[0]["types"] == 6
     run("chain-key-new", f"{tmp_path}/key")
     assert run("init") == [{"created": True}]
-    assert run("load", f"file://{tmp_path}/docs.ndjson", code=1)[0]["loaded"] == 7
-    assert run("get", "Patient", "dora")[0]["name"][0]["family"] == "Müller"
+    assert run("load", f"file://{tmp_path}/docs.ndjson", code=1)[0]["loaded"] == 8
+    assert run("get", "Patient", "tern")[0]["name"][0]["family"] == "Åkesson"
     assert run("get", "Patient", "nobody", code=1) == [None]
-    assert [e["resource"]["id"] for e in run("search", "Patient", "family=smith&_sort=-birthdate")[0]["entry"]] == ["bob", "alice"]
-    run("delete", "Patient", "elena")
-    assert [r["op"] for r in run("history", "Patient", "elena")] == ["D", "C"]
-    (tmp_path / "bundle.json").write_text(json.dumps({"type": "transaction", "entry": [{"resource": spec.ORGANIZATION, "request": {"method": "PUT", "url": "Organization/acme"}}]}))
+    assert [e["resource"]["id"] for e in run("search", "Patient", "family=okafor&_sort=-birthdate")[0]["entry"]] == ["quill", "rook"]
+    run("delete", "Patient", "vole")
+    assert [r["op"] for r in run("history", "Patient", "vole")] == ["D", "C"]
+    (tmp_path / "bundle.json").write_text(json.dumps({"type": "transaction", "entry": [{"resource": spec.ORGANIZATION, "request": {"method": "PUT", "url": "Organization/dock"}}]}))
     assert run("bundle", f"{tmp_path}/bundle.json")[0][0]["status"] == 201
     assert run("verify-audit") == [{"breaks": []}]
-    assert run("chain-witness")[0]["witness"].startswith("8:")
-    assert run("chain-resign")[0]["signed"] == 9
-    run("purge", "Patient", "carol")
+    assert run("chain-witness")[0]["witness"].startswith("9:")
+    assert run("chain-resign")[0]["signed"] == 10
+    run("purge", "Patient", "quill")
     run("export", f"file://{tmp_path}/out", "Patient")
     assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out").glob("part-*")) == 3
     assert any(r["tbl"] == "patient_name" for r in run("transform", f"file://{tmp_path}/docs.ndjson"))

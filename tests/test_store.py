@@ -114,9 +114,9 @@ def test_bundles(store):
 def test_search_bundle(store):
     store.load(store.spark.createDataFrame([(json.dumps(d),) for d in [*spec.PATIENTS, *spec.OBSERVATIONS, spec.ORGANIZATION]], "body string"))
     found = store.search("Observation", "status=final&_include=Observation:subject&_count=1")
-    assert [(e["resource"]["id"], e["search"]["mode"]) for e in found["entry"]] == [("obs1", "match"), ("alice", "include")]
-    assert found["total"] == 1
-    assert found["next"] == {"_cursor": "obs1"}
+    assert [(e["resource"]["id"], e["search"]["mode"]) for e in found["entry"]] == [("pulse", "match"), ("rook", "include")]
+    assert found["total"] == 2
+    assert found["next"] == {"_cursor": "pulse"}
     assert "total" not in store.search("Patient", "_total=none&_lastUpdated=ge2000")
     assert store.search("Patient", "_lastUpdated=lt2000")["entry"] == []
 
