@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import sha256
 
-#: Pre-tokens up to so many characters are remembered, so many of them in a worker.
-SHORT, REMEMBERED = 48, 1_000_000
+#: Pre-tokens up to so many characters are remembered, up to twice so many of them in a worker.
+SHORT, REMEMBERED = 48, 500_000
+#: Texts and ids of more characters are worked on piece by piece.
+LONG = 1 << 20
 
 
 BIT = [1 << i for i in range(4096)]
@@ -31,50 +34,61 @@ class RankQueue:
 
     Bit r % 256 of ``low[r // 256]`` is set while rank r has positions, and bit k of ``top`` while
     ``low[k]`` has any bit. Find-first-set on the top word, then on the word it points at, gives the
-    lowest rank; its bucket, a heap, gives the leftmost position.
+    lowest rank; its bucket gives the leftmost position. A bucket of one position is that number, a
+    larger one a heap.
     """
 
     def __init__(self, n_ranks: int):
         self.low = [0] * (n_ranks // 256 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
+        buckets = self.buckets
+        bucket = buckets.get(rank)
+        if bucket is None:
+            buckets[rank] = position
+            k = rank >> 8
+            self.low[k] |= BIT[rank & 255]
+            self.top |= BIT[k]
+        elif type(bucket) is int:
+            buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
         else:
-            self.buckets[rank] = [position]
-            self.low[rank >> 8] |= BIT[rank & 255]
-            self.top |= BIT[rank >> 8]
+            heapq.heappush(bucket, position)
 
     def fill(self, ranks: list[int]) -> None:
         """Pushes position i with rank ranks[i], for all that are not negative, into the empty queue."""
         buckets, low, top = self.buckets, self.low, self.top
         for i, rank in enumerate(ranks):
             if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = i
                     k = rank >> 8
                     low[k] |= BIT[rank & 255]
                     top |= BIT[k]
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, i]
+                else:
+                    bucket.append(i)
         self.top = top
 
     def pop(self) -> tuple[int, int]:
         """The lowest rank and its leftmost position, taken out; the queue isn't empty."""
-        k = (self.top & -self.top).bit_length() - 1
+        top = self.top
+        k = (top & -top).bit_length() - 1
         word = self.low[k]
         rank = k << 8 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heapq.heappop(bucket)
+        if type(bucket) is not int:
+            if len(bucket) > 1:
+                return rank, heapq.heappop(bucket)
+            bucket = bucket[0]
         del self.buckets[rank]
         self.low[k] = word = word & (word - 1)
         if not word:
-            self.top &= self.top - 1
-        return rank, bucket[0]
+            self.top = top & (top - 1)
+        return rank, bucket
 
 
 class Codec:
@@ -84,9 +98,11 @@ class Codec:
         self.longest = max(map(len, ranks))
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.two = [[ranks.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)]
         self.names = {i: str(i) for i in ranks.values()}
         self.pieces = {str(i): b for b, i in ranks.items()}
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of lowest rank, the leftmost first, is joined until none is left.
@@ -94,17 +110,18 @@ class Codec:
         Tokens are nodes of a linked list over byte positions. A queue entry is stale, and skipped, if
         the pair that now starts at its position has another rank.
         """
-        get, n, longest, queue = self.ranks.get, len(piece), self.longest, self.queue
+        get = self.ranks.get
         whole = get(piece)
         if whole is not None:
             return [whole]
+        n, longest, queue, two = len(piece), self.longest, self.queue, self.two
         push, pop = queue.push, queue.pop
         single = self.bytes
         token = [single[x] for x in piece]
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [get(piece[i : i + 2], -1) for i in range(n)]
-        pair[-1] = -1
+        pair = [two[x][y] for x, y in zip(piece, piece[1:], strict=False)]
+        pair.append(-1)
         queue.fill(pair)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         while queue.top:
             rank, i = pop()
             if pair[i] != rank:
@@ -112,10 +129,9 @@ class Codec:
             gone = after[i]
             end = after[gone]
             token[i], after[i], before[end], pair[gone] = rank, end, i, -1
-            if end < n and after[end] - i <= longest:
-                pair[i] = r = get(piece[i : after[end]], -1)
-                if r >= 0:
-                    push(r, i)
+            if end < n and after[end] - i <= longest and (r := get(piece[i : after[end]])) is not None:
+                pair[i] = r
+                push(r, i)
             else:
                 pair[i] = -1
             left = before[i]
@@ -132,9 +148,10 @@ class Codec:
         return out
 
     def _new(self, token: str) -> str:
-        ids = " ".join(map(self.names.__getitem__, self.merge(token.encode("utf-8"))))
+        ids = self.older.get(token) or " ".join(map(self.names.__getitem__, self.merge(token.encode("utf-8"))))
         if len(token) <= SHORT:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= REMEMBERED:  # the older half is forgotten, but for what has been met since
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[token] = ids
         return ids
@@ -142,11 +159,23 @@ class Codec:
     def encode(self, text: str) -> str:
         """The ids in decimal, joined by one space."""
         get, new = self.known.get, self._new
-        return " ".join([get(t) or new(t) for t in self.pattern.findall(text)])
+        if len(text) <= LONG:
+            return " ".join([get(t) or new(t) for t in self.pattern.findall(text)])
+        found = (m[0] for m in self.pattern.finditer(text))  # of a long text few pre-tokens are held at once
+        parts = iter(lambda: " ".join([get(t) or new(t) for t in itertools.islice(found, 1 << 14)]), "")
+        return " ".join(parts)
 
     def decode(self, ids: str) -> bytes:
         pieces = self.pieces
-        return b"".join([pieces[i] for i in ids.split(" ")]) if ids else b""
+        if len(ids) <= LONG:
+            return b"".join([pieces[i] for i in ids.split(" ")]) if ids else b""
+        out, at = [], 0
+        while at < len(ids):
+            end = ids.find(" ", at + LONG)
+            end = len(ids) if end < 0 else end
+            out.append(b"".join([pieces[i] for i in ids[at:end].split(" ")]))
+            at = end + 1
+        return b"".join(out)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -169,7 +198,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     With ``with_ids`` also ``ids`` (array of int) and ``decoded`` (binary). The tokenizer file is a
     fixed file that every worker reads once from ``path``, as installed on each node. A null text is
-    an empty one: no tokens. Null and repeated ids pass through; other columns are ignored.
+    an empty one: no tokens. Null and repeated ids pass through row by row; nothing is shuffled; an
+    empty table gives no rows; other columns are ignored.
     """
     schema = SCHEMA + (", ids array<int>, decoded binary" if with_ids else "")
 
@@ -196,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _text(value: pa.Scalar) -> str | None:
