@@ -1,6 +1,7 @@
 """Operators on single texts: quality, personal data, licences, decontamination, token counts, BPE, shards."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter as Bag
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 import tiktoken
 from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, tokencount
 from docweave.llm.arrowtext import blocks, split
@@ -252,7 +254,7 @@ def brute_hits(docs, items, window):
     for item, text in items:
         w = ALNUM.findall(low(text))
         m = min(window, len(w))
-        for k in range(len(w) - m + 1 if w and item is not None else 0):
+        for k in range(len(w) - m + 1 if w else 0):
             patterns.setdefault(tuple(w[k : k + m]), set()).add(item)
     out = []
     for doc, text, *_ in docs:
@@ -263,7 +265,7 @@ def brute_hits(docs, items, window):
                 if got := patterns.get(tuple(w[k : k + m])):
                     found |= got
                     hit[k : k + m] = [1] * m
-        out.append((doc is not None, doc or 0, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), sum(hit) > 0))
+        out.append((doc is not None, doc or 0, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest(), sum(hit) > 0))
     return sorted(out, key=repr)
 
 
@@ -303,6 +305,50 @@ def test_counts_as_the_unigram_library(odd, odd_rows, empty):
     assert tokencount.counts(empty, path).count() == 0
 
 
+def test_counts_are_near_those_of_the_models_own_encoder():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    c, own = tokencount.Counter(tokencount.load_pieces(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert c.count("the quick brown fox jumps over the lazy dog")[1] == 11
+    texts = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    mine, theirs = sum(c.count(t)[1] for t in texts), sum(len(own.encode(t)) for t in texts)
+    assert abs(mine - theirs) < 0.03 * theirs
+    unigram = [("a", -1.5), ("b", -2.25)]
+    assert tokencount.by_rank([("a", 0.0), ("b", -1.0)])[0][1] > tokencount.by_rank([("a", 0.0), ("b", -1.0)])[1][1]
+    assert sum(math.exp(s) for _, s in tokencount.by_rank([("a", 0.0), ("b", -1.0), ("c", -2.0)])) == pytest.approx(1)
+    assert tokencount.Counter(unigram).count("a") == (-2.25 - tokencount.PENALTY - 1.5, 1 + len(tokencount.MARK.encode()))
+
+
+def test_long_texts_piece_by_piece(monkeypatch):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    codec = bbpe.codec(path, pattern)
+    counter = tokencount.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["word", "é日本", "12345", "\n", "  ", "x!?"]) for _ in range(60000))
+    ids, counted = codec.encode(text), counter.count(text)
+    monkeypatch.setattr(bbpe, "LONG", 1000)
+    monkeypatch.setattr(bbpe, "REMEMBERED", 3)
+    monkeypatch.setattr(tokencount, "LONG", 1000)
+    codec.known.clear()
+    assert codec.encode(text) == ids
+    assert codec.decode(ids).decode() == text
+    assert counter.count(text) == counted
+
+
+def test_a_bucket_of_many_patterns():
+    """Patterns with one last block are told apart by one look-up, not one by one."""
+    items = [(i, f"w{i} x{i} of the") for i in range(3000)]
+    (found,) = decontam.tables(items, 4)
+    assert len(found.keys) == 3000
+    calls = []
+    plain = found.same
+    found.same = lambda *a: calls.append(1) or plain(*a)
+    text = " ".join(f"w{i} x{i} of the" for i in range(0, 3000, 3)) + " none x of the" * 50
+    _, hit, items_found = decontam._search([found], next(blocks(pa.array([text]))))
+    assert sorted(items_found[0]) == list(range(0, 3000, 3))
+    assert len(calls) == 1000
+    assert hit.sum() == 4000
+
+
 def test_ties_and_unknowns():
     c = tokencount.Counter([("a", -1.0), ("aa", -2.0), ("ab", -2.5), ("b", -1.0), ("▁", -1.0)])
     assert c.solve("aab") == (-3.0, 2)  # aa|b ties with a|a|b: the last piece that begins first wins at each place
