@@ -4,8 +4,8 @@ Lines are described by yes/no features. The field has a weight for each feature
 pair of neighbouring states; Viterbi decoding gives the best sequence of a document's lines, and a
 document is retained if enough of its words stand in content lines. Base rules go first.
 
-The weights are fitted on a bounded sample of labelled documents, of which the executors send only the
-lines' features: a first pass without transitions finds which lines of poor documents look poor, then
+The weights are fitted on a bounded sample of labelled documents, whole ones, of which the executors send
+only the lines' features: a first pass without transitions finds which lines of poor documents look poor, then
 the chain is fitted to the sequences so labelled.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.arrowtext import NOT_SPACE, Block, Words, blocks, keep_rows, mix, split, table, window_hashes, windows_within, word_hashes
@@ -25,8 +25,8 @@ from docweave.llm.arrowtext import NOT_SPACE, Block, Words, blocks, keep_rows, m
 LEAST_WORDS, MOST_REPEATED, REPEAT = 10, 20, 5
 #: Least share of words in content lines of a document that stays.
 CONTENT_SHARE = 0.5
-#: Labelled documents that the field is fitted on, at most, and lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 24
+#: Labelled documents that the field is fitted on, at most, and lines of all of them together. None is cut.
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 400_000
 
 U = np.uint64
 SYMBOL = table(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -180,70 +180,142 @@ def _features(bits: np.ndarray) -> np.ndarray:
 DEFAULT = Field((-1.33, 0.33, 0.59, -1.05, 3.09, 3.07, 2.90, 1.42, 1.20, -0.05, 1.28, 1.13, -3.04, -0.15, 1.48, 2.26, 0.09, -0.04, 1.85), ((1.29, -1.21), (-0.60, 0.51)))
 
 
+#: Lines that are multiplied in step when a chain's sums are taken.
+STRETCH = 32
+
+
+class Chains:
+    """Sequences end to end, cut into stretches, for forward and backward sums over all of them.
+
+    A line is a 2 x 2 matrix of what each pair of states weighs; a stretch is the product of its lines,
+    so that the sums go first within all stretches at once, then from stretch to stretch, then within
+    again: steps follow the stretch and the number of stretches of the longest sequence, and what is
+    held follows the number of lines.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        n = -(-counts // STRETCH)
+        self.n_stretches, self.first = int(n.sum()), np.cumsum(n) - n  # of each sequence
+        self.length = n
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = self.first[row] * STRETCH + place  # of each line among all slots
+        self.begins = place == 0
+
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """(2, 2, place, stretch), so that a place's numbers lie together; slots without a line change nothing."""
+        out = np.zeros((2, 2, self.n_stretches * STRETCH))
+        out[0, 0] = out[1, 1] = 1.0
+        out[:, :, self.at] = weights
+        return np.ascontiguousarray(out.reshape(2, 2, self.n_stretches, STRETCH).swapaxes(2, 3))
+
+    def across(self, whole: np.ndarray, backward: bool) -> np.ndarray:
+        """The state before each stretch, or after it if backward."""
+        out = np.full((2, self.n_stretches), 0.5)
+        for k in range(1, int(self.length.max(initial=0))):
+            live = np.flatnonzero(self.length > k)
+            to = self.first[live] + (self.length[live] - 1 - k if backward else k)
+            at = to + 1 if backward else to - 1
+            out[:, to] = _onwards(out[:, at], whole[:, :, at], backward)
+        return out
+
+    def sums(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line (last axis) the probabilities of its states, and of the pairs with the line before."""
+        a = self.spread(weights)
+        whole = a[:, :, 0]
+        for k in range(1, STRETCH):
+            b = a[:, :, k]
+            whole = np.stack([np.stack([whole[i, 0] * b[0, j] + whole[i, 1] * b[1, j] for j in (0, 1)]) for i in (0, 1)])
+            whole /= whole[0, 0] + whole[0, 1] + whole[1, 0] + whole[1, 1]
+        before, after = np.empty((2, STRETCH, self.n_stretches)), np.empty((2, STRETCH, self.n_stretches))
+        now = self.across(whole, False)
+        for k in range(STRETCH):
+            before[:, k] = now
+            now = _onwards(now, a[:, :, k], False)
+        now = self.across(whole, True)
+        for k in range(STRETCH - 1, -1, -1):
+            after[:, k] = now
+            now = _onwards(now, a[:, :, k], True)
+        before, after = (x.swapaxes(1, 2).reshape(2, -1)[:, self.at] for x in (before, after))
+        pairs = before[:, None] * weights * after[None, :]
+        pairs /= pairs.sum(axis=(0, 1))
+        return pairs.sum(axis=0), pairs
+
+
+def _onwards(state: np.ndarray, a: np.ndarray, backward: bool) -> np.ndarray:
+    """The state's share after one matrix each, or before it if backward."""
+    if backward:
+        x, y = a[0, 0] * state[0] + a[0, 1] * state[1], a[1, 0] * state[0] + a[1, 1] * state[1]
+    else:
+        x, y = state[0] * a[0, 0] + state[1] * a[1, 0], state[0] * a[0, 1] + state[1] * a[1, 1]
+    total = x + y
+    return np.stack((x / total, y / total))
+
+
 def fit(sequences: list[tuple[int, np.ndarray]], rounds: int = 200) -> Field:
-    """The field for (quality, features of the lines) of documents. Deterministic; DEFAULT without both kinds."""
+    """The field for (quality, features of the lines) of documents. Deterministic; DEFAULT without both kinds.
+
+    Lines with the same features count as one kind of line, many times over.
+    """
     sequences = [(q, np.asarray(b, np.int64)) for q, b in sequences if len(b)]
     if not any(q for q, _ in sequences) or all(q for q, _ in sequences):
         return DEFAULT
-    x = _features(np.concatenate([b for _, b in sequences]))
-    poor = np.concatenate([np.full(len(b), 1.0 - q) for q, b in sequences])
+    kinds, kind = np.unique(np.concatenate([b for _, b in sequences]), return_inverse=True)
+    x = _features(kinds)
+    counts = np.array([len(b) for _, b in sequences])
+    poor = np.repeat([1.0 - q for q, _ in sequences], counts)
     weigh = np.where(poor > 0, 0.5 / max(poor.sum(), 1), 0.5 / max((1 - poor).sum(), 1))
+    sum_by = lambda w: np.bincount(kind, w, len(kinds))
+    share, share_poor = sum_by(weigh), sum_by(weigh * poor)
     w = np.zeros(N)
     for _ in range(rounds):  # the first pass: each line alone
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 4.0 * (x.T @ (weigh * (p - poor)) + 1e-4 * w)
-    label = ((x @ w > 0) & (poor > 0)).astype(np.int64)
+        w -= 4.0 * (x.T @ (share * p - share_poor) + 1e-4 * w)
+    label = ((x @ w > 0)[kind] & (poor > 0)).astype(np.int64)
     # the chain: gradient ascent on the likelihood of the label sequences, by forward and backward sums
-    length = max(len(b) for _, b in sequences)
-    n = len(sequences)
-    grid, mask, gold = np.zeros((n, length, N)), np.zeros((n, length), bool), np.zeros((n, length), np.int64)
-    at = 0
-    for i, (_, b) in enumerate(sequences):
-        grid[i, : len(b)], mask[i, : len(b)], gold[i, : len(b)] = x[at : at + len(b)], True, label[at : at + len(b)]
-        at += len(b)
+    chains = Chains(counts)
+    pair = np.flatnonzero(~chains.begins)
+    want_move = np.bincount(label[pair - 1] * 2 + label[pair], minlength=4).reshape(2, 2).astype(float)
+    want = x.T @ sum_by(label.astype(float))
     move = np.zeros((2, 2))
-    pairs = mask[:, 1:] & mask[:, :-1]
-    want_move = np.array([[((gold[:, :-1] == s) & (gold[:, 1:] == t) & pairs).sum() for t in (0, 1)] for s in (0, 1)], float)
-    want = np.einsum("ijk,ij->k", grid, gold * mask)
     speed_w, speed_m = np.zeros(N), np.zeros((2, 2))
-    total = mask.sum()
+    total = len(kind)
     for _ in range(rounds // 2):
-        emit = np.stack((np.zeros((n, length)), grid @ w), axis=2)
-        forward, backward = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-        forward[:, 0] = emit[:, 0]
-        for j in range(1, length):
-            step = np.logaddexp.reduce(forward[:, j - 1, :, None] + move[None], axis=1) + emit[:, j]
-            forward[:, j] = np.where(mask[:, j, None], step, forward[:, j - 1])
-        for j in range(length - 2, -1, -1):
-            step = np.logaddexp.reduce(move[None] + (emit[:, j + 1] + backward[:, j + 1])[:, None, :], axis=2)
-            backward[:, j] = np.where(mask[:, j + 1, None], step, 0.0)
-        z = np.logaddexp.reduce(forward[:, -1], axis=1)
-        p = np.exp(np.clip(forward + backward - z[:, None, None], -60, 0)) * mask[:, :, None]
-        joint = forward[:, :-1, :, None] + move[None, None] + (emit[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        got_move = (np.exp(np.clip(joint, -60, 0)) * pairs[:, :, None, None]).sum(axis=(0, 1))
-        grad_w = (want - np.einsum("ijk,ij->k", grid, p[:, :, 1])) / total - 1e-4 * w
+        emit = np.clip(x @ w, -60, 60)[kind]
+        state = np.exp(np.stack((np.minimum(0, -emit), np.minimum(0, emit))))  # the greater weighs 1
+        p, pairs = chains.sums(np.where(chains.begins, 1.0, np.exp(move)[:, :, None]) * state[None])
+        got_move = pairs[:, :, pair].sum(axis=2)
+        grad_w = (want - x.T @ sum_by(p[1])) / total - 1e-4 * w
         grad_m = (want_move - got_move) / total - 1e-4 * move
         speed_w, speed_m = 0.9 * speed_w + grad_w, 0.9 * speed_m + grad_m
         w, move = w + 0.5 * speed_w, move + 0.5 * speed_m
     return Field(tuple(w.tolist()), (tuple(move[0].tolist()), tuple(move[1].tolist())))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[int, np.ndarray]]:
-    """(quality, features) of at most ``most`` labelled documents, those whose ids hash lowest; of each the first lines."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_lines: int = SAMPLE_LINES) -> list[tuple[int, np.ndarray]]:
+    """(quality, features) of labelled documents, with all their lines.
+
+    Of the labels those whose ids hash lowest count, at most ``most``; of the rows that have these ids,
+    in an order that their ids and texts fix, at most ``most``, and no more than have ``most_lines``
+    lines together. A document is never cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(3)):
                 lines = describe(block)
                 first = np.searchsorted(lines.row, np.arange(block.hi - block.lo + 1))
-                rows = [lines.bits[a : min(b, a + SAMPLE_LINES)].tolist() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(rows, pa.list_(pa.int32()))], ["quality", "bits"])
+                rows = [lines.bits[a:b].tolist() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                mine = batch.slice(block.lo, block.hi - block.lo)
+                yield pa.RecordBatch.from_arrays([*mine.columns[:3], pa.array(np.diff(first)), pa.array(rows, pa.list_(pa.int32()))], ["place", "h", "quality", "n", "bits"])
 
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "quality", F.xxhash64("doc_id").alias("place"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # most rows at the most
-    found = some.select("quality", "text").mapInArrow(run, "quality int, bits array<int>").limit(4 * most).collect()
-    return sorted(((r[0], np.array(r[1], np.int64)) for r in found), key=lambda x: (x[0], x[1].tolist()))
+    found = some.select("place", F.xxhash64("text").alias("h"), "quality", "text").mapInArrow(run, "place long, h long, quality int, n long, bits array<int>")
+    found = found.where(F.col("n") <= most_lines).orderBy("place", "h", "quality", "n").limit(most)
+    so_far = F.sum("n").over(Window.orderBy("place", "h", "quality", "n").rowsBetween(Window.unboundedPreceding, 0))  # most rows at the most
+    return [(r[0], np.array(r[1], np.int64)) for r in found.withColumn("so_far", so_far).where(F.col("so_far") <= most_lines).select("quality", "bits").collect()]
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_content_lines long, content_words long"
@@ -287,6 +359,10 @@ def rules(docs: DataFrame, labelled: DataFrame, labels: DataFrame, share: float
 
 
 def retain(docs: DataFrame, labelled: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE, most: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of ``docs`` that rules() keeps, with all their columns."""
+    """The rows of ``docs`` that rules() keeps, with all their columns, whatever their names, and where they are.
+
+    Null and empty texts go, as the base rules have it; repeated rows and rows that share an id are judged
+    one by one; without labels of both kinds the field is DEFAULT; an empty table stays empty.
+    """
     field = fit(sample(labelled, labels, most))
     return keep_rows(docs, "text", lambda block: verdict(block, field, share)[2])
