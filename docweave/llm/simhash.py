@@ -6,8 +6,12 @@
    to its vantage point. Every fingerprint has one home leaf, its shard. It also visits, as a query,
    every other leaf that the triangle inequality can't rule out within the link distance: those beyond
    a boundary that the ball around it overlaps. A pair on two sides of a boundary is found from the
-   near side alone, so only those visits are made that go from near to far.
-4. Each shard searches its own vantage-point tree, exactly, and gives back a spanning forest of the
+   near side alone, so only those visits are made that go from near to far. The tree has at most
+   ``MOST_SHARDS`` leaves, since visits grow with its depth (eight a fingerprint at 64). A shard with
+   more points than one search should have is dealt over cells: two fingerprints within 3 bits agree
+   in one of four blocks of 16, so each point goes to one cell for each block, by as many of its bits
+   as the shard's load asks for. So a fingerprint has some thirty copies at most, at any size.
+4. Each shard, or cell, searches its own vantage-point tree, exactly, and gives back a spanning forest of the
    links it found: fewer rows than points, however dense the links are.
 5. Connected components over these forests; the least document id names the component.
 """
@@ -28,10 +32,12 @@ from docweave.plans.session import checkpoint, shuffle_partitions
 
 #: Words of a shingle, bits that may differ.
 SHINGLE, DISTANCE = 3, 3
-#: Fingerprints that the top tree is built on: most, and for each shard.
-MOST_SAMPLE, SAMPLE_PER_SHARD = 1 << 17, 32
-#: Distinct fingerprints at home in a shard, about; most shards.
-SHARD_SIZE, MOST_SHARDS = 4096, 4096
+#: Fingerprints that the top tree is built on, for each shard.
+SAMPLE_PER_SHARD = 512
+#: Distinct fingerprints at home in a shard, about; most shards. Both are powers of two.
+SHARD_SIZE, MOST_SHARDS = 4096, 64
+#: Visits that one task is sent, about.
+TASK_VISITS = 1 << 22
 #: Points of a leaf of a shard's own tree.
 LEAF = 256
 
@@ -203,70 +209,93 @@ def search(home: np.ndarray, guests: np.ndarray, reach: int) -> np.ndarray:
     return forest.label
 
 
-def _send(fps: DataFrame, top: Top, reach: int, chunks: np.ndarray) -> DataFrame:
-    """Every visit, packed: (shard, chunk, home, fingerprints). Guests of a full shard are dealt over its chunks, its own points go to each."""
+def _cells(top: Top, bits: np.ndarray, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, fingerprint, 1 if at home there else 0) of every visit.
+
+    A shard's points stand in one cell, or if it has bits, in one for each of reach + 1 blocks, chosen by
+    that many bits of the block: points within reach agree in all bits of some block.
+    """
+    index, shard, home = top.visits(fps, reach)
+    points = fps[index]
+    cell = shard.astype(U) << U(32)
+    many = np.flatnonzero(bits[shard] > 0)
+    if not len(many):
+        return cell, points, home
+    width = 64 // (reach + 1)
+    few = np.flatnonzero(bits[shard] == 0)
+    out = [(cell[few], points[few], home[few])]
+    mask = (U(1) << bits[shard[many]].astype(U)) - U(1)
+    for j in range(reach + 1):
+        block = points[many] >> U(j * width) & mask
+        out.append((cell[many] | U(j + 1) << U(24) | block, points[many], home[many]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _send(fps: DataFrame, top: Top, reach: int, bits: np.ndarray, parts: int) -> DataFrame:
+    """Every visit, packed: (part, cells, fingerprints and whether they are at home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ = batch.column(0).to_numpy().view(U)
             for lo in range(0, len(all_), 1 << 14):
-                part = all_[lo : lo + (1 << 14)]
-                index, shard, home = top.visits(part, reach)
-                n_chunks = chunks[shard]
-                guest = home == 0
-                chunk = np.zeros(len(shard), np.int64)
-                chunk[guest] = (part[index[guest]] % n_chunks[guest].astype(U)).astype(np.int64)
-                again = np.flatnonzero(~guest & (n_chunks > 1))
-                times = n_chunks[again] - 1
-                copy = np.repeat(again, times)
-                more = np.arange(len(copy)) - np.repeat(np.cumsum(times) - times, times) + 1
-                index, shard, home = (np.concatenate((x, x[copy])) for x in (index, shard, home))
-                chunk = np.concatenate((chunk, more))
-                order = np.lexsort((home, chunk, shard))
-                index, shard, home, chunk = index[order], shard[order], home[order], chunk[order]
-                cut = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (chunk[1:] != chunk[:-1]) | (home[1:] != home[:-1]))))
-                ends = np.append(cut[1:], len(index))
-                rows = [part[index[a:b]].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), pa.array(chunk[cut], pa.int32()), pa.array(home[cut].astype(np.int32)), pa.array(rows, pa.binary())], ["shard", "chunk", "home", "fps"])
-
-    return fps.select("fp").mapInArrow(run, "shard int, chunk int, home int, fps binary")
-
-
-def links(fps: DataFrame, reach: int = DISTANCE, shard_size: int = SHARD_SIZE) -> DataFrame:
+                cell, points, home = _cells(top, bits, all_[lo : lo + (1 << 14)], reach)
+                part = (mix(cell) % U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                part, cell, points, home = part[order], cell[order], points[order], home[order]
+                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                ends = np.append(cut[1:], len(part))
+                rows = [cell[a:b].tobytes() + points[a:b].tobytes() + home[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(rows, pa.binary())], ["part", "packed"])
+
+    return fps.select("fp").mapInArrow(run, "part int, packed binary")
+
+
+def links(fps: DataFrame, reach: int = DISTANCE, shard_size: int = SHARD_SIZE, most_shards: int = MOST_SHARDS) -> DataFrame:
     """(a, b) edges over distinct fingerprints whose components are those of all pairs within ``reach``."""
     spark = fps.sparkSession
     n = fps.count()
     depth = 0
-    while (1 << depth) < MOST_SHARDS and (n >> depth) > shard_size:
+    while (1 << depth) < most_shards and (n >> depth) > shard_size:
         depth += 1
-    asked = min(MOST_SAMPLE, SAMPLE_PER_SHARD << depth)
+    asked = SAMPLE_PER_SHARD << depth
     sample = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, asked / max(n, 1)) * (1 << 30))).limit(2 * asked) if n > asked else fps.select("fp")
-    top = Top(np.array([r[0] for r in sample.collect()], np.int64).view(U), depth)  # bounded by 2 * MOST_SAMPLE
+    top = Top(np.array([r[0] for r in sample.collect()], np.int64).view(U), depth)  # bounded by 2 * SAMPLE_PER_SHARD * MOST_SHARDS
     load = np.zeros(1 << depth, np.int64)
-    at_home = np.zeros(1 << depth, np.int64)
-    for shard, home, total in _loads(fps, top, reach):  # 2 rows a shard, a bounded number
+    for shard, _, total in _loads(fps, top, reach):  # 2 rows a shard, a bounded number
         load[shard] += total
-        if home:
-            at_home[shard] = total
-    # a shard whose pairs are many times the usual is dealt over chunks
-    chunks = np.clip(load * at_home // (64 * shard_size * shard_size), 1, 4096)
-    sent = _send(fps, top, reach, chunks)
-    partitions = max(shuffle_partitions(spark), min(int(chunks.sum()), 8 * shuffle_partitions(spark)))
+    bits = np.ceil(np.log2(np.maximum(load / (2 * shard_size), 1))).astype(np.int64).clip(0, 64 // (reach + 1))
+    bits[load <= 4 * shard_size] = 0
+    visits = int((load * np.where(bits > 0, reach + 1, 1)).sum())
+    parts = max(shuffle_partitions(spark), -(-visits // TASK_VISITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [])
+        held = []
         for batch in batches:
-            for shard, chunk, home, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if (shard, chunk) != now:
-                    if now is not None:
-                        yield _solved(held, reach)
-                    now, held = (shard, chunk), ([], [])
-                held[0 if home else 1].append(raw)
-        if now is not None:
-            yield _solved(held, reach)
-
-    dealt = sent.repartition(partitions, "shard", "chunk").sortWithinPartitions("shard", "chunk")
-    return dealt.mapInArrow(run, "a long, b long")
+            for raw in batch.column(1).to_pylist():
+                k = len(raw) // 17
+                held.append((np.frombuffer(raw, U, k), np.frombuffer(raw, U, k, 8 * k), np.frombuffer(raw, np.int8, k, 16 * k)))
+        if not held:
+            return
+        cell, points, home = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((home, cell))
+        cell, points, home = cell[order], points[order], home[order]
+        cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        found: list[np.ndarray] = []
+        size = 0
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(cell)).tolist(), strict=True):
+            guests = int(b - a - home[a:b].sum())
+            if guests == b - a or b - a == 1:
+                continue  # nobody at home, or alone
+            found.append(_forest(points[a + guests : b], points[a : a + guests], reach))
+            size += len(found[-1])
+            if size > 1 << 16:
+                yield _edges(found)
+                found, size = [], 0
+        if found:
+            yield _edges(found)
+
+    return _send(fps, top, reach, bits, parts).repartitionById(parts, "part").mapInArrow(run, "a long, b long")
 
 
 def _loads(fps: DataFrame, top: Top, reach: int) -> list:
@@ -284,12 +313,17 @@ def _loads(fps: DataFrame, top: Top, reach: int) -> list:
     return fps.select("fp").mapInArrow(run, "shard int, home int, n long").groupBy("shard", "home").agg(F.sum("n")).collect()
 
 
-def _solved(held: tuple[list[bytes], list[bytes]], reach: int) -> pa.RecordBatch:
-    home, guests = (np.frombuffer(b"".join(x), U) for x in held)
+def _forest(home: np.ndarray, guests: np.ndarray, reach: int) -> np.ndarray:
+    """(a, b) of a spanning forest of the links that a cell finds."""
     labels = search(home, guests, reach)
-    fps = np.concatenate((home, guests)).view(np.int64)
+    fps = np.concatenate((home, guests))
     joined = np.flatnonzero(labels != np.arange(len(labels)))
-    return pa.RecordBatch.from_arrays([pa.array(fps[joined]), pa.array(fps[labels[joined]])], ["a", "b"])
+    return np.stack((fps[joined], fps[labels[joined]]), axis=1)
+
+
+def _edges(found: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate(found), axis=0).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
 
 
 # --- groups of near copies, for a corpus pipeline ---

@@ -67,11 +67,11 @@ def clustered(rng, n):
     return np.unique(np.concatenate(out))
 
 
-@pytest.mark.parametrize("shard_size", [40, 100000])
-def test_links_over_shards(spark, shard_size):
+@pytest.mark.parametrize(("shard_size", "most_shards"), [(40, 4096), (40, 64), (40, 2), (5, 1), (100000, 64)])
+def test_links_over_shards(spark, shard_size, most_shards):
     fps = clustered(np.random.default_rng(3), 3000)
     points = checkpoint(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
-    edges = simhash.links(points, shard_size=shard_size)
+    edges = simhash.links(points, shard_size=shard_size, most_shards=most_shards)
     roots = {r.node: r.root for r in components.components(edges).collect()}
     signed = fps.view(np.int64).tolist()
     pairs = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3)]
@@ -82,6 +82,17 @@ def test_links_over_shards(spark, shard_size):
     assert [roots.get(x, x) for x in signed] == [least[r] for r in want]
 
 
+def test_copies_of_a_fingerprint_are_bounded():
+    """Visits don't grow with the table once shards are dealt over cells."""
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 50_000, dtype=np.int64).view(np.uint64)
+    top = simhash.Top(fps[:8192], 6)
+    for bits in (0, 4, 16):
+        cells, _, _ = simhash._cells(top, np.full(64, bits), fps, 3)
+        assert len(cells) < (9 if bits == 0 else 36) * len(fps)
+        assert len(np.unique(cells)) > (60 if bits == 0 else 1000)
+
+
 def test_search_meets_all_links():
     fps = clustered(np.random.default_rng(8), 4000)
     labels = simhash.search(fps, np.zeros(0, np.uint64), 3)
