@@ -18,6 +18,8 @@ from docweave.plans.session import checkpoint, shuffle_partitions
 
 #: At most so many groups of rows a shard for numbering; bounds the table of their counts.
 MOST_GROUPS = 1024
+#: Repeated rows that one task brings back at a time.
+RUN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def place(df: DataFrame, tree: Tree, key: str, prefix: str) -> DataFrame:
     return df.withColumn(f"{prefix}shard", F.get(F.get(table, at), F.col(f"{prefix}leaf")).cast("int")).drop(f"{prefix}leaf")
 
 
-def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """Places every row and numbers the rows of each shard without gaps.
 
     Law ``key``: the id and the tree decide alone. Returns key, size (UTF-8 bytes and 16), text_crc32,
@@ -94,7 +96,8 @@ def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
 
     Null or empty text: 16 bytes, checksum 0. Null ids share a shard. Rows that are equal in id and
     text are merged before any shuffle, numbered as a run and expanded again, so that repeated rows
-    make no hot task; the text itself is never shuffled. An empty table gives no rows. Other columns
+    make no hot task: where there are more than ``run`` equal ones, they are dealt over tasks by runs
+    of so many. The text itself is never shuffled. An empty table gives no rows. Other columns
     of the input are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -109,9 +112,8 @@ def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "part").agg(F.sum("n_same").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     numbered = rows.withColumn("at", F.coalesce(F.sum("n_same").over(upto), F.lit(0))).join(starts, ["shard", "part"])
-    first = F.col("start") + F.col("at")
-    return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(first, first + F.col("n_same") - 1)).alias("slot"),
-        "grown_shard", "region", "rack",
-    )
+    numbered = numbered.withColumn("first", F.col("start") + F.col("at")).withColumn("last", F.col("first") + F.col("n_same") - 1)
+    if (rows.agg(F.max("n_same")).first()[0] or 0) > run:
+        begins = F.explode(F.sequence("first", "last", F.lit(run).cast("long")))
+        numbered = numbered.withColumn("first", begins).withColumn("last", F.least("last", F.col("first") + run - 1)).repartition("shard", "first")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("first", "last")).alias("slot"), "grown_shard", "region", "rack")

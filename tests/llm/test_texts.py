@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter as Bag
 
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
+import xxhash
 from docweave.llm import bbpe, decontam, licenses, pii, quality, sharding, tokencount
 from docweave.llm.arrowtext import blocks, split
 from tokenizers import Tokenizer, models
@@ -411,6 +414,39 @@ def test_shards(odd, odd_rows, empty):
     assert sharding.shard(empty, tree).count() == 0
 
 
+def brute_place(key, regions):
+    """The chosen shard, from the hash's definition: fields one after the other, each seeded by the hash before."""
+
+    def draw(weight, *path):
+        h = 42
+        for x in path:
+            h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<i", x), h)
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+    def choose(weights, *path):
+        return min(range(len(weights)), key=lambda i: (draw(weights[i], *path, i), i)) if len(weights) > 1 else 0
+
+    key = "\x00null" if key is None else str(key)
+    total = lambda x: x[1] if isinstance(x[0], int) else sum(map(total, x))
+    i = choose([total(r) for r in regions], key, "region")
+    j = choose([total(r) for r in regions[i]], key, "rack", i)
+    return regions[i][j][choose([w for _, w in regions[i][j]], key, "shard", i, j)][0]
+
+
+@pytest.mark.parametrize("run", [sharding.RUN, 3])
+def test_shards_as_by_hand(spark, odd_rows, run):
+    tree = sharding.Tree.even(5, 2, 4)
+    docs = [(d, t) for d, t, *_ in odd_rows] + [(i, f"text {i % 7}") for i in range(1000, 1300)] + [(5, "hot")] * 40 + [(None, "hot")] * 11
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), tree, run=run).collect()
+    got = Bag((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in rows)
+    raw = lambda t: (t or "").encode()
+    assert got == Bag((d, len(raw(t)) + 16, zlib.crc32(raw(t)), "key", brute_place(d, tree.regions), brute_place(d, tree.grown().regions)) for d, t in docs)
+    assert all(r.grown_shard in (r.shard, 40) for r in rows)
+    for s in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_only_the_new_shard_gains(spark):
     tree = sharding.Tree(((((0, 1.0), (1, 3.0)), ((2, 2.0),)), (((3, 1.0), (4, 1.0)),)))
     ids = spark.range(20000).toDF("doc_id")
