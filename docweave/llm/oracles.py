@@ -48,8 +48,19 @@ g AS (SELECT doc_id, line, w[i] || ' ' || w[i + 1] AS gram, len(w) - 1 AS n FROM
 lg AS (SELECT doc_id, line, gram, n, count(*) AS c FROM g GROUP BY ALL),
 dice AS (SELECT doc_id, line, tg.k, 2.0::double * sum(least(lg.c, tg.c)) / (any_value(lg.n) + any_value(t.n)) AS dice, any_value(licence) AS licence FROM lg JOIN tg USING (gram) JOIN t ON t.k = tg.k GROUP BY 1, 2, 3),
 best AS (SELECT * FROM dice WHERE dice >= {THRESHOLD} - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, k) = 1),
-hit AS (SELECT doc_id, count(*) AS n, string_agg(line || ':' || licence, ',' ORDER BY line) AS matched, max(dice) AS dice, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licenses FROM best GROUP BY 1)
-SELECT d.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id) AS n_lines, coalesce(hit.n, 0) AS n_license_lines, coalesce(licenses, '') AS licenses, round(coalesce(dice, 0), 6)::double AS best_dice, coalesce(matched, '') AS matched
-FROM documents d LEFT JOIN hit USING (doc_id)"""
+hit AS (SELECT doc_id, count(*) AS n, string_agg(line || ':' || licence, ',' ORDER BY line) AS matched, max(dice) AS dice, list(licence) AS licences FROM best GROUP BY 1),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{ALNUM}') AS w FROM documents),
+dg AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram, len(w) - 1 AS total FROM dw, unnest(range(1, len(w))) r(i)),
+th AS (SELECT doc_id, tg.k, i, gram, total, tg.c FROM dg JOIN tg USING (gram)),
+begins AS (SELECT DISTINCT doc_id, th.k, least(i, total - least(n, total) + 1) AS s, least(n, total) AS wide, n FROM th JOIN t ON t.k = th.k),
+wc AS (SELECT b.doc_id, b.k, s, wide, n, gram, least(count(*), any_value(c)) AS both_ FROM begins b JOIN th ON th.doc_id = b.doc_id AND th.k = b.k AND th.i BETWEEN s AND s + wide - 1 GROUP BY ALL),
+wd AS (SELECT doc_id, k, s, s + wide + 1 AS e, 2.0::double * sum(both_) / (wide + n) AS dice FROM wc GROUP BY doc_id, k, s, wide, n HAVING dice >= {THRESHOLD} - 1e-12),
+isl AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id, k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new_ FROM wd),
+run AS (SELECT doc_id, k, s, e, dice, sum(new_) OVER (PARTITION BY doc_id, k ORDER BY s) AS g FROM isl),
+sp AS (SELECT doc_id, run.k, licence, min(s) - 1 AS s, max(e) - 1 AS e, max(dice) AS dice FROM run JOIN t ON t.k = run.k GROUP BY doc_id, run.k, licence, g),
+span AS (SELECT doc_id, count(*) AS n, string_agg(s || ':' || e || ':' || licence, ',' ORDER BY s, e, licence, dice) AS spans, max(dice) AS dice, list(licence) AS licences FROM sp GROUP BY 1)
+SELECT d.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id) AS n_lines, coalesce(hit.n, 0) AS n_license_lines, coalesce(span.n, 0) AS n_license_spans,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(hit.licences, []), coalesce(span.licences, [])))), ',') AS licenses, round(greatest(coalesce(hit.dice, 0), coalesce(span.dice, 0)), 6)::double AS best_dice, coalesce(matched, '') AS matched, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN hit USING (doc_id) LEFT JOIN span USING (doc_id)"""
 
 ORACLES = {"op3_rabin_karp": repeats(20, False), "op6_license_dice": LICENSES, "op7_wu_manber": CONTAMINATION, "op8_sparse_suffix": repeats(50, True)}

@@ -54,7 +54,8 @@ def op5_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     lines = F.transform("matches", lambda m: F.concat_ws(":", m["line"].cast("string"), m["license"]))
-    return found.select("doc_id", "n_lines", "n_license_lines", "licenses", F.round("best_dice", 6).alias("best_dice"), F.array_join(lines, ",").alias("matched"))
+    spans = F.transform("spans", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"), m["license"]))
+    return found.select("doc_id", "n_lines", "n_license_lines", "n_license_spans", "licenses", F.round("best_dice", 6).alias("best_dice"), F.array_join(lines, ",").alias("matched"), F.array_join(spans, ",").alias("spans"))
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

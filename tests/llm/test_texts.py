@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter as Bag
 
@@ -245,6 +246,59 @@ def test_licenses(spark, odd, odd_rows, empty):
     assert licenses.scan(odd).count() == len(odd_rows)
 
 
+def brute_spans_of_licences(text, threshold=licenses.THRESHOLD):
+    w = ALNUM.findall((text or "").lower())
+    grams, out = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)], []
+    for t in licenses.templates(licenses.TEMPLATES):
+        bag, wide = Bag(t.bigrams), min(len(t.bigrams), len(grams))
+        starts = sorted({min(i, len(grams) - wide) for i, g in enumerate(grams) if g in bag})
+        good = [(s, 2 * sum((Bag(grams[s : s + wide]) & bag).values()) / (wide + len(t.bigrams))) for s in starts]
+        runs = []
+        for s, dice in good:
+            if dice < threshold - 1e-12:
+                continue
+            if runs and runs[-1][1] > s:
+                runs[-1] = (runs[-1][0], s + wide + 1, t.licence, max(runs[-1][3], dice))
+            else:
+                runs.append((s, s + wide + 1, t.licence, dice))
+        out += runs
+    return [(a, b, name, round(d, 9)) for a, b, name, d in sorted(out)]
+
+
+def test_licences_across_lines(spark):
+    rng = random.Random(2)
+    rows = []
+    for texts in licenses.TEMPLATES.values():
+        for template in texts:
+            w = template.split()
+            for width, edits in ((72, 0), (40, len(w) // 30), (10**6, len(w) // 12)):
+                v = list(w)
+                for _ in range(edits):
+                    v[rng.randrange(len(v))] = "other"
+                body = "\n * ".join(textwrap.wrap(" ".join(v), width))
+                rows.append((len(rows), f"A program of mine.\n * {body} and so the licence of the work goes on\nint main;" + f"\n{body}" * (edits % 2)))
+    rows += [(len(rows) + 1, "of the software the software is the"), (len(rows) + 2, "all rights"), (len(rows) + 3, "all rights reserved"), (len(rows) + 4, None), (len(rows) + 5, "license")]
+    found = {r.doc_id: [(m.start, m.end, m.license, round(m.dice, 9)) for m in r.spans] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == {i: brute_spans_of_licences(t) for i, t in rows}
+    wrapped = [i for i in range(0, len(rows) - 5, 3)]
+    assert all(found[i] for i in wrapped)
+
+
+MIT = """MIT License
+
+Copyright (c) 2019 Somebody
+
+""" + "\n\n".join(textwrap.fill(t, 78) for t in licenses.TEMPLATES["MIT"][3:])
+
+
+def test_a_licence_file_is_found(spark):
+    (row,) = licenses.scan(spark.createDataFrame([(1, MIT)], "doc_id long, text string")).collect()
+    assert row.licenses == "MIT"
+    assert row.n_license_lines == 0
+    assert [m.license for m in row.spans] == ["MIT", "MIT"]
+    assert min(m.dice for m in row.spans) > 0.95
+
+
 # --- decontamination ---
 
 
