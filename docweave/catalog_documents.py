@@ -382,7 +382,7 @@ def catalog_diff(spark: SparkSession, path: str) -> DataFrame:
     return evolve.diff(spark.createDataFrame(OLD, kind), spark.createDataFrame(NEW, kind))
 
 
-@_query("support_matrix", "SELECT * FROM (VALUES ('Customer', 'balance', 'number', true, ''), ('Customer', 'name', 'string', true, ''), ('Customer', 'nation', 'reference', true, ''), ('Customer', 'segment', 'token', true, ''), ('Customer', 'special', 'composite', false, 'composite parameters are not compiled'), ('Region', 'name', 'string', true, '')) t(type, code, kind, compiled, note)")
+@_query("support_matrix", "SELECT * FROM (VALUES ('Customer', 'balance', 'number', true, ''), ('Customer', 'name', 'string', true, ''), ('Customer', 'nation', 'reference', true, ''), ('Customer', 'segment', 'token', true, ''), ('Customer', 'special', 'composite', false, 'a composite parameter has no path of its own'), ('Region', 'name', 'string', true, '')) t(type, code, kind, compiled, note)")
 def support(spark: SparkSession, path: str) -> DataFrame:
     rows = [r for r in support_matrix(MAP) if r[0] in ("Customer", "Region")]
     return spark.createDataFrame(rows, "type string, code string, kind string, compiled boolean, note string")

@@ -24,7 +24,7 @@ MAP = RelMap("star", {
     "Customer": Resource("Customer", [Table("customer")], params=[
         Param("name", "string", [Target(0, "string", _str("name"))]), Param("segment", "token", [Target(0, "token", {"code": "segment", "system": None})]),
         Param("balance", "number", [Target(0, "number", {"col": "balance"})]), Param("nation", "reference", [Target(0, "reference", _ref("nation"))]),
-        Param("special", "composite", note="composite parameters are not compiled")]),
+        Param("special", "composite", note="a composite parameter has no path of its own")]),
     "Order": Resource("Order", [Table("orders"), Table("order_item", "elem"), Table("order_period", "elem")], params=[
         Param("status", "token", [Target(0, "token", {"code": "status", "system": None})]),
         Param("priority", "token", [Target(0, "token", {"code": "priority_code", "system": "priority_system"})]),
