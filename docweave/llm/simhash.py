@@ -582,10 +582,12 @@ def one_of_each(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SH
     themselves. Of rows that share both, one stays.
     """
     _, points, edges = _copies(docs, reach, size)
-    kept = _least(points, edges).select("component_id.*").distinct().toDF("__none", "__id", "__h")
+    have = {c.lower() for c in docs.columns}
+    names = [next(f"{n}{'_' * k}" for k in range(len(have) + 1) if f"{n}{'_' * k}" not in have) for n in ("__none", "__id", "__h")]
+    kept = _least(points, edges).select("component_id.*").distinct().toDF(*names)
     id_ = F.col("doc_id").cast("long")
-    keys = {"__none": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))}
-    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
+    keys = dict(zip(names, (id_.isNull(), F.coalesce(id_, F.lit(0)), F.xxhash64(F.col("text").cast("string"))), strict=True))
+    return docs.withColumns(keys).join(kept, names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(docs: DataFrame, reach: int = DISTANCE, size: int = SHINGLE, shard_size: int = SHARD_SIZE) -> DataFrame:
