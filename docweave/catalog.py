@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docweave import catalog_documents, catalog_search
+from docweave import catalog_documents, catalog_rows, catalog_search, catalog_store
 
-QUERIES = {**catalog_search.QUERIES, **catalog_documents.QUERIES}
-ORACLES = {**catalog_search.ORACLES, **catalog_documents.ORACLES}
+_PARTS = (catalog_search, catalog_documents, catalog_rows, catalog_store)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -181,35 +181,6 @@ def shred_norm(spark: SparkSession, path: str) -> DataFrame:
     return Star(spark, path)("document").select("id", F.md5("text_norm").alias("norm"))
 
 
-@_query("timestamp_render", "SELECT cast(event_id AS varchar) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS rendered, 'W/\"' || user_id || '\"' AS etag FROM events")
-def timestamp_render(spark: SparkSession, path: str) -> DataFrame:
-    events = Star(spark, path).raw("events")
-    return events.select(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("rendered"), F.concat(F.lit('W/"'), "user_id", F.lit('"')).alias("etag"))
-
-
-@_query("id_production", "SELECT c_name AS name, regexp_full_match(c_name, '[A-Za-z0-9.-]{1,64}') AS valid, regexp_full_match(cast(c_custkey AS varchar), '[A-Za-z0-9.-]{1,64}') AS key_valid FROM customer")
-def id_production(spark: SparkSession, path: str) -> DataFrame:
-    rule = r"^[A-Za-z0-9.\-]{1,64}$"
-    return Star(spark, path).raw("customer").select(F.col("c_name").alias("name"), F.col("c_name").rlike(rule).alias("valid"), F.col("c_custkey").cast("string").rlike(rule).alias("key_valid"))
-
-
-RECURSIVE = """WITH RECURSIVE edge AS (
-  SELECT 'r' || r_regionkey AS node, cast(NULL AS {s}) AS up FROM {region}
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM {nation}
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM {customer}
-), tree AS (
-  SELECT node, node AS path, 1 AS depth FROM edge WHERE up IS NULL
-  UNION ALL SELECT e.node, t.path || '.' || e.node, t.depth + 1 FROM edge e JOIN tree t ON e.up = t.node
-) SELECT node, path, depth FROM tree"""
-
-
-@_query("recursive_paths", RECURSIVE.format(s="varchar", region="region", nation="nation", customer="customer"))
-def recursive_paths(spark: SparkSession, path: str) -> DataFrame:
-    """A tree of unknown depth in one recursive query."""
-    star = Star(spark, path)
-    return spark.sql(RECURSIVE.replace("{s}", "string"), **{t: star.raw(t) for t in ("region", "nation", "customer")})
-
-
 # --- versions ---
 
 VERSIONS = """(SELECT cast(user_id AS varchar) AS id, version_id, ts, CASE WHEN version_id = 1 THEN 'C' WHEN last AND event_type = 'error' THEN 'D' ELSE 'U' END AS op, event_type, value, event_id FROM (
@@ -224,41 +195,6 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("id"), "version_id", "ts", op.alias("op"), "event_type", "value", "event_id")
 
 
-@_query("history_versions", f"SELECT id, version_id, ts, op FROM {VERSIONS}")
-def history_versions(spark: SparkSession, path: str) -> DataFrame:
-    return versions(spark, path).select("id", "version_id", "ts", "op")
-
-
-@_query("vread", f"SELECT id, version_id, event_type, value FROM {VERSIONS} WHERE id = '8' AND version_id = 3")
-def vread(spark: SparkSession, path: str) -> DataFrame:
-    return versions(spark, path).where("id = '8' and version_id = 3").select("id", "version_id", "event_type", "value")
-
-
-@_query("history_desc", f"SELECT id, version_id, op FROM {VERSIONS} WHERE id = '12' ORDER BY version_id DESC")
-def history_desc(spark: SparkSession, path: str) -> DataFrame:
-    return versions(spark, path).where("id = '12'").orderBy(F.col("version_id").desc()).select("id", "version_id", "op")
-
-
-@_query("latest_version", f"SELECT id, max(version_id) AS version_id, arg_max(event_id, version_id) AS event_id FROM {VERSIONS} GROUP BY 1")
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    return versions(spark, path).groupBy("id").agg(F.max("version_id").alias("version_id"), F.max_by("event_id", "version_id").alias("event_id"))
-
-
-@_query("status_404_410", f"SELECT a.id, CASE WHEN h.id IS NULL THEN 404 WHEN h.op = 'D' THEN 410 ELSE 200 END AS status, coalesce(h.version_id, 0) AS version_id FROM (SELECT cast(i AS varchar) AS id FROM range(1, 400) t(i)) a LEFT JOIN (SELECT id, arg_max(op, version_id) AS op, max(version_id) AS version_id FROM {VERSIONS} GROUP BY 1) h ON h.id = a.id")
-def status_404_410(spark: SparkSession, path: str) -> DataFrame:
-    asked = spark.range(1, 400).select(F.col("id").cast("string").alias("id"))
-    last = versions(spark, path).groupBy("id").agg(F.max_by("op", "version_id").alias("op"), F.max("version_id").alias("version_id"))
-    return asked.join(last, "id", "left").select("id", F.when(F.col("op").isNull(), 404).when(F.col("op") == "D", 410).otherwise(200).alias("status"), F.coalesce("version_id", F.lit(0)).alias("version_id"))
-
-
-@_query("occ_conflicts", f"SELECT h.id, cast(o.o_orderkey AS bigint) AS expected, h.version_id AS found FROM (SELECT id, max(version_id) AS version_id FROM {VERSIONS} GROUP BY 1) h JOIN orders o ON cast(o.o_custkey AS varchar) = h.id WHERE o.o_orderkey <> h.version_id")
-def occ_conflicts(spark: SparkSession, path: str) -> DataFrame:
-    """Changes whose expected version isn't the one that is there."""
-    found = versions(spark, path).groupBy("id").agg(F.max("version_id").alias("found"))
-    changes = Star(spark, path).raw("orders").select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("expected"))
-    return changes.join(found, "id").where("expected <> found").select("id", "expected", "found")
-
-
 @_query("conditional_create_outcome", "SELECT s.segment, s.nation, CASE count(c_custkey) WHEN 0 THEN 'created' WHEN 1 THEN 'existing' ELSE 'multiple' END AS outcome FROM (SELECT DISTINCT c_mktsegment AS segment, n_nationkey AS nation FROM customer, nation) s LEFT JOIN customer ON c_mktsegment = segment AND c_nationkey = nation AND c_acctbal > 8000 GROUP BY 1, 2")
 def conditional_create_outcome(spark: SparkSession, path: str) -> DataFrame:
     """What a conditional create would do for each segment and nation, as one join."""
@@ -270,14 +206,6 @@ def conditional_create_outcome(spark: SparkSession, path: str) -> DataFrame:
     return asked.join(rich, ["segment", "nation"], "left").select("segment", "nation", outcome.alias("outcome"))
 
 
-@_query("transaction_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, event_id) AS step FROM events")
-def transaction_order(spark: SparkSession, path: str) -> DataFrame:
-    """Deletes, then creates, then updates, each in the order of the entries."""
-    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
-    w = Window.partitionBy("user_id").orderBy(rank, "event_id")
-    return Star(spark, path).raw("events").select("event_id", F.row_number().over(w).cast("long").alias("step"))
-
-
 # --- integrity ---
 
 KEY = ("k1", bytes(range(32)))
@@ -346,26 +274,6 @@ def purge_tombstone(spark: SparkSession, path: str) -> DataFrame:
 # --- logs and schemas ---
 
 
-@_query("access_log_by_actor", "SELECT cast(user_id AS varchar) AS actor, event_type AS interaction, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS outcome, event_id AS seq FROM events WHERE user_id = 5 ORDER BY event_id")
-def access_log_by_actor(spark: SparkSession, path: str) -> DataFrame:
-    log = Star(spark, path).raw("events").where("user_id = 5")
-    outcome = F.when(F.col("event_type") == "error", "failed").otherwise("ok")
-    return log.select(F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("interaction"), outcome.alias("outcome"), F.col("event_id").alias("seq")).orderBy("seq")
-
-
-#: Upper bounds of the latency buckets.
-BUCKETS = (1, 5, 10, 25, 50, 100, 250)
-
-
-@_query("latency_histogram", f"SELECT event_type AS interaction, le, count(*) FILTER (value <= le) AS n, count(*) AS total FROM events, (VALUES {', '.join(f'({b})' for b in BUCKETS)}) b(le) GROUP BY 1, 2")
-def latency_histogram(spark: SparkSession, path: str) -> DataFrame:
-    """Cumulative counts in one pass: a conditional sum for each bucket, then one row each."""
-    sums = [F.sum((F.col("value") <= b).cast("long")).alias(f"le{b}") for b in BUCKETS]
-    wide = Star(spark, path).raw("events").groupBy(F.col("event_type").alias("interaction")).agg(*sums, F.count("*").alias("total"))
-    rows = F.explode(F.array(*(F.struct(F.lit(b).alias("le"), F.col(f"le{b}").alias("n")) for b in BUCKETS)))
-    return wide.select("interaction", rows.alias("x"), "total").select("interaction", "x.le", "x.n", "total")
-
-
 @_query("fold_backfill", "SELECT c_custkey AS id, c_mktsegment AS segment, CASE WHEN c_custkey % 5 = 0 THEN 'kept' ELSE lower(c_mktsegment) END AS segment_norm FROM customer")
 def fold_backfill(spark: SparkSession, path: str) -> DataFrame:
     rows = Star(spark, path).raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 5 == 0, "kept").alias("segment_norm"))

@@ -154,13 +154,6 @@ def revinclude(spark: SparkSession, path: str) -> DataFrame:
     return s.included("Customer", request, s.page("Customer", request))
 
 
-@_query("multi_read", "SELECT p.pos, p.id, o_totalprice AS total FROM (VALUES (0, '7'), (1, '3'), (2, '999999999'), (3, '7')) p(pos, id) LEFT JOIN orders ON cast(o_orderkey AS varchar) = p.id")
-def multi_read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents by id in the asked order; a missing one is null."""
-    asked = spark.createDataFrame([(0, "7"), (1, "3"), (2, "999999999"), (3, "7")], "pos int, id string")
-    return asked.join(Star(spark, path)("orders").select("id", "total"), "id", "left").select("pos", "id", "total")
-
-
 @_query("readme_family_counts", "SELECT c_mktsegment AS segment, count(*) AS n_orders, count(DISTINCT c_custkey) AS n_customers FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def readme_family_counts(spark: SparkSession, path: str) -> DataFrame:
     """SQL over the tables, joined by a reference's type and id."""

@@ -13,9 +13,14 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 GENESIS = bytes(32)
 
 
+def rendered(at: Column) -> Column:
+    """A time in UTC microseconds, as digests are taken of it."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def preimage(id_: Column, version: Column, at: Column, op: Column, resource: Column, actor: Column) -> Column:
     """What a history row commits to: its fields joined by bars, the time in UTC microseconds."""
-    return F.concat_ws("|", id_, version.cast("string"), F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"), op, F.coalesce(resource, F.lit("")), F.coalesce(actor, F.lit("")))
+    return F.concat_ws("|", id_, version.cast("string"), rendered(at), op, F.coalesce(resource, F.lit("")), F.coalesce(actor, F.lit("")))
 
 
 def link(before: Column, image: Column) -> Column:

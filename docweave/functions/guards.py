@@ -5,12 +5,17 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import Column
+
 ID = re.compile(r"[A-Za-z0-9.-]{1,64}")
 TOKEN = re.compile(r"[\x21-\x7e]{1,256}")
 HOST = re.compile(r"(?:[A-Za-z0-9.-]{1,253}|\[[0-9A-Fa-f:.]{2,45}\])(?::[0-9]{1,5})?")
 
 
-def valid_id(value: str) -> bool:
+def valid_id(value: str | Column) -> bool | Column:
+    """Whether a text, or each of a column, may be an id."""
+    if isinstance(value, Column):
+        return value.rlike(f"^(?:{ID.pattern})\\z")
     return bool(ID.fullmatch(value))
 
 

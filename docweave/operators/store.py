@@ -132,6 +132,12 @@ class Store:
             raise ValueError("the store has another map; upgrade it")
         return False
 
+    def fork(self, root: str) -> Store:
+        """Another store that begins as this one is; it reads this one's folders, and writes its own."""
+        made = Store(self.spark, root, self.map, self.ring)
+        made._publish(self._pointer() | {"n": -1} | made._keep_map(self.map))
+        return made
+
     def _keep_map(self, relmap: RelMap) -> dict:
         name = f"map-{relmap.checksum()}"
         if not self._fs.exists(self._path(name)):
@@ -610,7 +616,10 @@ def with_version(document: dict, version: int) -> dict:
     return document | {"meta": (meta if isinstance(meta, dict) else {}) | {"versionId": str(version)}}
 
 
-def etag(version: int) -> str:
+def etag(version: int | Column) -> str | Column:
+    """The tag of a version, or of a column of them."""
+    if isinstance(version, Column):
+        return F.concat(F.lit('W/"'), version.cast("string"), F.lit('"'))
     return f'W/"{version}"'
 
 
