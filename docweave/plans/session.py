@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -51,6 +52,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets the session's cleaner find the shuffle files and checkpoints that nothing refers to any more.
+
+    It learns of them when the driver's memory is collected, which on a quiet driver may take longer than
+    a query of many steps lasts; till then every step's files stay on disk.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
