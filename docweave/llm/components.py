@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.plans.session import checkpoint
+from docweave.plans.session import checkpoint, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     if not mark[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    for n in itertools.count(1):
+        if n % 3 == 0:
+            forget(edges.sparkSession)
         both = now.union(now.select("b", "a")).toDF("a", "b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

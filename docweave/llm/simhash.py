@@ -21,14 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from docweave.llm.arrowtext import LOWER, Block, blocks, mix, split, window_hashes, word_hashes
 from docweave.llm.components import components
-from docweave.plans.session import checkpoint, shuffle_partitions
+from docweave.plans.session import checkpoint, forget, shuffle_partitions
 
 #: Words of a shingle, bits that may differ.
 SHINGLE, DISTANCE = 3, 3
@@ -484,7 +486,8 @@ def _verified(docs: DataFrame, points: DataFrame, wide: DataFrame, reach: int, s
     """(a, b) edges whose components are those of all near copies within the components ``wide`` (node, root).
 
     Up to ``texts`` of a component are compared in one task. In a larger component all are first held
-    against one of them; those not joined to it are then compared, block by block, with all others.
+    against some of them, in rounds; what that doesn't join to its largest part is then compared, block
+    by block, with all others. Pairs within that part needn't be looked at.
     """
     total = wide.groupBy("root").agg(F.count("*").alias("total"))
     members = wide.join(total, "root").join(points, F.col("node") == points.fp).select("fp", "root", "total", "least.*")
@@ -527,29 +530,102 @@ def _verified(docs: DataFrame, points: DataFrame, wide: DataFrame, reach: int, s
     zero = F.lit(0).cast("long")
     found = checkpoint(compared(members.where(F.col("total") <= texts).select("*", zero.alias("i"), zero.alias("j"))))
     large = members.where(F.col("total") > texts)
+    forget(docs.sparkSession)
     if large.isEmpty():
         return found
-
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = COPY_LIKE
-        for batch in batches:
-            mine, other = ([x for block in blocks(batch.column(k)) for x in _shingles(block, size)] for k in (2, 3))
-            near = []
-            for x, y in zip(mine, other, strict=True):
-                both = len(np.intersect1d(x, y, True))
-                near.append(down * both >= up * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
-
-    # one text for each 1024 or more
-    centres = large.where("fp = root").select(F.col("root"), F.col("text").alias("centre")).dropDuplicates(["root"])
-    held = checkpoint(large.join(F.broadcast(centres), "root").select("fp", "root", "text", "centre").mapInArrow(star, "a long, b long, near boolean").distinct())
-    kinds = held.groupBy(F.col("b").alias("root")).agg(F.count_if(~F.col("near")).alias("out"), F.count_if("near").alias("in")).where(F.col("out") > 0)
-    blocks_ = kinds.select("root", F.ceil(F.col("out") / texts).alias("n_out"), F.ceil(F.col("in") / texts).alias("n_in"))
-    rest = large.join(held.select(F.col("a").alias("fp"), "near"), "fp").join(F.broadcast(blocks_), "root")
+    near, rest = None, large.select("fp", "root")
+    for n in range(ROUNDS):
+        many = rest.groupBy("root").agg(F.count("*").alias("left")).where(F.col("left") > texts)
+        if n and many.isEmpty():
+            break
+        picked = rest.join(many, "root").where(F.pmod(F.xxhash64("fp", F.lit(n)), F.col("left")) < CENTRES).select("fp", "root")
+        held = checkpoint(_held(large, checkpoint(picked), size, texts))
+        near = held if near is None else checkpoint(near.union(held).groupBy("root", "fp").agg(F.flatten(F.collect_list("near")).alias("near")))
+        rest = checkpoint(_apart(near))
+    edges = found.union(near.select(F.col("fp").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+    # what isn't in its component's main part is compared with all of it, block by block
+    sizes = large.groupBy("root").agg(F.count("*").alias("all")).join(rest.groupBy("root").agg(F.count("*").alias("out")), "root")
+    sizes = sizes.select("root", F.ceil(F.col("out") / texts).alias("n_out"), F.ceil((F.col("all") - F.col("out")) / texts).alias("n_in"))
+    dealt = large.join(rest.select("fp", F.lit(False).alias("near")), "fp", "left").withColumn("near", F.coalesce("near", F.lit(True))).join(sizes, "root")
     mine = F.when(F.col("near"), F.col("n_out") + F.pmod(F.xxhash64("fp"), "n_in")).otherwise(F.pmod(F.xxhash64("fp"), "n_out"))
     met = F.sequence(zero, F.when(F.col("near"), F.col("n_out")).otherwise(F.col("n_out") + F.col("n_in")) - 1)
-    rest = rest.withColumn("mine", mine).withColumn("met", F.explode(met)).select("*", F.least("mine", "met").alias("i"), F.greatest("mine", "met").alias("j"))
-    return found.union(held.where("near and a <> b").select("a", "b")).union(compared(rest))
+    dealt = dealt.withColumn("mine", mine).withColumn("met", F.explode(met)).select("*", F.least("mine", "met").alias("i"), F.greatest("mine", "met").alias("j"))
+    return edges.union(compared(dealt))
+
+
+#: Texts of a large component that all of it is held against in a round, about, and rounds at most.
+CENTRES, ROUNDS = 32, 3
+
+
+def _held(large: DataFrame, picked: DataFrame, size: int, texts: int) -> DataFrame:
+    """(root, fp, near) of every text of the components that have picked ones: which of these are near copies.
+
+    A component is dealt over slices, each of which gets the picked texts first, then its own in a stream.
+    """
+    up, down = COPY_LIKE
+    slices = F.ceil(F.col("total") / (4 * texts))
+    centres = large.join(picked, ["fp", "root"], "left_semi").select("root", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), F.lit(0).alias("kind"), "fp", "text")
+    all_ = large.join(picked.select("root").distinct(), "root", "left_semi").select("root", F.pmod(F.xxhash64("fp"), slices).alias("slice"), F.lit(1).alias("kind"), "fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, []
+        for batch in batches:
+            sets = (x for block in blocks(batch.column(4)) for x in _shingles(block, size))
+            rows: tuple[list, list, list] = ([], [], [])
+            for root, part, kind, fp, mine in zip(*(batch.column(k).to_pylist() for k in range(4)), sets, strict=True):
+                if (root, part) != now:
+                    now, centre = (root, part), []
+                if not kind:
+                    centre.append((fp, mine))
+                    continue
+                found = []
+                for other, theirs in centre:
+                    if len(mine) and down * min(len(mine), len(theirs)) >= up * max(len(mine), len(theirs)):
+                        both = len(np.intersect1d(mine, theirs, True))
+                        if down * both >= up * (len(mine) + len(theirs) - both):
+                            found.append(other)
+                for column, cell in zip(rows, (root, fp, found), strict=True):
+                    column.append(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], ["root", "fp", "near"])
+
+    dealt = centres.unionByName(all_).repartition(4 * shuffle_partitions(large.sparkSession), "root", "slice").sortWithinPartitions("root", "slice", "kind")
+    return dealt.mapInArrow(run, "root long, fp long, near array<long>")
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _main_part(pairs: pd.Series) -> pd.Series:
+    """Of picked texts that stand together with others (c, x, n times) those of the largest part."""
+
+    def largest(rows: list) -> list[int]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for r in rows:
+            a, b = top(r["c"]), top(r["x"])
+            up[max(a, b)] = min(a, b)
+        sizes: dict[int, int] = {}
+        for r in rows:
+            if r["c"] == r["x"]:
+                sizes[top(r["c"])] = sizes.get(top(r["c"]), 0) + r["n"]
+        best = max(sizes, key=lambda k: (sizes[k], k))
+        return [k for k in up if top(k) == best]
+
+    return pairs.map(largest)
+
+
+def _apart(near: DataFrame) -> DataFrame:
+    """(fp, root) of the texts that no picked one joins to the largest part of their component.
+
+    Two picked texts are of one part if a text is near both: at most as many pairs as picked texts squared.
+    """
+    first = F.col("near")[0]
+    pairs = near.where(F.size("near") > 0).select("root", first.alias("c"), F.explode("near").alias("x")).groupBy("root", "c", "x").agg(F.count("*").alias("n"))
+    main = pairs.groupBy("root").agg(F.collect_list(F.struct("c", "x", "n")).alias("pairs")).select("root", _main_part("pairs").alias("main"))
+    return near.join(main, "root", "left").where((F.size("near") == 0) | ~F.array_contains("main", F.get("near", F.lit(0)))).select("fp", "root")
 
 
 def _copies(docs: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -559,6 +635,7 @@ def _copies(docs: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFram
     points = checkpoint(rows.groupBy("fp").agg(F.min(row).alias("least"), F.min("sketch").alias("sketch")))
     wide = components(_candidates(points, reach))
     wide = checkpoint(wide.union(wide.select(F.col("root").alias("node"), "root")).distinct())
+    forget(docs.sparkSession)
     return rows.drop("sketch"), points.drop("sketch"), _verified(docs, points.drop("sketch"), wide, reach, size)
 
 
