@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
 
     add("gen", "definitions", "parameters", "schema", "out", help="a map from definitions and search parameters")
     add("init", help="create the store")
-    add("load", "path", help="upsert documents of files")
+    add("load", "path", "strict*", help="upsert documents of files; say strict to refuse what breaks a rule of its type")
     add("get", "type", "id")
     add("delete", "type", "id")
     add("export", "out", "types*")
@@ -89,7 +89,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         show({"created": store.init()})
     elif a.command == "load":
         rows = documents.read(spark, a.path)
-        n, bad = store.load(rows, audit)
+        n, bad = store.load(rows, audit, strict="strict" in a.strict)
         failed = bad.count()
         show({"loaded": n, "failed": failed, "errors": [r.asDict() for r in bad.orderBy("context").limit(MOST_SHOWN).collect()]})
         return int(failed > 0)

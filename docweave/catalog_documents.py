@@ -92,7 +92,7 @@ def shred_primitive_array(spark: SparkSession, path: str) -> DataFrame:
     return tags.select("rid", F.col("ords")[0].cast("int").alias("ord"), "value")
 
 
-@_query("shred_errors", "SELECT 'item.part: must be an object' AS error, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@_query("shred_errors", "SELECT 'item.part: is not an object' AS error, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def shred_errors(spark: SparkSession, path: str) -> DataFrame:
     """Documents that don't fit: every part is text here, so every order with items is refused."""
     docs = order_documents(spark, path).withColumn("body", F.regexp_replace("body", r'"part":\{[^}]*\}', '"part":"x"'))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.catalog_documents import _element
 from docweave.functions import leaves, naming
-from docweave.operators import reconstruct, shred
+from docweave.operators import reconstruct, shred, validate
 from docweave.operators.predicates import UnsupportedSearch
 from docweave.operators.search import Request, Searcher
 from docweave.plans import evolve
@@ -219,6 +219,29 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+RULES = [
+    ('"status":"final","unit":"a b","count":7,"at":"10:00:00"', ""), ('"unit":"x"', "status: is missing"), ('"status":" final"', "status: is no code"), ('"status":"final","unit":""', "unit: is no string"), ('"status":"final","count":0', "count: is no positiveInt"), ('"status":"final","at":"24:00:00"', "at: is no time"),
+    ('"status":"final","part":[{"code":"c"},{"size":1}]', "part.code: is missing"), ('"status":"final","valueCode":"a  b"', "valueCode: is no code"),
+]
+
+
+@lru_cache(maxsize=1)
+def rule_map() -> RelMap:
+    primitives = [{"kind": "primitive-type", "name": p} for p in ("string", "code", "positiveInt", "time", "integer")]
+    must = lambda path, kind: _element(path, kind) | {"min": 1}
+    value = {"path": "Check.value[x]", "max": "1", "type": [{"code": "code"}, {"code": "string"}]}
+    fields = [must("Check.status", "code"), _element("Check.unit", "string"), _element("Check.count", "positiveInt"), _element("Check.at", "time"), value, _element("Check.part", "", True), must("Check.part.code", "code"), _element("Check.part.size", "integer")]
+    return build_map(load_spec([*primitives, {"kind": "resource", "name": "Check", "snapshot": {"element": fields}}]), "checks")
+
+
+@_query("typed_validation", "SELECT says AS problem, count(*) AS n FROM customer JOIN (VALUES " + ", ".join(f"({k}, '{says}')" for k, (_, says) in enumerate(RULES) if says) + f") w(k, says) ON c_custkey % {len(RULES)} = k GROUP BY 1")
+def typed_validation(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of types beyond what the tables ask for: elements that must be there, forms of codes, numbers and times."""
+    k = F.col("c_custkey") % len(RULES)
+    docs = Star(spark, path).raw("customer").select(F.concat(F.lit('{"resourceType":"Check","id":"'), "c_custkey", F.lit('",'), F.coalesce(*(F.when(k == i, text) for i, (text, _) in enumerate(RULES))), F.lit("}")).alias("body"))
+    return validate.validate(docs, rule_map()).groupBy(F.concat_ws(": ", "path", "problem").alias("problem")).agg(F.count("*").alias("n"))
+
+
 # --- searches on documents' tables ---
 
 

@@ -28,7 +28,7 @@ from pyspark.sql.types import StringType
 from docweave.functions import guards
 from docweave.functions.digests import chain
 from docweave.functions.lexical import dumps, loads
-from docweave.operators import integrity, reconstruct, shred
+from docweave.operators import integrity, reconstruct, shred, validate
 from docweave.operators.search import Request, Searcher
 from docweave.plans import evolve
 from docweave.plans.model import RelMap
@@ -404,17 +404,20 @@ class Store:
             raise Conflict(conflicts)
         return out.done
 
-    def load(self, docs: DataFrame, audit: Audit = Audit(), at: datetime | None = None, mark: tuple[str, int] | None = None) -> tuple[int, DataFrame]:
+    def load(self, docs: DataFrame, audit: Audit = Audit(), at: datetime | None = None, mark: tuple[str, int] | None = None, strict: bool = False) -> tuple[int, DataFrame]:
         """Upserts documents (body, and context if there is one): (number written, what was refused: rtype, rid, error, context).
 
         Documents of one id are versions of it, in the order of the rows. Those that ``docs`` says an
-        ``error`` of are refused with it.
+        ``error`` of are refused with it; ``strict`` also refuses those that break a rule of their types.
         """
         given = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("context", "error")]
         wanted = docs.select(F.monotonically_increasing_id().alias("seq"), F.lit("put").alias("op"), "body", F.lit(None).cast("long").alias("expected"), *given)
         named = [F.get_json_object("body", f"$.{k}") for k in ("resourceType", "id")]
         path = self._write(wanted.withColumns({"rtype": named[0], "id": named[1]}), "load")
         rows = self._read([path], "seq long, op string, body string, expected long, context string, error string, rtype string, id string")
+        if strict:
+            broken = validate.validate(rows, self.map, key="seq").groupBy("key").agg(F.min(F.concat_ws(": ", "path", "problem")).alias("__broken"))
+            rows = rows.join(broken, rows["seq"] == broken["key"], "left").withColumn("error", F.coalesce("error", "__broken")).drop("key", "__broken")
         out = self.apply(rows.where("error is null").select("seq", "op", "rtype", "id", "body", "expected"), audit, at, mark=mark)
         told = rows.select("seq", "context", F.col("error").alias("__error"), "rtype", F.col("id").alias("rid"))
         bad = told.join(out.bad.select("seq", "error"), "seq").select("rtype", "rid", "error", "context")

@@ -74,6 +74,8 @@ class Element:
     columns: list[str] = field(default_factory=list)
     node: int = -1
     lane: int = 1  # -1: the second way into a shared table, with negated ordinals
+    type: str = ""  # as the definition names it
+    required: bool = False
     variants: list[Element] = field(default_factory=list)
 
 

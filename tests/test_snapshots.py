@@ -200,3 +200,44 @@ def test_purge_rewrites_only_what_holds_the_document(store):
     assert store.table("organization").orderBy("id").select("id").collect() == [("a",), ("c",)]
     assert store.verify().count() == 0
     assert store.status("Organization", "b") == ("deleted", 2)
+
+
+def test_strict_loads(spark, tmp_path):
+    from docweave.catalog_rows import RULES, rule_map
+
+    store = Store(spark, f"file://{tmp_path}/checks", rule_map())
+    store.init()
+    docs = [(f'{{"resourceType":"Check","id":"c{i}",{text}}}', f"f:{i}") for i, (text, _) in enumerate(RULES)] + [("broken", "f:x")]
+    n, bad = store.load(spark.createDataFrame(docs, "body string, context string"), strict=True)
+    assert n == 1
+    assert sorted((r.context, r.error) for r in bad.collect()) == sorted([(f"f:{i}", says) for i, (_, says) in enumerate(RULES) if says] + [("f:x", "not JSON")])
+    n, bad = store.load(spark.createDataFrame(docs, "body string, context string"))
+    assert (n, bad.count()) == (len(RULES), 1)
+
+
+def test_tables_in_a_database(spark, relmap, tmp_path):
+    """Through the database that comes with Spark; it has no arrays, so base tables alone."""
+    from docweave.sources import jdbc
+
+    assert len(jdbc.ranges("id", 1)) == 1
+    for n in (2, 16, 64, 1000):
+        conditions = jdbc.ranges("id", n)
+        values = spark.createDataFrame([("-a",), ("0",), ("Zz",), ("z9",), (None,), ("m.1",)], "id string")
+        assert [sum(values.where(c).where(values.id.eqNullSafe(v)).count() for c in conditions) for v in ("-a", "0", "Zz", "z9", None, "m.1")] == [1] * 6
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no database driver")
+    store = Store(spark, f"file://{tmp_path}/s", relmap)
+    store.init()
+    store.load(bodies(spark, [json.dumps(d) for d in [*spec.PATIENTS, spec.ORGANIZATION]]))
+    url, base = f"jdbc:derby:{tmp_path}/db;create=true", relmap.resources["Organization"].base
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    jdbc.write_table(store.table("organization"), url, base, **driver)
+    back = jdbc.read_table(spark, url, base, n=4, **driver)
+    assert back.columns == store.table("organization").columns
+    assert [(r.id, r.name, r.name_norm, r.version_id) for r in back.collect()] == [("dock", "Dock Seven", "dock seven", 1)]
+    plan = back.where("id = 'dock'").select("name")._jdf.queryExecution().toString()
+    scan = next(line for line in plan.split("Physical Plan")[1].splitlines() if "JDBCRelation" in line)
+    assert "EqualTo(id,dock)" in scan.replace("ID", "id")
+    assert "part_of_display" not in scan
