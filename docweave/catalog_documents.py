@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import refs, temporal
-from docweave.functions.digests import chain
+from docweave.functions.digests import linked
 from docweave.functions.leaves import JsonLeaves
 from docweave.functions.text import folded
 from docweave.operators import integrity, reconstruct, shred
@@ -67,7 +67,7 @@ def order_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _shredded(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
-    rows = shred.tagged(order_documents(spark, path), order_map())
+    rows = shred.tagged(order_documents(spark, path), order_map(), only=names)
     return [shred.table_of(rows, t) for n in names for t in order_map().resources["Order"].tables if t.name == n]
 
 
@@ -216,16 +216,12 @@ CHAIN = f"""WITH RECURSIVE v AS (SELECT *, {IMAGE} AS image FROM {VERSIONS}), c
 
 
 def chained(spark: SparkSession, path: str) -> DataFrame:
-    """The versions as a history with both chains and tags. A group is one document's versions."""
+    """The versions as a history with both chains and tags."""
     rows = versions(spark, path).select(
-        F.lit("User").alias("rtype"), "id", "version_id", F.col("ts").alias("last_updated"), "op", F.col("event_type").alias("resource"), F.lit("user").alias("actor"), F.lit(None).cast("string").alias("reason"),
+        F.lit("User").alias("rtype"), "id", "version_id", F.col("ts").cast("timestamp").alias("last_updated"), "op", F.col("event_type").alias("resource"), F.lit("user").alias("actor"), F.lit(None).cast("string").alias("reason"),
     )
-    rows = rows.withColumn("image", integrity.image(rows))
-    grouped = rows.groupBy("rtype", "id").agg(F.array_sort(F.collect_list(F.struct("version_id", "last_updated", "op", "resource", "actor", "reason", "image"))).alias("v"))
     none = F.lit(None).cast("binary")
-    linked = grouped.select("rtype", "id", F.explode(F.arrays_zip("v", chain(KEY)(none, none, F.col("v.image")).alias("l"))).alias("x"))
-    names = {"prev": "prev_hash", "hash": "row_hash", "prev3": "prev_hash3", "hash3": "row_hash3", "mac": "row_mac"}
-    return linked.select("rtype", "id", *(f"x.v.{c}" for c in ("version_id", "last_updated", "op", "resource", "actor", "reason")), *(F.col(f"x.l.{a}").alias(b) for a, b in names.items()))
+    return linked(rows.withColumns({"image": integrity.image(rows), "last": none, "last3": none}), KEY).drop("image", "last", "last3")
 
 
 @_query("chain_sha256", CHAIN + "SELECT id, version_id, h AS row_hash FROM c")

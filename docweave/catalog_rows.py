@@ -80,7 +80,7 @@ def things(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
-    rows = shred.tagged(things(spark, path), thing_map())
+    rows = shred.tagged(things(spark, path), thing_map(), only=names)
     return [shred.table_of(rows, t) for n in names for t in thing_map().resources["Thing"].tables if t.name == n]
 
 

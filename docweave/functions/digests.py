@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 GENESIS = bytes(32)
 
@@ -33,26 +35,35 @@ def sha3_link(before: pd.Series, image: pd.Series) -> pd.Series:
     return pd.Series([None if i is None else hashlib.sha3_256((bytes(b) if b is not None else GENESIS) + i.encode()).digest() for b, i in zip(before, image, strict=True)])
 
 
-LINKS = StructType([StructField("prev", BinaryType()), StructField("hash", BinaryType()), StructField("prev3", BinaryType()), StructField("hash3", BinaryType()), StructField("mac", StringType())])
+LINKS = StructType([StructField("prev_hash", BinaryType()), StructField("row_hash", BinaryType()), StructField("prev_hash3", BinaryType()), StructField("row_hash3", BinaryType()), StructField("row_mac", StringType())])
 
 
-def chain(key: tuple[str, bytes] | None):  # noqa: ANN201
-    """A function of (last SHA-256, last SHA3-256, pre-images in order): the links of one document's new versions."""
+def linked(rows: DataFrame, key: tuple[str, bytes] | None) -> DataFrame:
+    """Rows (rtype, id, version_id, image, last, last3 and any others) with their links, in order of each document's versions.
 
-    @F.pandas_udf(ArrayType(LINKS))
-    def links(last: pd.Series, last3: pd.Series, images: pd.Series) -> pd.Series:
-        out = []
-        for a, b, mine in zip(last, last3, images, strict=True):
-            a, b, made = (bytes(a) if a is not None else None), (bytes(b) if b is not None else None), []
-            for image in mine:
+    ``last`` and ``last3`` are the digests that the document's chain ended with before these rows, or null.
+    A document's versions are one task's, sorted, and pass through it one after the other, however many.
+    """
+    names = rows.columns
+    at = {n: names.index(n) for n in ("rtype", "id", "image", "last", "last3")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, a, b = None, None, None
+        for batch in batches:
+            made: tuple[list, ...] = ([], [], [], [], [])
+            for rtype, id_, image, last, last3 in zip(*(batch.column(at[n]).to_pylist() for n in at), strict=True):
+                if (rtype, id_) != now:
+                    now, a, b = (rtype, id_), last, last3
                 raw = image.encode()
                 x, y = hashlib.sha256((a or GENESIS) + raw).digest(), hashlib.sha3_256((b or GENESIS) + raw).digest()
-                made.append({"prev": a, "hash": x, "prev3": b, "hash3": y, "mac": tag(key, a, raw) if key else None})
+                for column, cell in zip(made, (a, x, b, y, tag(key, a, raw) if key else None), strict=True):
+                    column.append(cell)
                 a, b = x, y
-            out.append(made)
-        return pd.Series(out)
+            kinds = [pa.string() if f.name == "row_mac" else pa.binary() for f in LINKS]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], [*names, *LINKS.names])
 
-    return links
+    sorted_ = rows.repartition("rtype", "id").sortWithinPartitions("rtype", "id", "version_id")
+    return sorted_.mapInArrow(run, StructType([*rows.schema.fields, *LINKS.fields]))
 
 
 def tag(key: tuple[str, bytes], before: bytes | None, image: bytes) -> str:

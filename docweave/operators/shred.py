@@ -7,7 +7,7 @@ the rows come out tagged by table, and each table is a filter and a projection o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from typing import Any
 
@@ -253,13 +253,15 @@ def fill_folded(table: Table, row: dict[str, str]) -> None:
             row[c.name] = fold(row[c.derived])
 
 
-def tagged(docs: DataFrame, relmap: RelMap, body: str = "body", key: str | None = None) -> DataFrame:
+def tagged(docs: DataFrame, relmap: RelMap, body: str = "body", key: str | None = None, only: Iterable[str] = ()) -> DataFrame:
     """Rows of all documents, tagged by type and table; a document that doesn't fit is one row with an error.
 
     Documents of a type that the map lacks are errors too. Null bodies are errors. With ``key``, a
     column of whole numbers, every row has its document's as ``key``, errors have the table ERROR, and
-    each document that fits also gives its canonical text as a row of the table BODY.
+    each document that fits also gives its canonical text as a row of the table BODY. ``only`` names the
+    tables whose rows are wanted; errors come anyway.
     """
+    wanted = frozenset(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rtype", "rid", "tbl", "ords", "cols", "error", "key"]
@@ -269,7 +271,7 @@ def tagged(docs: DataFrame, relmap: RelMap, body: str = "body", key: str | None
             for lo in range(0, batch.num_rows, 512):
                 out: list[tuple] = []
                 for text, k in zip(batch.column(0).slice(lo, 512).to_pylist(), batch.column(1).slice(lo, 512).to_pylist(), strict=True):
-                    out.extend((*row, k) for row in _one(relmap, text, key is not None))
+                    out.extend((*row, k) for row in _one(relmap, text, key is not None) if not wanted or row[2] in wanted or row[5])
                 columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:n], kinds[:n], strict=True)], names[:n])
 

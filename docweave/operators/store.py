@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docweave.functions import guards
-from docweave.functions.digests import chain
+from docweave.functions.digests import linked
 from docweave.functions.lexical import dumps, loads
 from docweave.operators import integrity, reconstruct, shred, validate
 from docweave.operators.search import Request, Searcher
@@ -373,12 +373,8 @@ class Store:
             "seq", "rtype", "id", "version_id", moment.alias("last_updated"), F.when(F.col("op") == "delete", "D").when(F.col("live"), "U").otherwise("C").alias("op"), F.when(F.col("op") == "put", F.col("body")).alias("resource"),
             *(F.lit(v).alias(k) for k, v in audit.__dict__.items()), "h",
         )
-        new = new.withColumn("image", integrity.image(new))
-        # one group a document: as many rows as the batch changes it
-        grouped = new.groupBy("rtype", "id").agg(F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("version_id", "image"))).alias("v"))
-        links = grouped.select("rtype", "id", F.explode(F.arrays_zip("v", chain(self.ring.signing)(F.col("h.row_hash"), F.col("h.row_hash3"), F.col("v.image")).alias("l"))).alias("x"))
-        links = links.select("rtype", "id", F.col("x.v.version_id").alias("version_id"), F.col("x.l.prev").alias("prev_hash"), F.col("x.l.hash").alias("row_hash"), F.col("x.l.prev3").alias("prev_hash3"), F.col("x.l.hash3").alias("row_hash3"), F.col("x.l.mac").alias("row_mac"))
-        part = self._write(new.join(links, ["rtype", "id", "version_id"]).select("seq", *names(HISTORY)).sortWithinPartitions("rtype", "id", "version_id"), "history")
+        new = new.withColumn("image", integrity.image(new)).withColumn("last", F.col("h.row_hash")).withColumn("last3", F.col("h.row_hash3")).drop("h")
+        part = self._write(linked(new, self.ring.signing).select("seq", *names(HISTORY)), "history")
         done = self._read([part], "seq long, " + HISTORY)
         rest = [c for c in names(DELTA) if c not in ("rtype", "id")]
         heads = self._write(done.groupBy("rtype", "id").agg(F.max_by(F.struct(*rest), "version_id").alias("n")).select("rtype", "id", "n.*").select(*names(DELTA)), "delta")
