@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
@@ -110,14 +111,31 @@ def date(schema: StructType, c: dict, value: str, modifier: str | None) -> Colum
     }[op]
 
 
+#: Texts of whole numbers as a cast gives them.
+WHOLE = re.compile(r"0|-?[1-9][0-9]{0,17}", re.ASCII)
+
+
+def same_id(schema: StructType, column: str, values: list[str]) -> Column:
+    """Whether an id column has one of these values.
+
+    Where a table has beside it the number that it is the text of, as ``<column>_key``, the numbers are
+    compared too: a cast column can't be compared with the statistics of files, a plain one can.
+    """
+    found = F.col(column).isin(values) if len(values) > 1 else F.col(column) == values[0]
+    if f"{column}_key" not in schema.names:
+        return found
+    whole = [int(v) for v in values if WHOLE.fullmatch(v)]
+    return F.col(f"{column}_key").isin(whole) & found if whole else F.lit(False)
+
+
 def reference(schema: StructType, c: dict, value: str, modifier: str | None) -> Column:
     """Type/id; an address, a urn or #fragment as stored; a bare id of any type, or of the modifier's type."""
     if "://" in value or value.startswith(("urn:", "#")):
         return F.col(c["url"]) == value
     kind, slash, id_ = value.partition("/")
     if slash:
-        return (F.col(c["type"]) == kind) & (F.col(c["id"]) == id_)
-    found = F.col(c["id"]) == value
+        return (F.col(c["type"]) == kind) & same_id(schema, c["id"], [id_])
+    found = same_id(schema, c["id"], [value])
     return (F.col(c["type"]) == modifier) & found if modifier else found
 
 

@@ -10,7 +10,7 @@ from urllib.parse import parse_qsl
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators.predicates import UnsupportedSearch, date, predicate
+from docweave.operators.predicates import UnsupportedSearch, date, predicate, same_id
 from docweave.plans.model import Param, RelMap, Resource
 
 #: Page size by default and at most; documents that includes add at most.
@@ -90,7 +90,7 @@ class Searcher:
         for name, value in criteria:
             plain = name.split(":")[0]
             if plain == "_id" and "." not in name:
-                filters.append(F.col("id").isin(value.split(",")))
+                filters.append(same_id(base.schema, "id", value.split(",")))
             elif plain == "_lastUpdated" and "." not in name:
                 filters.append(_any([date(base.schema, {"lo": "last_updated"}, v, None) for v in value.split(",")]))
             elif "." in name:

@@ -69,27 +69,31 @@ class Star:
     def _id(column: str) -> F.Column:
         return F.col(column).cast("string")
 
+    def _key(self, column: str) -> list[F.Column]:
+        """The id as text, and the number that it is the text of, by which filters reach the files."""
+        return [self._id(column).alias("id"), F.col(column).alias("id_key")]
+
     def _to(self, name: str, kind: str, column: str) -> list[F.Column]:
-        return [F.lit(kind).alias(f"{name}_ref_type"), self._id(column).alias(f"{name}_ref_id"), F.lit(None).cast("string").alias(f"{name}_ref_url")]
+        return [F.lit(kind).alias(f"{name}_ref_type"), self._id(column).alias(f"{name}_ref_id"), F.col(column).alias(f"{name}_ref_id_key"), F.lit(None).cast("string").alias(f"{name}_ref_url")]
 
     def _region(self) -> DataFrame:
-        return self.raw("region").select(self._id("r_regionkey").alias("id"), F.col("r_name").alias("name"), folded(F.col("r_name")).alias("name_norm"))
+        return self.raw("region").select(*self._key("r_regionkey"), F.col("r_name").alias("name"), folded(F.col("r_name")).alias("name_norm"))
 
     def _nation(self) -> DataFrame:
-        return self.raw("nation").select(self._id("n_nationkey").alias("id"), F.col("n_name").alias("name"), folded(F.col("n_name")).alias("name_norm"), *self._to("region", "Region", "n_regionkey"))
+        return self.raw("nation").select(*self._key("n_nationkey"), F.col("n_name").alias("name"), folded(F.col("n_name")).alias("name_norm"), *self._to("region", "Region", "n_regionkey"))
 
     def _customer(self) -> DataFrame:
         return self.raw("customer").select(
-            self._id("c_custkey").alias("id"), F.col("c_name").alias("name"), folded(F.col("c_name")).alias("name_norm"), F.col("c_acctbal").alias("balance"),
+            *self._key("c_custkey"), F.col("c_name").alias("name"), folded(F.col("c_name")).alias("name_norm"), F.col("c_acctbal").alias("balance"),
             F.col("c_mktsegment").alias("segment"), *self._to("nation", "Nation", "c_nationkey"),
         )
 
     def _supplier(self) -> DataFrame:
-        return self.raw("supplier").select(self._id("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), *self._to("nation", "Nation", "s_nationkey"))
+        return self.raw("supplier").select(*self._key("s_suppkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), *self._to("nation", "Nation", "s_nationkey"))
 
     def _part(self) -> DataFrame:
         return self.raw("part").select(
-            self._id("p_partkey").alias("id"), F.col("p_name").alias("name"), folded(F.col("p_name")).alias("name_norm"),
+            *self._key("p_partkey"), F.col("p_name").alias("name"), folded(F.col("p_name")).alias("name_norm"),
             F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"),
         )
 
@@ -97,7 +101,7 @@ class Star:
         parts = F.split("o_orderpriority", "-", 2)
         # 4-NOT SPECIFIED has no system: it stands for an unqualified code
         return self.raw("orders").select(
-            self._id("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("date"),
+            *self._key("o_orderkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("date"),
             F.when(parts[0] != "4", parts[0]).alias("priority_system"), parts[1].alias("priority_code"), *self._to("customer", "Customer", "o_custkey"),
         )
 
@@ -121,15 +125,15 @@ class Star:
         return both.select(self._id("o_orderkey").alias("rid"), "ship_start", F.when(F.col("o_orderstatus") != "O", F.col("ship_end")).alias("ship_end"))
 
     def _event(self) -> DataFrame:
-        return self.raw("events").select(self._id("event_id").alias("id"), F.col("ts").alias("last_updated"), F.col("event_type").alias("type"), "value", *self._to("user", "User", "user_id"))
+        return self.raw("events").select(*self._key("event_id"), F.col("ts").alias("last_updated"), F.col("event_type").alias("type"), "value", *self._to("user", "User", "user_id"))
 
     def _document(self) -> DataFrame:
-        return self.raw("documents").select(self._id("doc_id").alias("id"), "text", folded(F.col("text")).alias("text_norm"), F.when(F.col("lang") != "en", F.col("lang")).alias("lang"), "source")
+        return self.raw("documents").select(*self._key("doc_id"), "text", folded(F.col("text")).alias("text_norm"), F.when(F.col("lang") != "en", F.col("lang")).alias("lang"), "source")
 
     def _label(self) -> DataFrame:
         return self.raw("labels").select(self._id("doc_id").alias("rid"), (F.col("quality") == 1).alias("good"))
 
     def _page(self) -> DataFrame:
         return self.raw("pages").select(
-            self._id("page_id").alias("id"), "url", F.lit(None).cast("string").alias("address_ref_type"), F.lit(None).cast("string").alias("address_ref_id"), F.col("url").alias("address_ref_url"),
+            *self._key("page_id"), "url", F.lit(None).cast("string").alias("address_ref_type"), F.lit(None).cast("string").alias("address_ref_id"), F.col("url").alias("address_ref_url"),
         )

@@ -64,6 +64,8 @@ def test_plans(spark):
         assert "LeftSemi" in text
         assert "NestedLoop" not in text
         assert "Cartesian" not in text
+    assert "PushedFilters: [In(c_custkey, [" in plan("Customer", "_id=3,17,x").replace("IsNotNull(c_custkey), ", "")
+    assert "EqualTo(o_custkey,7)" in plan("Order", "customer:Customer=7")
     slim = plan("Order", "item-quantity=gt45").split("lineitem")[0]
     assert "l_shipdate" not in slim.split("== Physical Plan ==")[-1]
 
