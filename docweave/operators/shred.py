@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docweave.functions.leaves import DocumentError, flatten, kind_of
+from docweave.functions.leaves import DocumentError, flatten
 from docweave.functions.lexical import Number, dumps, loads
 from docweave.functions.refs import parse
 from docweave.functions.temporal import bounds, date_sort, datetime_sort
-from docweave.functions.text import fold, folded
+from docweave.functions.text import fold
 from docweave.plans.model import Element, RelMap, Resource, Table
 from docweave.plans.session import checkpoint, spread
 
@@ -337,6 +337,3 @@ def shred(docs: DataFrame, relmap: RelMap, kinds: list[str] | None = None, body:
     rows = checkpoint(tagged(docs, relmap, body))
     out = {t.name: table_of(rows.where(F.col("rtype") == k), t) for k in kinds or relmap.resources for t in relmap.resources[k].tables if t.kind != "history"}
     return out, errors(rows)
-
-
-__all__ = ["shred", "tagged", "table_of", "errors", "shred_one", "folded", "kind_of"]

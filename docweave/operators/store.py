@@ -140,7 +140,10 @@ class Store:
         return False
 
     def fork(self, root: str) -> Store:
-        """Another store that begins as this one is; it reads this one's folders, and writes its own."""
+        """Another store that begins as this one is; it reads this one's folders, and writes its own.
+
+        As long as it lives this one must not be vacuumed or purged, and what it purges stays here.
+        """
         made = Store(self.spark, root, self.map, self.ring)
         made._publish(self._pointer() | {"n": -1} | made._keep_map(self.map))
         return made
