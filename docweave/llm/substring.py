@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.arrowtext import BLOCK, NOT_SPACE, OTHER_BASE, WINDOW_BASE, Block, Words, blocks, planes, sha256, split, unplanes, window_hashes, windows_within, word_hashes
+from docweave.llm.arrowtext import BLOCK, NOT_SPACE, OTHER_BASE, Block, Words, blocks, planes, sha256, split, unplanes, window_hashes, windows_within, word_hashes
 from docweave.plans.session import shuffle_partitions, size_in_bytes
 
 #: Words of a window.
