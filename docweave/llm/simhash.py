@@ -14,6 +14,9 @@
 4. Each shard, or cell, searches its own vantage-point tree, exactly, and gives back a spanning forest of the
    links it found: fewer rows than points, however dense the links are.
 5. Connected components over these forests; the least document id names the component.
+
+Groups of near copies, for a corpus pipeline, take these steps at 3 of 64 bits, and 4 again at 75 of 256,
+a distance so wide that the top tree is one leaf: see near_copies().
 """
 
 from __future__ import annotations
@@ -96,6 +99,16 @@ def apart(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between fingerprints of one word or several, which are the last axis."""
+    bits = apart(a[..., 0], b[..., 0])
+    if a.shape[-1] > 1:
+        bits = bits.astype(np.int16)
+        for k in range(1, a.shape[-1]):
+            bits += apart(a[..., k], b[..., k])
+    return bits
+
+
 class Top:
     """The tree over shards, as arrays: node i splits at distance ``cut[i]`` from ``point[i]``.
 
@@ -171,15 +184,32 @@ class Forest:
                 label[:] = up
 
 
+def _cheapest(inner: np.ndarray, outer: np.ndarray, reach: int) -> tuple[int, int]:
+    """(pairs left to compare at most, cut) of the split at which they are fewest, by distances to a vantage point."""
+    most = int(max(inner.max(), outer.max()))
+    i, o = (np.cumsum(np.bincount(d, minlength=most + 1)) for d in (inner, outer))
+    cut = np.arange(most + 1)
+    near, below = i * o[np.minimum(cut + reach, most)], np.where(cut >= reach, o[np.maximum(cut - reach, 0)], 0)
+    left = np.where((i > 0) & (i < i[-1]), near + (i[-1] - i) * (o[-1] - np.maximum(below, i)), i[-1] * o[-1])
+    best = int(left.argmin())
+    return int(left[best]), best
+
+
 def search(home: np.ndarray, guests: np.ndarray, reach: int) -> np.ndarray:
     """Labels over home then guests: equal for points of one component of the links met here.
 
     Met are all links between two points at home and between a guest and a point at home. Guests that
-    only meet through a third shard are joined there.
+    only meet through a third shard are joined there. Fingerprints are numbers, or rows of several. A node
+    splits numbers at the median distance. Rows, whose reach is wide, it splits where the fewest pairs are
+    left, unless every cut spares fewer than are spent on looking for it.
     """
     fps = np.concatenate((home, guests))
+    wide = fps.ndim > 1
+    fps = fps.reshape(len(fps), -1)
     forest = Forest(len(fps))
     rng = np.random.default_rng(11)
+    met = np.zeros(len(fps), bool)
+    most = (1024, 2048) if not wide else (256, 1024)
     stack = [(np.arange(len(home)), np.arange(len(fps)))]
     while stack:
         inner, outer = stack.pop()  # every pair of one of inner, at home, and one of outer
@@ -190,24 +220,38 @@ def search(home: np.ndarray, guests: np.ndarray, reach: int) -> np.ndarray:
             outer = outer[labels[outer] != labels[inner[0]]]  # all else are joined to all of inner already
             if not len(outer):
                 continue
-        if len(inner) > LEAF:
-            point = fps[inner[rng.integers(0, len(inner))]]
-            di, do = apart(fps[inner], point).astype(np.int64), apart(fps[outer], point).astype(np.int64)
-            cut = int(np.sort(di)[(len(di) - 1) // 2])
-            if not (di > cut).any():
-                cut -= 1
+        if len(inner) > (COPY_LEAF if wide else LEAF):
+            tried = []
+            for _ in range(TRIED if wide else 1):
+                point = fps[inner[rng.integers(0, len(inner))]]
+                tried.append((_differ(fps[inner], point).astype(np.int64), _differ(fps[outer], point).astype(np.int64)))
+            if wide:
+                di, do = min(tried, key=lambda t: _cheapest(*t, reach))
+                left, cut = _cheapest(di, do, reach)
+                if left + 2 * TRIED * (len(inner) + len(outer)) > len(inner) * len(outer):
+                    cut = -1
+            else:
+                di, do = tried[0]
+                cut = int(np.sort(di)[(len(di) - 1) // 2])
+                if not (di > cut).any():
+                    cut -= 1
             if cut >= 0 and (di <= cut).any():
-                stack.append((inner[di > cut], outer[do + reach > cut]))
-                stack.append((inner[di <= cut], outer[do - reach <= cut]))
+                beyond, within = outer[do + reach > cut], inner[di <= cut]
+                if wide:  # what lies within meets these from its own side
+                    met[within] = True
+                    beyond = beyond[~met[beyond]]
+                    met[within] = False
+                stack.append((inner[di > cut], beyond))
+                stack.append((within, outer[do - reach <= cut]))
                 continue
-        for lo in range(0, len(outer), 2048):
-            part = outer[lo : lo + 2048]
-            for at in range(0, len(inner), 1024):
-                some = inner[at : at + 1024]
+        for lo in range(0, len(outer), most[1]):
+            part = outer[lo : lo + most[1]]
+            for at in range(0, len(inner), most[0]):
+                some, others = inner[at : at + most[0]], part
                 if (forest.label[some] == forest.label[some[0]]).all():
-                    part = part[forest.label[part] != forest.label[some[0]]]
-                i, j = np.nonzero(apart(fps[some][:, None], fps[part][None, :]) <= reach)
-                forest.link(some[i], part[j])
+                    others = part[forest.label[part] != forest.label[some[0]]]
+                i, j = np.nonzero(_differ(fps[some][:, None], fps[others][None, :]) <= reach)
+                forest.link(some[i], others[j])
     return forest.label
 
 
@@ -332,11 +376,13 @@ def _edges(found: list[np.ndarray]) -> pa.RecordBatch:
 
 #: Near copies are texts whose sets of five-word shingles have a Jaccard coefficient of 4/5 or more.
 COPY_SHINGLE, COPY_LIKE = 5, (4, 5)
-#: Candidates share one of the bands of least hashes: a pair at 0.8 misses all with a chance of
-#: (1 - 0.8 ** 4) ** 32 = 5e-8, whatever else the table holds.
-BANDS, BAND = 32, 4
-#: They also differ in so many of 256 bits at most. At 0.8 it is 38 on average with a deviation of 6.
+#: Candidates differ in so many of 256 bits at most. At 0.8 it is 38 on average with a deviation of 6.
 COPY_WORDS, COPY_DISTANCE = 4, 75
+#: Points of a leaf of a cell's tree, and vantage points that a node of it chooses from.
+COPY_LEAF, TRIED = 32, 4
+#: Cells that a fingerprint is dealt to, one for each band of least hashes: a pair at 0.8 shares none with
+#: a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, whatever else the table holds.
+BANDS, BAND = 32, 4
 #: Texts that one task compares with each other, or with as many more.
 TEXTS = 1024
 
@@ -376,7 +422,7 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """Of every row the id, a hash of the text, fp (a hash of the set of shingles) and the sketch."""
+    """Of every row the id, a hash of the text, fp (a hash of the set of shingles), the sketch and its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,45 +430,33 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
                 n = block.hi - block.lo
                 sets = _shingles(block, size)
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], U).view(np.int64)
-                sketches = [_sketch(x).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), batch.column(1).slice(block.lo, n), pa.array(fps), pa.array(sketches, pa.binary())], ["doc_id", "h", "fp", "sketch"])
+                sketches = [_sketch(x) for x in sets]
+                words = np.array([x[0] for x in sketches], U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n), batch.column(1).slice(block.lo, n), pa.array(fps), pa.array(words), pa.array([x.tobytes() for x in sketches], pa.binary())], ["doc_id", "h", "fp", "word", "sketch"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, fp long, sketch binary")
-
-
-def _reached(bits: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs within ``reach``; only points not yet reached are looked at."""
-    a, b = [], []
-    rest = np.arange(len(bits))
-    while len(rest) > 1:
-        stack, rest = [int(rest[0])], rest[1:]
-        while stack and len(rest):
-            p = stack.pop()
-            near = apart(bits[rest], bits[p]).sum(axis=1) <= reach
-            hit = rest[near].tolist()
-            a += [p] * len(hit)
-            b += hit
-            stack += hit
-            rest = rest[~near]
-    return a, b
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, fp long, word long, sketch binary")
 
 
 def _candidates(points: DataFrame, reach: int) -> DataFrame:
-    """(a, b): in every band's groups of one key, a spanning forest of the pairs within ``reach``."""
+    """(a, b) edges over the first words of the sketches, which join those of all candidates.
+
+    links() finds the first words within its own distance. For what lies further apart, points stand in
+    one cell for each band, at home in all. Each cell searches a vantage-point tree of its own over all
+    256 bits and gives back a forest of the pairs within ``reach``.
+    """
     parts = 4 * shuffle_partitions(points.sparkSession)
-    wide = 2 + COPY_WORDS
+    words = checkpoint(points.select(F.col("word").alias("fp")).distinct())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, raw = batch.column(0).to_numpy().view(U), batch.column(1).to_pylist()
-            some = np.array([i for i, x in enumerate(raw) if len(x) > 8 * COPY_WORDS], np.int64)
-            if not len(some):
+            some = [x for x in batch.column(0).to_pylist() if len(x) > 8 * COPY_WORDS]
+            if not some:
                 continue
-            all_ = np.frombuffer(b"".join(raw[i] for i in some.tolist()), U).reshape(len(some), COPY_WORDS + BANDS)
-            rows = np.empty((len(some), BANDS, wide), U)
-            rows[:, :, 0], rows[:, :, 1], rows[:, :, 2:] = all_[:, COPY_WORDS:], fps[some][:, None], all_[:, None, :COPY_WORDS]
-            rows = rows.reshape(-1, wide)
+            all_ = np.frombuffer(b"".join(some), U).reshape(len(some), COPY_WORDS + BANDS)
+            rows = np.empty((len(some), BANDS, 1 + COPY_WORDS), U)
+            rows[:, :, 0], rows[:, :, 1:] = all_[:, COPY_WORDS:], all_[:, None, :COPY_WORDS]
+            rows = rows.reshape(-1, 1 + COPY_WORDS)
             part = (rows[:, 0] >> U(20)) % U(parts)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
@@ -434,7 +468,7 @@ def _candidates(points: DataFrame, reach: int) -> DataFrame:
         held = [x for batch in batches for x in batch.column(1).to_pylist()]
         if not held:
             return
-        rows = np.frombuffer(b"".join(held), U).reshape(-1, wide)
+        rows = np.frombuffer(b"".join(held), U).reshape(-1, 1 + COPY_WORDS)
         del held
         order = np.argsort(rows[:, 0], kind="stable")
         keys = rows[order, 0]
@@ -442,17 +476,20 @@ def _candidates(points: DataFrame, reach: int) -> DataFrame:
         sizes = np.diff(np.append(cut, len(keys)))
         two = cut[sizes == 2]
         x, y = order[two], order[two + 1]
-        near = apart(rows[x, 2:], rows[y, 2:]).sum(axis=1) <= reach
+        near = _differ(rows[x, 1:], rows[y, 1:]) <= reach  # a tree of two points
         pairs = [(x[near], y[near])]
         for at, n in zip(cut[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            group = order[at : at + n]
-            a, b = _reached(rows[group, 2:], reach)
-            pairs.append((group[a], group[b]))
-        a, b = (rows[np.concatenate(z).astype(np.int64), 1] for z in zip(*pairs, strict=True))
+            cell = order[at : at + n]
+            labels = search(rows[cell, 1:], np.zeros((0, COPY_WORDS), U), reach)
+            joined = np.flatnonzero(labels != np.arange(n))
+            pairs.append((cell[joined], cell[labels[joined]]))
+        a, b = (rows[np.concatenate(z), 1] for z in zip(*pairs, strict=True))
+        a, b = a[a != b], b[a != b]
         found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
 
-    return points.select("fp", "sketch").mapInArrow(send, "part int, packed binary").repartitionById(parts, "part").mapInArrow(run, "a long, b long")
+    cells = points.select("sketch").mapInArrow(send, "part int, packed binary").repartitionById(parts, "part").mapInArrow(run, "a long, b long")
+    return links(words).union(cells)
 
 
 def _alike(sets: list[np.ndarray], bits: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
@@ -489,7 +526,7 @@ def _verified(docs: DataFrame, points: DataFrame, wide: DataFrame, reach: int, s
     against some of them, in rounds; what that doesn't join to its largest part is then compared, block
     by block, with all others. Pairs within that part needn't be looked at.
     """
-    total = wide.groupBy("root").agg(F.count("*").alias("total"))
+    total = wide.groupBy("root").agg(F.count("*").alias("total")).where("total > 1")
     members = wide.join(total, "root").join(points, F.col("node") == points.fp).select("fp", "root", "total", "least.*")
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -632,21 +669,27 @@ def _copies(docs: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFram
     """The described rows, their distinct sets of shingles with the least row of each, and edges between near copies."""
     rows = checkpoint(_described(docs, size))
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
-    points = checkpoint(rows.groupBy("fp").agg(F.min(row).alias("least"), F.min("sketch").alias("sketch")))
-    wide = components(_candidates(points, reach))
-    wide = checkpoint(wide.union(wide.select(F.col("root").alias("node"), "root")).distinct())
+    points = checkpoint(rows.groupBy("fp").agg(F.min(row).alias("least"), F.min("word").alias("word"), F.min("sketch").alias("sketch")))
+    roots = components(_candidates(points, reach))
+    wide = points.join(roots, points.word == roots.node, "left").select(F.col("fp").alias("node"), F.coalesce("root", "word").alias("root"))
+    wide = checkpoint(wide)
     forget(docs.sparkSession)
-    return rows.drop("sketch"), points.drop("sketch"), _verified(docs, points.drop("sketch"), wide, reach, size)
+    rows, points = rows.drop("word", "sketch"), points.drop("word", "sketch")
+    return rows, points, _verified(docs, points, wide, reach, size)
 
 
 def near_copies(docs: DataFrame, reach: int = COPY_DISTANCE, size: int = COPY_SHINGLE) -> DataFrame:
     """(doc_id, component_id) of groups of near copies, chains included.
 
     Texts link if the Jaccard coefficient of their sets of shingles is 0.8 or more, each link told by
-    the exact coefficient. Candidates are texts that share a band of least hashes and differ in
-    ``reach`` or fewer of 256 SimHash bits; no vantage-point tree prunes at that distance, whose balls
-    overlap every boundary. Texts without words are copies of each other. Nulls are as in
-    near_duplicates().
+    the exact coefficient. All candidates come of searches in vantage-point trees over SimHash bits:
+
+    * links() finds the pairs within 3 of 64 bits, by the top tree, its shards and their own trees;
+    * further apart, pairs within ``reach`` of 256 bits are found. Balls so wide overlap every boundary
+      of a top tree, which thus is one leaf. As a full shard is in links(), it is dealt over cells, here
+      those of the bands of least hashes, and each cell searches its own tree.
+
+    Texts without words are copies of each other. Nulls are as in near_duplicates().
     """
     rows, points, edges = _copies(docs, reach, size)
     return _named(rows, points, edges).select("doc_id", F.when(~F.col("component_id.none"), F.col("component_id.id")).alias("component_id"))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -100,6 +101,65 @@ def test_search_meets_all_links():
     assert labels.tolist() == brute_components(pairs, len(fps))
 
 
+def near_families(rng, n):
+    """Fingerprints of 256 bits in families of which many lie within 75 bits, in chains too."""
+    out = rng.integers(0, 1 << 64, (n // 12, 4), dtype=np.uint64)
+    while len(out) < n:
+        some = out[rng.integers(0, len(out), min(n - len(out), n // 4))].copy()
+        for _ in range(int(rng.integers(2, 90))):
+            some[np.arange(len(some)), rng.integers(0, 4, len(some))] ^= np.uint64(1) << rng.integers(0, 64, len(some)).astype(np.uint64)
+        out = np.concatenate((out, some))
+    return out
+
+
+def bits_apart(fps):
+    return np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2)
+
+
+def test_search_of_wide_fingerprints(monkeypatch):
+    """A tree over 256 bits meets all links within 75, and prunes where points stand in families."""
+    rng = np.random.default_rng(10)
+    fps = near_families(rng, 900)
+    none = np.zeros((0, 4), np.uint64)
+    pairs = list(zip(*(x.tolist() for x in np.nonzero(bits_apart(fps) <= 75)), strict=True))
+    assert simhash.search(fps, none, 75).tolist() == brute_components(pairs, len(fps))
+    compared, differ = [], simhash._differ
+    monkeypatch.setattr(simhash, "_differ", lambda a, b: compared.append(differ(a, b)) or compared[-1])
+    tight = np.repeat(rng.integers(0, 1 << 64, (20, 4), dtype=np.uint64), 50, axis=0)
+    tight[:, 0] ^= rng.integers(0, 1 << 16, len(tight), dtype=np.uint64)
+    assert len(set(simhash.search(tight, none, 75).tolist())) == 20
+    assert sum(x.size for x in compared) < len(tight) ** 2 / 4
+
+
+def test_candidates_of_near_copies_come_of_trees(spark):
+    """Points within 3 bits of the first word join wherever they stand, others within 75 bits in a cell."""
+    rng = np.random.default_rng(11)
+    bits = near_families(rng, 700)
+    bits[600:, 0] = bits[:100, 0] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
+    pool = rng.integers(0, 1 << 64, (simhash.BANDS, 300), dtype=np.uint64)
+    keys = np.stack([pool[k, rng.integers(0, 300, len(bits))] for k in range(simhash.BANDS)], axis=1)
+    rows = [(i, int(bits[i, 0].view(np.int64)), bytearray(np.concatenate((bits[i], keys[i])).tobytes())) for i in range(len(bits))]
+    points = checkpoint(spark.createDataFrame(rows, "fp long, word long, sketch binary"))
+    roots = {r.node: r.root for r in components.components(simhash._candidates(points, 75)).collect()}
+    near = np.bitwise_count(bits[:, None, 0] ^ bits[None, :, 0]) <= 3
+    cells = (bits_apart(bits) <= 75) & (keys[:, None] == keys[None, :]).any(axis=2)
+    first, both = (brute_components(list(zip(*(x.tolist() for x in np.nonzero(m)), strict=True)), len(bits)) for m in (near, near | cells))
+    got = [roots.get(word, word) for _, word, _ in rows]
+    assert [got.index(x) for x in got] == both
+    assert len(set(both)) < len(set(first)) < len(bits)
+
+
+def test_near_dedup_goes_through_the_distributed_trees(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    a, b = ([word() for _ in range(200)] for _ in range(2))
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(edited(rng, a, 2, word))), (3, " ".join(b))], "doc_id long, text string")
+    searched, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *more: searched.append(fps.count()) or links(fps, *more))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    assert searched == [3]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
