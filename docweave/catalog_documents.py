@@ -52,16 +52,15 @@ def order_map() -> RelMap:
 def order_documents(spark: SparkSession, path: str) -> DataFrame:
     """(id, body): each order with its items in order; an order without items has no such element."""
     star = Star(spark, path)
-    item = F.struct(
-        F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
-        F.struct(F.concat(F.lit("Part/"), F.col("l_partkey")).alias("reference")).alias("part"),
-    )
-    items = star.numbered_items().groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))).alias("all"))
+    # line numbers repeat, so all columns decide the order, as in numbered_items()
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    items = star.raw("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("all"))
+    item = lambda x: F.struct(x["l_linenumber"].alias("number"), x["l_quantity"].alias("quantity"), x["l_extendedprice"].alias("price"), x["l_returnflag"].alias("flag"), F.struct(F.concat(F.lit("Part/"), x["l_partkey"]).alias("reference")).alias("part"))
     orders = star.raw("orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     document = F.struct(
         F.lit("Order").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.struct(F.concat(F.lit("Customer/"), F.col("o_custkey")).alias("reference")).alias("customer"),
-        F.split("o_orderpriority", "-").alias("tag"), F.transform("all", lambda x: x["item"]).alias("item"),
+        F.split("o_orderpriority", "-").alias("tag"), F.transform("all", item).alias("item"),
     )
     return orders.select(F.col("o_orderkey").cast("string").alias("id"), F.to_json(document).alias("body"))
 

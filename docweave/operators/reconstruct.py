@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from json.encoder import encode_basestring
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from docweave.functions.leaves import DocumentError, unflatten
 from docweave.functions.lexical import Number, dumps, loads
@@ -169,48 +171,138 @@ class Builder:
             have.append({"url": url} | unflatten(leaves))
 
 
+class Unusual(Exception):
+    """Rows that the short way doesn't take; they go through Builder, which also names what is wrong."""
+
+
+class Short:
+    """Builder's text for documents without extensions, spills and contained ones, as a function made for the type.
+
+    Its lines name the elements. Rows that are left at the end, and all else that isn't taken, raise Unusual.
+    """
+
+    def __init__(self, resource: Resource):
+        self.resource, self.plain = resource, [t.kind in ("base", "elem") for t in resource.tables]
+        self.env: dict[str, Any] = {"Unusual": Unusual, "q": encode_basestring}
+        self.lines: list[str] = []
+        todo, done = [0], set()
+        while todo:
+            if (node := todo.pop()) not in done:
+                done.add(node)
+                self._say(0, f"def b{node}(row, ords, H):", " o = []")
+                self._fill(node, 1, "o", todo)
+                self._say(1, "return ','.join(o)")
+        exec("\n".join(self.lines), self.env)  # noqa: S102 - lines made here, with names as literals
+        self.base, self.head = self.env["b0"], '{"resourceType":' + dumps(resource.name)
+
+    def _say(self, depth: int, *lines: str) -> None:
+        self.lines += [" " * depth + x for x in lines]
+
+    def text(self, id_: str | None, rows: list[list]) -> str:
+        held: list[dict | None] = [{} if p else None for p in self.plain]
+        for table, ords, cols in rows:
+            mine, place = held[table], tuple(ords)
+            if mine is None or place in mine:
+                raise Unusual
+            mine[place] = cols
+        base = held[0].pop((), None)
+        if base is None:
+            raise Unusual
+        inner = self.base(base, (), held)
+        if any(held):
+            raise Unusual
+        return ",".join([self.head, *([] if id_ is None else [f'"id":{dumps(id_)}']), *([inner] if inner else [])]) + "}"
+
+    def _value(self, e: Element, t: str) -> str:
+        if e.prim == "bool":
+            return f"('true' if {t} == 'true' else 'false')"
+        return t if e.prim in ("int", "decimal") else f"q({t})"
+
+    def _read(self, e: Element, row: str, at: int, put: str) -> None:
+        """Lines that take a value from a row, and ``put`` its text t if it is there."""
+        if e.kind == "ref":
+            kind, id_, url = (f"{row}.get({c!r})" for c in e.columns)
+            self._say(at, f"k, d, u = {kind}, {id_}, {url}", "if u is not None and (k is not None or d is not None): raise Unusual", "t = u if k is None else f'{k}/{d}'", "if t is not None:", " t = q(t)", f" {put}")
+        else:
+            self._say(at, f"t = {row}.get({e.columns[0]!r})", "if t is not None:", f" t = {self._value(e, 't')}", f" {put}")
+
+    def _fill(self, node: int, at: int, o: str, todo: list) -> None:
+        for whole in self.resource.nodes[node]:
+            if whole.kind == "choice" and whole.table >= 0:
+                continue  # its rows, if any, are left
+            for e in whole.variants if whole.kind == "choice" else [whole]:
+                name = f"{dumps(e.name)}:"
+                if e.kind in ("prim", "ref") and e.many:
+                    self._say(at, "i, x = 1, []", f"while (r := H[{e.table}].pop((*ords, i), None)) is not None:", " i += 1")
+                    self._read(e, "r", at + 1, "x.append(t)")
+                    self._say(at, "if len(x) != i - 1: raise Unusual", f"if x: {o}.append({name + '['!r} + ','.join(x) + ']')")
+                elif e.kind in ("prim", "ref"):
+                    self._read(e, "row", at, f"{o}.append({name!r} + t)")
+                elif e.kind == "group":
+                    if e.many or e.table >= 0:
+                        todo.append(e.node)
+                    if e.many:
+                        self._say(at, f"i, x = {e.lane}, []", f"while (r := H[{e.table}].pop((*ords, i), None)) is not None:", f" x.append('{{' + b{e.node}(r, (*ords, i), H) + '}}'); i += {e.lane}", f"if x: {o}.append({name + '['!r} + ','.join(x) + ']')")
+                    elif e.table >= 0:
+                        self._say(at, f"r = H[{e.table}].pop((*ords, {e.lane}), None)", f"if r is not None: {o}.append({name + '{'!r} + b{e.node}(r, (*ords, {e.lane}), H) + '}}')")
+                    else:
+                        self._say(at, f"{o}_ = []")
+                        self._fill(e.node, at, f"{o}_", todo)
+                        self._say(at, f"if {o}_: {o}.append({name + '{'!r} + ','.join({o}_) + '}}')")
+                elif e.kind == "resource":
+                    self._say(at, f"if row.get({e.columns[0]!r}) is not None: raise Unusual")
+
+
 def _tag(df: DataFrame, resource: Resource, name: str) -> DataFrame:
-    """A table's rows in tagged form: (rid, tbl, ords, cols); derived columns are left behind."""
-    table = next(t for t in resource.tables if t.name == name)
+    """A table's rows as (rid, row): a text of JSON, [the table's number, ords, columns]; derived columns are left behind."""
+    number, table = next((i, t) for i, t in enumerate(resource.tables) if t.name == name)
     rid = F.col("id" if table.kind == "base" else "rid").alias("rid")
-    ords = F.array().cast("array<smallint>") if table.kind == "base" else F.array("ord") if table.kind == "contained" else F.col("ords")
+    ords = F.lit("[]") if table.kind == "base" else F.concat(F.lit("["), F.col("ord").cast("string"), F.lit("]")) if table.kind == "contained" else F.coalesce(F.to_json("ords"), F.lit("[]"))
     if table.kind == "contained":
         names = ["resource"]
     elif table.kind in ("ext", "deep"):
         names = ["path", "leaf", "v_kind", "v_text"] + (["modifier", "ext_ord", "url"] if table.kind == "ext" else [])
     else:
         names = [c.name for c in table.columns if not c.derived]
-    pairs = F.array(*(F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names)) if names else F.array().cast("array<struct<key:string,value:string>>")
-    cols = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
-    return df.select(rid, F.lit(name).alias("tbl"), ords.alias("ords"), cols.alias("cols"))
+    cols = F.to_json(F.struct(*(F.col(n).cast("string").alias(n) for n in names)), {"ignoreNullFields": "true"}) if names else F.lit("{}")
+    return df.select(rid, F.concat(F.lit(f"[{number},"), ords, F.lit(","), cols, F.lit("]")).alias("row"))
 
 
 def reconstruct(tables: dict[str, DataFrame], relmap: RelMap, kind: str) -> DataFrame:
     """(id, body, error) for every id of any of the type's rows: one shuffle by id, then one pass of Python.
 
-    A document's rows meet in one group, which is as large as the document. Rows without a base row,
-    with gaps in their ordinals or left over give an error and no body.
+    A document's rows meet in one group, which is as large as the document; Python holds one document's
+    rows at a time. Rows without a base row, with gaps in their ordinals or left over give an error and no body.
     """
     resource = relmap.resources[kind]
     parts = [_tag(tables[t.name], resource, t.name) for t in resource.tables if t.name in tables]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    schema = StructType([StructField("body", StringType()), StructField("error", StringType())])
-
-    @F.pandas_udf(schema)
-    def build(ids: pd.Series, all_rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for id_, mine in zip(ids, all_rows, strict=True):
-            try:
-                got = [(r["tbl"], tuple(int(o) for o in r["ords"]), dict(r["cols"])) for r in mine]
-                out.append((dumps(Builder(resource, got).document(id_)), None))
-            except (DocumentError, KeyError) as problem:
-                out.append((None, str(problem) if isinstance(problem, DocumentError) else "a row lacks a column"))
-        return pd.DataFrame(out, columns=["body", "error"])
-
-    grouped = rows.groupBy("rid").agg(F.collect_list(F.struct("tbl", "ords", "cols")).alias("rows"))
-    return grouped.select(F.col("rid").alias("id"), build("rid", "rows").alias("built")).select("id", "built.body", "built.error")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, names = Short(resource), [t.name for t in resource.tables]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                ids = batch.column(0).slice(lo, 512)
+                bodies: list[str | None] = []
+                errors: list[str | None] = []
+                for id_, text in zip(ids.to_pylist(), batch.column(1).slice(lo, 512), strict=True):
+                    body = error = None
+                    mine = json.loads(text.as_py())
+                    try:
+                        try:
+                            body = short.text(id_, mine)
+                        except (Unusual, KeyError):
+                            body = dumps(Builder(resource, [(names[t], tuple(ords), cols) for t, ords, cols in mine]).document(id_))
+                    except (DocumentError, KeyError) as problem:
+                        error = str(problem) if isinstance(problem, DocumentError) else "a row lacks a column"
+                    bodies.append(body)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(bodies, pa.string()), pa.array(errors, pa.string())], ["id", "body", "error"])
+
+    grouped = rows.groupBy("rid").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("rows"))
+    return grouped.select(F.col("rid").alias("id"), "rows").mapInArrow(run, "id string, body string, error string")
 
 
 def ordinal_gaps(children: DataFrame) -> DataFrame:

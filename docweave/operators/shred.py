@@ -23,7 +23,7 @@ from docweave.functions.refs import parse
 from docweave.functions.temporal import bounds, date_sort, datetime_sort
 from docweave.functions.text import fold
 from docweave.plans.model import Element, RelMap, Resource, Table
-from docweave.plans.session import checkpoint, spread
+from docweave.plans.session import scratch, spread
 
 TAGGED = "rtype string, rid string, tbl string, ords array<smallint>, cols map<string,string>, error string"
 #: ``tbl`` of a row that holds a document's canonical text as ``body``, and of one that holds an error.
@@ -253,29 +253,213 @@ def fill_folded(table: Table, row: dict[str, str]) -> None:
             row[c.name] = fold(row[c.derived])
 
 
-def tagged(docs: DataFrame, relmap: RelMap, body: str = "body", key: str | None = None, only: Iterable[str] = ()) -> DataFrame:
+class Unusual(Exception):
+    """A document that the short way doesn't take; it goes the whole way, which also names what is wrong."""
+
+
+class Short:
+    """The walk of shred_one() for documents without extensions and ids of elements, as a function made for the type.
+
+    Its lines name the elements, so nothing of the map is looked up for each document. Rows go to flat lists,
+    from which Arrow's arrays are made at once. What isn't taken raises Unusual, wherever it is.
+    """
+
+    def __init__(self, resource: Resource, wanted: frozenset[str]):
+        self.resource, self.names = resource, [t.name for t in resource.tables]
+        self.wanted = [not wanted or n in wanted for n in self.names]
+        self.folded = [[(c.name, c.derived) for c in t.columns if c.derived and c.name.endswith("_norm")] for t in resource.tables]
+        self.env: dict[str, Any] = {"Unusual": Unusual, "Number": Number, "fold": fold, "parse": parse, "M": object(), "N": resource.name}
+        self.lines: list[str] = []
+        self._say(0, "def make(out):", " (R, I, T, E), ov, kv = [c.append for c in out.kept[:4]], out.ords[1], out.cols[1]", " O, OA, OV, C, K, V = out.ords[0].append, ov.append, ov.extend, out.cols[0].append, kv.append, out.cols[2].append")
+        todo, done = [(0, 0)], set()
+        while todo:  # (node, the table of its rows)
+            if (at := todo.pop()) not in done:
+                done.add(at)
+                self._function(*at, todo)
+        self._say(1, "return w0_0")
+        exec("\n".join(self.lines), self.env)  # noqa: S102 - lines made above, with names as literals
+
+    def _say(self, depth: int, *lines: str) -> None:
+        self.lines += [" " * depth + x for x in lines]
+
+    def _function(self, node: int, table: int, todo: list) -> None:
+        self._say(1, f"def w{node}_{table}(v0, ords, id_):")
+        if self.wanted[table]:
+            self._say(2, "C(len(kv))")
+        self._own(node, table, 2, 0)
+        if self.wanted[table]:
+            self._say(2, f"R(N); I(id_); T({self.names[table]!r}); E(None); O(len(ov)); OV(ords)")
+        self._children(node, 2, 0, todo)
+        self._say(2, "return")
+
+    def _each(self, node: int) -> Iterator[tuple[Element, bool]]:
+        for e in self.resource.nodes[node]:
+            yield from ((v, True) for v in e.variants) if e.kind == "choice" and e.table < 0 else [(e, False)] if e.kind in ("prim", "ref", "group") else []
+
+    def _own(self, node: int, table: int, at: int, k: int) -> None:
+        """Lines that put an object's values into its row, and count that it has no more than known members."""
+        v, n, x = f"v{k}", f"n{k}", f"v{k + 1}"
+        self._say(at, f"{n} = {2 if k == 0 and node == 0 else 0}")
+        for e in self.resource.nodes[node]:
+            if e.kind == "choice" and e.table < 0 and len(e.variants) > 1:
+                self._say(at, f"if {' + '.join(f'({o.name!r} in {v})' for o in e.variants)} > 1: raise Unusual")
+        for e, _ in self._each(node):
+            if e.name in ("resourceType", "id", "extension", "modifierExtension"):
+                continue
+            self._say(at, f"{x} = {v}.get({e.name!r}, M)", f"if {x} is not M:", f" {n} += 1")
+            if e.many or e.kind == "group" and e.table >= 0:
+                continue
+            if e.kind == "group":
+                self._say(at + 1, f"if type({x}) is not dict: raise Unusual")
+                self._own(e.node, table, at + 1, k + 1)
+            else:
+                self._value(e, table, x, at + 1)
+        self._say(at, f"if {n} != len({v}): raise Unusual")
+
+    def _value(self, e: Element, table: int, x: str, at: int) -> None:
+        if e.kind == "ref":
+            self._say(at, f"if type({x}) is not str: raise Unusual")
+            if self.wanted[table]:
+                self._say(at, f"a, b, c = parse({x})")
+                for name, column in zip("abc", e.columns, strict=True):
+                    self._say(at, f"if {name} is not None:")
+                    self._put(table, column, name, at + 1)
+            return
+        kind, fits = FITS.get(e.prim, (str, None))
+        test = f"type({x}) is not {kind.__name__}"
+        if fits:
+            self.env[f"fits_{e.prim}"] = fits
+            plain = f"{x}.isdigit() and (len({x}) < 10 and {x}[0] != '0' or {x} == '0') or " if e.prim == "int" else ""
+            test += f" or not ({plain}fits_{e.prim}({x}))"
+        self._say(at, f"if {test}: raise Unusual")
+        if self.wanted[table]:
+            self._put(table, e.columns[0], f"'true' if {x} else 'false'" if kind is bool else x, at)
+
+    def _put(self, table: int, column: str, text: str, at: int) -> None:
+        self._say(at, f"K({column!r}); V({text})", *(f"K({name!r}); V(fold({text}))" for name, source in self.folded[table] if source == column))
+
+    def _children(self, node: int, at: int, k: int, todo: list) -> None:
+        """Lines that make the rows of an object's child tables."""
+        v, x = f"v{k}", f"v{k + 1}"
+        for e, _ in self._each(node):
+            if e.name in ("resourceType", "id", "extension", "modifierExtension"):
+                continue
+            if e.kind == "group" and not e.many and e.table < 0:
+                before = len(self.lines)
+                self._say(at, f"{x} = {v}.get({e.name!r}, M)", f"if {x} is not M:")
+                inside = len(self.lines)
+                self._children(e.node, at + 1, k + 1, todo)
+                if len(self.lines) == inside:
+                    del self.lines[before:]
+            elif e.many or e.kind == "group":
+                self._say(at, f"{x} = {v}.get({e.name!r}, M)", f"if {x} is not M:")
+                if e.kind == "group":
+                    todo.append((e.node, e.table))
+                if not e.many:
+                    self._say(at + 1, f"if type({x}) is not dict: raise Unusual", f"w{e.node}_{e.table}({x}, (*ords, {e.lane}), id_)")
+                    continue
+                step = e.lane if e.kind == "group" else 1
+                self._say(at + 1, f"if type({x}) is not list or not {x} or len({x}) > {MOST_ITEMS}: raise Unusual", "i = 0", f"for y in {x}:", f" i += {step}")
+                if e.kind == "group":
+                    self._say(at + 2, "if type(y) is not dict: raise Unusual", f"w{e.node}_{e.table}(y, (*ords, i), id_)")
+                    continue
+                if self.wanted[e.table]:
+                    self._say(at + 2, "C(len(kv))")
+                self._value(e, e.table, "y", at + 2)
+                if self.wanted[e.table]:
+                    self._say(at + 2, f"R(N); I(id_); T({self.names[e.table]!r}); E(None); O(len(ov)); OV(ords); OA(i)")
+
+    def into(self, out: Flat) -> Any:
+        """The function (document, (), its id) that adds rows to ``out``."""
+        return self.env["make"](out)
+
+
+class Flat:
+    """Tagged rows as flat lists, of which whole Arrow arrays are made."""
+
+    def __init__(self) -> None:
+        self.kept: tuple[list, ...] = ([], [], [], [], [])  # rtype, rid, tbl, error, key
+        self.ords: tuple[list, list] = ([], [])  # where each row's begin, None for no list; all of them
+        self.cols: tuple[list, list, list] = ([], [], [])
+
+    def add(self, rtype: str | None, rid: str | None, tbl: str | None, ords: Any, names: Any, texts: Any, error: str | None = None) -> None:
+        for column, cell in zip(self.kept, (rtype, rid, tbl, error), strict=False):
+            column.append(cell)
+        self.ords[0].append(None if ords is None else len(self.ords[1]))
+        self.cols[0].append(None if names is None else len(self.cols[1]))
+        if ords:
+            self.ords[1].extend(ords)
+        if names:
+            self.cols[1].extend(names)
+            self.cols[2].extend(texts)
+
+    def end(self, key: int | None) -> None:
+        """The rows added since the last end() are of this key."""
+        keys = self.kept[4]
+        keys.extend([key] * (len(self.kept[0]) - len(keys)))
+
+    def back(self) -> None:
+        """The rows added, or begun, since the last end() go."""
+        n = len(self.kept[4])
+        for offsets, *values in (self.ords, self.cols):
+            at = next((x for x in offsets[n:] if x is not None), None)
+            for v in values:
+                del v[len(v) if at is None else at :]
+            del offsets[n:]
+        for column in self.kept:
+            del column[n:]
+
+    def batch(self, keyed: bool) -> pa.RecordBatch:
+        text = lambda x: pa.array(x, pa.string())
+        places = lambda x, n: pa.array([*x, n], pa.int32())
+        rtype, rid, tbl, error, key = self.kept
+        ords = pa.ListArray.from_arrays(places(self.ords[0], len(self.ords[1])), pa.array(self.ords[1], pa.int16()))
+        cols = pa.MapArray.from_arrays(places(self.cols[0], len(self.cols[1])), text(self.cols[1]), text(self.cols[2]))
+        made = {"rtype": text(rtype), "rid": text(rid), "tbl": text(tbl), "ords": ords, "cols": cols, "error": text(error)} | ({"key": pa.array(key, pa.int64())} if keyed else {})
+        return pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+
+def tagged(docs: DataFrame, relmap: RelMap, body: str = "body", key: str | None = None, only: Iterable[str] = (), carry: Iterable[str] = ()) -> DataFrame:
     """Rows of all documents, tagged by type and table; a document that doesn't fit is one row with an error.
 
     Documents of a type that the map lacks are errors too. Null bodies are errors. With ``key``, a
     column of whole numbers, every row has its document's as ``key``, errors have the table ERROR, and
     each document that fits also gives its canonical text as a row of the table BODY. ``only`` names the
-    tables whose rows are wanted; errors come anyway.
+    tables whose rows are wanted; errors come anyway. ``carry`` names columns of ``docs`` that the rows of
+    BODY and ERROR have as texts among theirs.
     """
-    wanted = frozenset(only)
+    wanted, carried = frozenset(only), list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rtype", "rid", "tbl", "ords", "cols", "error", "key"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int16()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64()]
-        n = len(names) if key else len(names) - 1
+        short: dict[str, Short] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                out: list[tuple] = []
-                for text, k in zip(batch.column(0).slice(lo, 512).to_pylist(), batch.column(1).slice(lo, 512).to_pylist(), strict=True):
-                    out.extend((*row, k) for row in _one(relmap, text, key is not None) if not wanted or row[2] in wanted or row[5])
-                columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:n], kinds[:n], strict=True)], names[:n])
-
-    rows = docs.select(F.col(body).cast("string").alias("body"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
+                out, ready = Flat(), {}
+                for text, k, *more in zip(*(c.slice(lo, 512).to_pylist() for c in batch.columns), strict=True):
+                    beside = [(n, v) for n, v in zip(carried, more, strict=True) if v is not None]
+                    try:
+                        document = loads(text or "null")
+                        kind, id_ = (document.get("resourceType"), document.get("id")) if type(document) is dict else (None, None)
+                        if type(kind) is not str or type(id_) is not str or kind not in relmap.resources:
+                            raise Unusual
+                        if kind not in ready:
+                            if kind not in short:
+                                short[kind] = Short(relmap.resources[kind], wanted)
+                            ready[kind] = short[kind].into(out)
+                        ready[kind](document, (), id_)
+                        if key is not None and (not wanted or BODY in wanted):
+                            out.add(kind, id_, BODY, None, *zip(("body", dumps(document, sort_keys=True)), *beside, strict=True))
+                    except (Unusual, ValueError, RecursionError):
+                        out.back()
+                        for rtype, rid, tbl, ords, cols, error in _one(relmap, text, key is not None):
+                            if tbl in (BODY, ERROR) and beside:
+                                cols = [*(cols or []), *beside]
+                            if not wanted or tbl in wanted or error:
+                                out.add(rtype, rid, tbl, ords, *((None, None) if cols is None else ([c for c, _ in cols], [v for _, v in cols])), error)
+                    out.end(k)
+                yield out.batch(key is not None)
+
+    rows = docs.select(F.col(body).cast("string").alias("body"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"), *(F.col(c).cast("string").alias(f"__{c}") for c in carried))
     return spread(rows).mapInArrow(run, TAGGED + (", key long" if key else ""))
 
 
@@ -333,7 +517,9 @@ def table_of(rows: DataFrame, table: Table, more: list[Column] | None = None) ->
 
 
 def shred(docs: DataFrame, relmap: RelMap, kinds: list[str] | None = None, body: str = "body") -> tuple[dict[str, DataFrame], DataFrame]:
-    """({table name: rows}, errors). The tagged rows are written once, in the shared folder, so that many tables can be read of them."""
-    rows = checkpoint(tagged(docs, relmap, body))
+    """({table name: rows}, errors). The tagged rows are written once, in the shared folder, by table, so that each table is read of its own files."""
+    path = scratch(docs.sparkSession, "shredded")
+    tagged(docs, relmap, body).withColumn("tbl", F.coalesce("tbl", F.lit(ERROR))).write.partitionBy("tbl").parquet(path)
+    rows = docs.sparkSession.read.schema(TAGGED.replace("tbl string, ", "") + ", tbl string").parquet(path)
     out = {t.name: table_of(rows.where(F.col("rtype") == k), t) for k in kinds or relmap.resources for t in relmap.resources[k].tables if t.kind != "history"}
-    return out, errors(rows)
+    return out, errors(rows.where(F.col("tbl") == ERROR))
