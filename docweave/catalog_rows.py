@@ -204,15 +204,21 @@ def leaf_roundtrip(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum((F.col("body") != again("body")).cast("int")).cast("int").alias("n_different"))
 
 
+#: Documents of a file at most, so that more documents are more files.
+FILE_DOCUMENTS = 5000
+
+
 @_query("read_files", "SELECT kind, count(*) AS n FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN 'line' WHEN 1 THEN 'gzipped line' WHEN 2 THEN 'bundle' ELSE 'not JSON' END AS kind FROM customer) GROUP BY 1")
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of lines, plain and gzipped, a bundle, and broken lines, told apart by their content."""
     docs, at = things(spark, path), scratch(spark, "files")
-    docs.where("k % 4 = 0").select("body").write.text(f"{at}/line")
-    docs.where("k % 4 = 1").select("body").write.text(f"{at}/gzip", compression="gzip")
-    docs.where("k % 4 = 3").select(F.concat(F.lit("{broken "), "id")).write.text(f"{at}/broken")
-    entries = docs.where("k % 4 = 2").agg(F.array_join(F.transform(F.collect_list("body"), lambda b: F.concat(F.lit('{"resource":'), b, F.lit("}"))), ",").alias("e"))  # a file of a bundle is one text
-    entries.select(F.concat(F.lit('{"resourceType":"Bundle","entry":['), "e", F.lit("]}"))).coalesce(1).write.text(f"{at}/bundle")
+    lines = {"line": docs.where("k % 4 = 0").select("body"), "gzip": docs.where("k % 4 = 1").select("body"), "broken": docs.where("k % 4 = 3").select(F.concat(F.lit("{broken "), "id"))}
+    for name, df in lines.items():
+        df.write.option("maxRecordsPerFile", FILE_DOCUMENTS).text(f"{at}/{name}", compression="gzip" if name == "gzip" else "none")
+    # a file of a bundle is one text; keys are unique, so a bundle has a file's documents at most
+    group = F.floor(F.col("k") / (4 * FILE_DOCUMENTS))
+    entries = docs.where("k % 4 = 2").groupBy(group).agg(F.array_join(F.transform(F.collect_list("body"), lambda b: F.concat(F.lit('{"resource":'), b, F.lit("}"))), ",").alias("e"))
+    entries.select(F.concat(F.lit('{"resourceType":"Bundle","entry":['), "e", F.lit("]}"))).write.option("maxRecordsPerFile", 1).text(f"{at}/bundle")
     rows = documents.read(spark, f"{at}/*/part-*").where("error is null")
     bad = F.col("body").startswith("{broken")
     kind = F.when(bad, "not JSON").when(F.contains("context", F.lit("#")), "bundle").when(F.contains("context", F.lit(".gz")), "gzipped line").otherwise("line")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,11 @@ def _documents(name: str, raw: bytes) -> Iterator[tuple[str | None, str, str | N
     try:
         value = loads(text)
     except ValueError:
-        for i, line in enumerate(text.split("\n"), 1):  # line feeds alone end a line: others may stand in JSON
+        at, i = 0, 0
+        while at <= len(text):  # line feeds alone end a line: others may stand in JSON
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            line, at, i = text[at:end], end + 1, i + 1
             if line.strip(" \t\r"):
                 yield line, f"{name}:{i}", None
         return
@@ -43,15 +48,16 @@ def _documents(name: str, raw: bytes) -> Iterator[tuple[str | None, str, str | N
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(body, context, error) of the files at ``path``: any mix of single documents, bundles and lines.
 
-    A file is one task's; large line files are better read with read_lines(), which splits them.
+    A file is one task's, which holds its content, of a bundle also its values, and some of its documents
+    at a time; large line files are better read with read_lines(), which splits them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(_documents(name, raw))
-                for lo in range(0, len(rows), 1024):
-                    columns = list(zip(*rows[lo : lo + 1024], strict=True))
+            for i in range(batch.num_rows):  # one file at a time
+                rows = _documents(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                while some := list(islice(rows, 1024)):
+                    columns = list(zip(*some, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["body", "context", "error"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, READ)
