@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -17,25 +17,20 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
 
 
-@F.pandas_udf(StringType())
-def _fold_udf(values: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
+#: Texts that are Python's at a time.
+FOLDED_AT_ONCE = 64
 
-    def one(v: str | None) -> str | None:
-        if v is None:
-            return None
-        if v.isascii():
-            return v.lower()
-        if v not in known:
-            known[v] = fold(v)
-        return known[v]
 
-    return values.map(one, na_action="ignore")
+@F.arrow_udf(StringType())
+def _fold_udf(values: pa.Array) -> pa.Array:
+    parts = [pa.array([None if v is None else fold(v) for v in values.slice(lo, FOLDED_AT_ONCE).to_pylist()], pa.string()) for lo in range(0, len(values), FOLDED_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else values
 
 
 def folded(column: Column) -> Column:
-    """fold() as a column; null stays null. No built-in drops marks exactly, so this runs in Arrow batches."""
-    return _fold_udf(column)
+    """fold() as a column; null stays null. No built-in drops marks exactly, so texts beyond ASCII go through Python, a few at a time; others don't."""
+    plain = F.length(column) == F.octet_length(column)
+    return F.when(plain, F.lower(column)).otherwise(_fold_udf(F.when(~plain, column)))
 
 
 def prefix_upper(prefix: str) -> str | None:
