@@ -38,9 +38,11 @@ def sha3_link(before: pd.Series, image: pd.Series) -> pd.Series:
 LINKS = StructType([StructField("prev_hash", BinaryType()), StructField("row_hash", BinaryType()), StructField("prev_hash3", BinaryType()), StructField("row_hash3", BinaryType()), StructField("row_mac", StringType())])
 
 
-def linked(rows: DataFrame, key: tuple[str, bytes] | None) -> DataFrame:
+def linked(rows: DataFrame, key: tuple[str, bytes] | None, order: str = "version_id") -> DataFrame:
     """Rows (rtype, id, version_id, image, last, last3 and any others) with their links, in order of each document's versions.
 
+    ``order`` is the column that orders them; rows that a window by (rtype, id) in this order gave aren't dealt or sorted again.
+
     ``last`` and ``last3`` are the digests that the document's chain ended with before these rows, or null.
     A document's versions are one task's, sorted, and pass through it one after the other, however many.
     """
@@ -62,7 +64,7 @@ def linked(rows: DataFrame, key: tuple[str, bytes] | None) -> DataFrame:
             kinds = [pa.string() if f.name == "row_mac" else pa.binary() for f in LINKS]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], [*names, *LINKS.names])
 
-    sorted_ = rows.repartition("rtype", "id").sortWithinPartitions("rtype", "id", "version_id")
+    sorted_ = rows.repartition("rtype", "id").sortWithinPartitions("rtype", "id", order)
     return sorted_.mapInArrow(run, StructType([*rows.schema.fields, *LINKS.fields]))
 
 
