@@ -17,7 +17,7 @@ from docweave.plans import evolve
 from docweave.plans.generate import load_spec
 from docweave.plans.model import RelMap
 from docweave.plans.search_compile import add_folded, build_map, capability, compile_search, support_matrix
-from docweave.plans.session import checkpoint, scratch
+from docweave.plans.session import checkpoint, scratch, spread
 from docweave.plans.star import Star
 from docweave.sources import documents
 
@@ -175,7 +175,7 @@ def roundtrip_things(spark: SparkSession, path: str) -> DataFrame:
     docs = things(spark, path)
     tables, _ = shred.shred(docs, thing_map())
     back = reconstruct.reconstruct(tables, thing_map(), "Thing").select("id", shred.canonical("body").alias("again"), "error")
-    both = docs.select("id", shred.canonical("body").alias("body")).join(back, "id", "left")
+    both = spread(docs).select("id", shred.canonical("body").alias("body")).join(back, "id", "left")
     return both.agg(F.count("*").alias("n_documents"), F.count("error").cast("int").alias("n_errors"), F.sum((~F.col("body").eqNullSafe(F.col("again"))).cast("int")).cast("int").alias("n_different"))
 
 

@@ -77,6 +77,8 @@ class Builder:
                     at = self.take(*place)
                 for v in e.variants:
                     self.element(out, v, *place, at, path)
+            elif e.kind == "prim" and not e.many and e.columns[0] not in row and ((f"{path}.{e.name}" if path else e.name), ords) not in self.ext:
+                continue  # most elements of a wide node aren't there
             else:
                 self.element(out, e, table, ords, row, path)
 
@@ -155,8 +157,11 @@ class Builder:
 
     def attached(self, out: dict, path: str, ords: Ords, elements: bool = False) -> None:
         """An element's id and extensions."""
+        mine = self.ext.pop((path, ords), None)
+        if mine is None:
+            return
         groups: dict[tuple[str, int], tuple[str, list]] = {}
-        for x in self.ext.pop((path, ords), ()):
+        for x in mine:
             if x["ext_ord"] == "0":
                 out["id"] = x["v_text"]
                 continue

@@ -77,7 +77,10 @@ def _walk(rows: Rows, node: int, value: dict, table: int, ords: tuple[int, ...],
         if key in value:
             _extensions(rows, value[key], path, ords, modifier)
             used.add(key)
+    there = {k.removeprefix("_") for k in value}  # most elements of a wide node aren't
     for element in rows.resource.nodes[node]:
+        if element.kind != "choice" and element.name not in there:
+            continue
         if element.kind == "choice":
             found = [v for v in element.variants if v.name in value or f"_{v.name}" in value]
             if len(found) > 1:
